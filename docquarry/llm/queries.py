@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, oracles, sentencepiece_codec, token_counts
+from . import decontamination, near_duplicates, oracles, sentencepiece_codec, token_counts
 from .common import shared_path, table
 
 #: Documents of more tokens are marked.
@@ -47,8 +47,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_sentencepiece, op8_decontamination]
+    found = [op1_token_counts, op2_sentencepiece, op8_decontamination, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
