@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, oracles, sentencepiece_codec, token_counts
-from .common import shared_path, table
+from . import decontamination, near_duplicates, oracles, sentencepiece_codec, token_counts, toxicity
+from .common import doc_crc, shared_path, table
 
 #: Documents of more tokens are marked.
 TOKEN_LIMIT = 512
@@ -47,13 +47,25 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """The model learnt from the labels of documents outside the held-out fold."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), doc_crc(F.col("doc_id")) % 5 != 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; a fifth of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (doc_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_sentencepiece, op8_decontamination, op10_near_duplicates]
+    found = [op1_token_counts, op2_sentencepiece, op8_decontamination, op9_toxicity, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
