@@ -85,3 +85,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 <
                 begin, size = i, 0
             size += n
         yield batch.slice(begin)
+
+
+def shared_files(path: str):
+    """The file system and the path in it of a folder below the shared one, for Python on driver and executors; the folder is made."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace(":/", ":///", 1))
+    system.create_dir(inner, recursive=True)
+    return system, inner
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that are no longer referred to, before the next large step."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
