@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, oracles, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import decontamination, near_duplicates, oracles, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity
 from .common import doc_crc, shared_path, table
 
 #: Documents of more tokens are marked.
@@ -34,6 +34,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.roundtrip(docs, tokenizer_file("piece_bpe_32k.model")))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of each fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of all documents without the 50-byte strings of earlier ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,7 +77,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_sentencepiece, op5_suffix_dedup, op8_decontamination, op9_toxicity, op10_near_duplicates]
+    found = [op1_token_counts, op2_sentencepiece, op4_topk, op5_suffix_dedup, op8_decontamination, op9_toxicity, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
