@@ -8,9 +8,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, oracles, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity
+from . import decontamination, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity
 from .common import doc_crc, shared_path, table
 
+#: Old and new shards of the resharding.
+OLD_SHARDS, NEW_SHARDS = 6, 8
 #: Documents of more tokens are marked.
 TOKEN_LIMIT = 512
 
@@ -34,6 +36,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.roundtrip(docs, tokenizer_file("piece_bpe_32k.model")))
 
 
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents from six old shards, by source and so of unequal sizes, into eight of near equal bytes, moving the fewest bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
+    rows, _ = resharding.reshard(docs, old, NEW_SHARDS, OLD_SHARDS)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of each fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -77,7 +87,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_sentencepiece, op4_topk, op5_suffix_dedup, op8_decontamination, op9_toxicity, op10_near_duplicates]
+    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op8_decontamination, op9_toxicity, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
