@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity
+from . import decontamination, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity, warc
 from .common import doc_crc, shared_path, table
 
 #: Old and new shards of the resharding.
@@ -69,6 +69,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, indexed, and read back through the index."""
+    root = shared_path(spark, "archives")
+    places = warc.write(table(spark, sf_dir, "pages"), root)
+    directory = warc.build_index(places, root, max(8, spark.sparkContext.defaultParallelism))
+    return warc.read(spark, directory, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """The model learnt from the labels of documents outside the held-out fold."""
     return toxicity.fit(docs, table(spark, sf_dir, "labels"), doc_crc(F.col("doc_id")) % 5 != 0)
@@ -87,7 +95,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op8_decontamination, op9_toxicity, op10_near_duplicates]
+    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op6_warc, op8_decontamination, op9_toxicity, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
