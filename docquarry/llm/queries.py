@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity, warc
+from . import context_tree, decontamination, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity, warc
 from .common import doc_crc, shared_path, table
 
 #: Old and new shards of the resharding.
@@ -56,6 +56,13 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(docs))
 
 
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those whose ids aren't in the held-out fold, a seventh."""
+    held_out = doc_crc(F.col("doc_id")) % 7 == 2
+    scored = context_tree.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.withColumn("held_out", ~F.col("training")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside windows of ten words of any benchmark item."""
     matches = decontamination.phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -95,7 +102,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op6_warc, op8_decontamination, op9_toxicity, op10_near_duplicates]
+    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op6_warc, op7_context_tree, op8_decontamination, op9_toxicity, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
