@@ -182,8 +182,9 @@ def answer_contexts(group: pa.Table) -> pa.Table:
     return pa.table({"block": group.column("block"), "path": group.column("path"), "bucket": group.column("bucket"), "body": pa.array(bodies, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with spans (array of (begin, end) byte offsets of the maximal removed runs) and kept (the other bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """Every row of docs with spans (array of (begin, end) byte offsets of the maximal removed runs) and kept (the other bytes,
+    or with as_text the text of the characters that are left whole).
 
     A byte goes if a LENGTH-byte string that covers it also starts in a document with a lesser id; strings are judged on the input.
     Null texts count as empty. Rows with equal ids are no earlier than each other; rows with a null id take no part:
@@ -270,7 +271,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     hits = materialise(answers.groupBy("block").applyInArrow(second_pass, SENT).groupBy("bucket").applyInArrow(answer_contexts, ANSWERED), "contexts")
     release(spark)
-    result = T.StructType([*schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
+    result = T.StructType([*schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def last_pass(group: pa.Table) -> pa.Table:
         path, state = group.column("path")[0].as_py().split(" ")
@@ -295,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found.append([{"begin": x - s, "end": y - s} for x, y in zip(b, e)])
             kept.append(b"".join([body[x:y] for x, y in zip([s, *e], [*b, s + n])]))
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        return table.append_column("spans", pa.array(found, kind)).append_column("kept", pa.array(kept, pa.binary()))
+        return table.append_column("spans", pa.array(found, kind)).append_column("kept", pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()))
 
     def context_counts(texts: Texts, out: np.ndarray, inverse: np.ndarray) -> list[int]:
         """How many contexts the block has sent to each bucket, in the order of buckets."""
@@ -305,7 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.unique(of, return_counts=True)[1].tolist()
 
     done = hits.groupBy("block").applyInArrow(last_pass, result)
-    content = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    content = F.coalesce(F.col(text_col), F.lit("")).cast("string" if as_text else "binary")
     none = docs.where(F.col(id_col).isNull()).withColumn("spans", F.array().cast(result["spans"].dataType)).withColumn("kept", content)
     return done.unionByName(none)
 
