@@ -1,16 +1,44 @@
-"""A pipeline over a corpus: each stage works on what the one before it kept."""
+"""A pipeline over a corpus: each stage works on what the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with all their columns; the last
+returns their tokens.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docquarry.llm import decontamination, near_duplicates, sentencepiece_codec, suffix_dedup, toxicity
 from docquarry.llm import queries as corpora
-from docquarry.llm import sentencepiece_codec
 from docquarry.llm.common import materialise, table
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the model learnt from the labels doesn't call toxic."""
+    scored = toxicity.score(docs, corpora.toxicity_model(spark, docs, sf_dir), score_col="docquarry_score")
+    return scored.where("docquarry_score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates."""
+    dropped = near_duplicates.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages that an earlier one has; n_chars counts what is left."""
+    done = suffix_dedup.remove_repeats(docs, as_text=True)
+    return done.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+
+
+def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no ten words of a benchmark item stand."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every whole text, and digests of the ids and of the decoded text."""
     coded = sentencepiece_codec.roundtrip(docs.select("doc_id", "text"), corpora.tokenizer_file("piece_bpe_32k.model"))
@@ -18,6 +46,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("suffix-dedup", remove_repeated_passages),
+    ("decontamination", reject_contaminated),
     ("sentencepiece", encode),
 ]
 
