@@ -19,20 +19,20 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _holds(v: Column, wanted: Any) -> Column:
+def _holds(v: Column, *, wanted: Any) -> Column:
     """Whether a variant holds a value; false where it doesn't, never null."""
     kind = F.coalesce(_kind(v), F.lit("absent"))
     if isinstance(wanted, dict):
         found = kind.startswith("OBJECT")
         for key, value in wanted.items():
             path = "$[" + json.dumps(key, ensure_ascii=False) + "]" if not key.isidentifier() else f"$.{key}"
-            found = found & _holds(F.try_variant_get(v, path, "variant"), value)
+            found = found & _holds(F.try_variant_get(v, path, "variant"), wanted=value)
         return found
     if isinstance(wanted, list):
         items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
         found = kind.startswith("ARRAY")
         for value in wanted:
-            found = found & F.exists(items, lambda x, value=value: _holds(x, value))
+            found = found & F.exists(items, _holder(value))
         return found
     if wanted is None:
         return kind == "VOID"
@@ -47,13 +47,17 @@ def _holds(v: Column, wanted: Any) -> Column:
     return (kind == "STRING") & F.coalesce(F.try_variant_get(v, "$", "string") == F.lit(wanted), F.lit(False))
 
 
+def _holder(wanted: Any):
+    return lambda x: _holds(x, wanted=wanted)
+
+
 def contains(column: Column, wanted: Any = None) -> Column:
     """Whether the JSON in a text column contains a value (a dict, list or scalar); null where the column is null or not JSON."""
     parsed = F.try_parse_json(column)
     if wanted is None or wanted == {}:
         return F.when(parsed.isNotNull(), F.lit(True))
-    found = _holds(parsed, wanted)
+    found = _holds(parsed, wanted=wanted)
     if not isinstance(wanted, (dict, list)):
         items = F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.array().cast("array<variant>"))
-        found = found | F.exists(items, lambda x: _holds(x, wanted))
+        found = found | F.exists(items, _holder(wanted))
     return F.when(parsed.isNotNull(), found)

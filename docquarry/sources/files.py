@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,8 +31,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, folder: str) -> DataFrame:
-    """(path) of files below a folder whose names look like secrets; names only, never contents."""
-    return listing(spark, folder, deep=True).where(F.col("file_name").rlike(SUSPICIOUS)).select("path")
+    """(path) of files below a folder whose names look like secrets, empty ones too; names only, never contents. The file system is asked on the driver, which keeps the findings only."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found, walk = [], at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    while walk.hasNext():
+        path = walk.next().getPath()
+        if re.match(SUSPICIOUS, path.getName()):
+            found.append((path.toString(),))
+    return spark.createDataFrame(found, "path string")
 
 
 def page_texts(files: DataFrame, parse: Callable[[bytes], list[str]], source: str = "file_name") -> DataFrame:
