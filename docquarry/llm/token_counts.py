@@ -119,8 +119,10 @@ def count_tokens(docs: DataFrame, definition: bytes, cache_path: str, id_col: st
     given = spark.sparkContext.broadcast(definition)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_for(given.value)
+        counter, seen = counter_for(given.value), set()  # rows that repeat id and text meet in one task
         for batch in slices(batches, "content", 4 << 20):
+            new = [d not in seen and not seen.add(d) for d in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(batch.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     text.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(path)

@@ -74,12 +74,11 @@ def matrices(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterato
             yield part.column(0).to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def product(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers: doubles where they are exact, else Python's integers."""
+def list_scores(x: np.ndarray, q: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """Exact scores in each list: doubles where whole scores are exact in them, else Python's integers."""
     if x.size and q.size and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] >= 2.0**53:
-        exact = lambda m: np.array([[int(c) for c in r] for r in m], object).reshape(m.shape)
-        return exact(x) @ exact(q).T
-    return x @ q.T
+        x, q = (np.array([[int(c) for c in r] for r in m], object).reshape(m.shape) for m in (x, q))
+    return [x[:, a:b] @ q[:, a:b].T for a, b in zip(cuts, cuts[1:])]
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -136,7 +135,7 @@ def search_block(spark, vectors: DataFrame, ids: np.ndarray, body: np.ndarray, k
         ids, q = given.value
         kept: list[list[tuple]] = [[] for _ in range(n * lists)]
         for names, x in matrices(batches, size, rows):
-            parts = [product(x[:, a:b], q[:, a:b]) for a, b in zip(cuts, cuts[1:])]
+            parts = list_scores(x, q, cuts)
             whole = sum(parts)
             for j in range(n):
                 others = np.flatnonzero(names != ids[j])
@@ -173,7 +172,7 @@ def search_block(spark, vectors: DataFrame, ids: np.ndarray, body: np.ndarray, k
         bound = cutoffs.value
         kept: list[list[tuple]] = [[] for _ in range(n)]
         for names, x in matrices(batches, size, rows):
-            parts = [product(x[:, a:b], q[:, a:b]) for a, b in zip(cuts, cuts[1:])]
+            parts = list_scores(x, q, cuts)
             greatest = parts[0]
             for part in parts[1:]:
                 greatest = np.maximum(greatest, part)
