@@ -7,9 +7,9 @@ finds (optimal densification). BANDS bands of ROWS bins each give bucket keys: c
 no bucket with probability (1 - 0.75^4)^48 < 2e-8.
 
 In a bucket, all others are tied to one centre only, so that candidates grow with the rows of the buckets, not with their
-squares. Candidates are confirmed on full sets. A bucket whose classes are then in more than one component goes into the next round with other
-centres, twice as many each time, until each pair that shares a bucket is in one component or was compared: no link is lost
-to the star shape, and the number of rounds grows with the logarithm of the largest bucket.
+squares. Candidates are confirmed on full sets. So that the star shape loses no link, the classes of buckets that are then in more than
+one component are dealt into chunks by the largest such bucket of each, and chunks that share a bucket are compared as wholes: a class is sent
+once for each chunk that its own is compared with, however many buckets and pairs they share, and only links come out.
 """
 
 from __future__ import annotations
@@ -19,16 +19,21 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise, slices
+from .common import LOWER, UPPER, materialise, release, slices
 
 SHINGLE = 5
 BIN_BITS, ROWS, BANDS = 8, 4, 48
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
+#: Two sets of SKETCHED hashes or more are only compared if their sketches (a bit of each of the BANDS * ROWS bins) differ in so many bits at most.
+#: At the least similarity they differ in 24 on average, with a standard deviation of 5 at most: more than six deviations are allowed.
+SKETCHED, APART = 128, 56
+#: Classes of a chunk, about.
+CHUNK = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,12 +114,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
-    """The bucket keys of a set: a hash of each band's number and bins."""
-    sig = signature(hashes)[: BANDS * ROWS].reshape(BANDS, ROWS)
+    """The bucket keys of a set, a hash of each band's number and bins, and after them the 64-bit words of its sketch."""
+    sig = signature(hashes)[: BANDS * ROWS]
+    sketch = np.packbits((mix(sig) >> np.uint64(63)).astype(bool)).view(np.int64)
+    sig = sig.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, i])
-    return key.view(np.int64)
+    return np.concatenate((key.view(np.int64), sketch))
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -203,31 +210,68 @@ def components(edges: DataFrame) -> DataFrame:
     return members.union(members.select("component", "component").distinct())
 
 
+def star_links(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The confirmed links (a, b) between the least class of each bucket and the others."""
+    centre = buckets.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("c"))
+    star = buckets.join(centre, "bucket").where(f"class <> c.class and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+    return materialise(confirm(star.select(F.col("c.class").alias("a"), F.col("class").alias("b")).distinct(), full, percent), "star-links")
+
+
+def compare(group: pa.Table, percent: int) -> pa.Table:
+    """The links (a, b) between the classes of two chunks, or of one, that are in different components. Columns: side, class, n, component, sketch, set."""
+    side, n, component = (group.column(c).to_numpy() for c in ("side", "n", "component"))
+    sketch = np.array(group.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(n), -1)
+    names, raw = group.column("class").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if (side == 1).any() else x
+    vocabulary = np.unique(np.concatenate([raw[i] for i in y.tolist()]))
+    flat = np.concatenate([np.searchsorted(vocabulary, raw[i]) for i in y.tolist()])
+    begin = np.cumsum([0] + [len(raw[i]) for i in y.tolist()])[:-1]
+    found = ([], [])
+    for i in x.tolist():
+        able = (component[y] != component[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i]))
+        if y is x:
+            able &= names[y] > names[i]
+        if able.any():
+            apart = np.bitwise_count(sketch[y] ^ sketch[i]).sum(1)
+            able &= (np.minimum(n[y], n[i]) < SKETCHED) | (apart <= APART)
+        if able.any():
+            mark = np.zeros(len(vocabulary) + 1, np.int32)
+            at = np.searchsorted(vocabulary, raw[i])
+            mark[at[vocabulary[np.minimum(at, len(vocabulary) - 1)] == raw[i]]] = 1
+            both = np.add.reduceat(mark[flat], begin)
+            for j in y[able & (100 * both >= percent * (n[y] + n[i] - both))].tolist():
+                found[0].append(min(names[i], names[j]))
+                found[1].append(max(names[i], names[j]))
+    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+
+def chunk_links(buckets: DataFrame, full: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """The links between classes that share a bucket and are in different components of member."""
+    named = buckets.join(member.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
+    named = materialise(named.join(mixed.select("bucket", "rows"), "bucket"), "open")
+    home = named.groupBy("class").agg(F.max(F.struct("rows", "bucket")).alias("home"), F.first("n").alias("n"), F.first("component").alias("component"), F.first("sketch").alias("sketch"))
+    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
+    part = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / CHUNK))
+    home = materialise(home.join(sizes, "home").select("class", "n", "component", "sketch", F.xxhash64("home.bucket", part).alias("chunk")), "chunks")
+    placed = named.select("bucket", "class").join(home.select("class", "chunk"), "class").select("bucket", "chunk").distinct()
+    pairs = placed.alias("x").join(placed.alias("y"), "bucket").where("x.chunk <= y.chunk").select(F.col("x.chunk").alias("x"), F.col("y.chunk").alias("y")).distinct()
+    pairs = materialise(pairs, "chunk-pairs")
+    rows = home.join(full, "class")
+    left = rows.join(pairs, rows["chunk"] == pairs["x"]).withColumn("side", F.lit(0))
+    right = rows.join(pairs.where("x <> y"), rows["chunk"] == F.col("y")).withColumn("side", F.lit(1))
+    sent = left.unionByName(right).select("x", "y", "side", "class", "n", "component", "sketch", "set")
+    return sent.groupBy("x", "y").applyInArrow(lambda group: compare(group, percent), "a long, b long")
+
+
 def linked(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of all classes with a confirmed link, from the (bucket, class, n) rows of buckets and the full sets."""
-    names = buckets.withColumn("component", F.col("class"))
-    links, member, centres = None, None, 1
-    while True:
-        order = Window.partitionBy("bucket").orderBy("class")
-        if centres == 1:
-            centre = names.groupBy("bucket").agg(F.min(F.struct("class", "n", "component")).alias("c"))
-        else:  # few and small buckets are left
-            centre = names.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres).select("bucket", F.struct("class", "n", "component").alias("c"))
-        star = names.join(centre, "bucket").where(f"class <> c.class and component <> c.component and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
-        edges = star.select(F.least("c.class", "class").alias("a"), F.greatest("c.class", "class").alias("b")).distinct()
-        found = materialise(confirm(edges, full, percent), "links")
-        links = found if links is None else links.union(found)
-        if member is None or not found.isEmpty():
-            member = components(links)
-        # centres were compared with all of their bucket; the rest stays while it is in more than one component
-        done = centre.select("bucket", F.col("c.class").alias("class"))
-        rest = names.drop("component").join(done, ["bucket", "class"], "left_anti")
-        rest = rest.join(member.select(F.col("id").alias("class"), "component"), "class", "left").select("bucket", "class", "n", F.coalesce("component", "class").alias("component"))
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        names = materialise(rest.join(mixed, "bucket"), "open")
-        if names.isEmpty():
-            return member
-        centres *= 2
+    """(id, component) of all classes with a confirmed link, from the (bucket, class, n, sketch) rows of buckets and the full sets."""
+    links = star_links(buckets.drop("sketch"), full, percent)
+    member = components(links)
+    release(buckets.sparkSession)
+    more = materialise(chunk_links(buckets, full, member, percent), "chunk-links")
+    return member if more.isEmpty() else components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,11 +287,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sets = materialise(sets_of(docs, id_col, text_col), "sets")
     filled = sets.where("n > 0 and id is not null")
     classes = filled.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
-    rows = classes.select("class", "id", "n", F.explode("bands").alias("bucket"))
+    rows = classes.select("class", "id", "n", F.explode(F.slice("bands", 1, BANDS)).alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket")
     buckets = materialise(rows.join(shared, "bucket").select("bucket", "class", "id", "n"), "buckets")
+    release(docs.sparkSession)
+    sketches = sets.where("bands is not null").groupBy("class").agg(F.first(F.slice("bands", BANDS + 1, BANDS * ROWS // 64)).alias("sketch"))
     full = materialise(full_sets(docs, buckets.select("id").distinct(), id_col, text_col), "full-sets")
-    member = linked(buckets.drop("id"), full, percent).select(F.col("id").alias("class"), F.col("component").alias("node"))
+    member = linked(materialise(buckets.drop("id").join(sketches, "class"), "sketched"), full, percent).select(F.col("id").alias("class"), F.col("component").alias("node"))
     least = filled.groupBy("class").agg(F.min("id").alias("least"))
     least = least.join(member, "class", "left").withColumn("node", F.coalesce("node", "class"))
     nodes = least.groupBy("node").agg(F.min("least").alias("component"))
