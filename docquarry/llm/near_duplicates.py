@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise, release, slices
+from .common import LOWER, UPPER, materialise, release, shared_root, slices
 
 SHINGLE = 5
 BIN_BITS, ROWS, BANDS = 8, 4, 48
@@ -185,12 +185,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that is reachable, for every id in edges (a, b), by alternating large and small stars.
 
     Every round ties each node to the least node around it and cuts the lineage; the number of rounds grows with the logarithm of the longest path."""
+
     def sided(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def tally(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    shared_root(edges.sparkSession)  # checkpoints go there
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     last = tally(edges)
     while last[0]:
