@@ -196,6 +196,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order, cells = names.index(id_col), names.index(text_col)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts, buckets = max(8, -(-total // PARTITION)), max(8, -(-total // PARTITION))
+    # what is exchanged is small beside the blocks that it makes tasks read, so its size must not decide on the number of tasks
+    tasks = int(max(8, -(-total // (2 * BLOCK))))
     store = Store(shared_path(spark, "blocks"))
     placed = docs.where(F.col(id_col).isNotNull()).repartitionByRange(int(parts), F.col(id_col)).sortWithinPartitions(F.col(id_col), F.xxhash64(text_col))
     schema = docs.schema
@@ -232,7 +234,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if rows and sum(r.num_rows for r in rows):
             yield sent(pa.Table.from_batches(rows), number)
 
-    answers = materialise(placed.mapInArrow(first_pass, SENT).groupBy("bucket").applyInArrow(answer_grams, ANSWERED), "grams")
+    answers = materialise(placed.mapInArrow(first_pass, SENT).repartition(int(buckets), "bucket").groupBy("bucket").applyInArrow(answer_grams, ANSWERED), "grams")
     del placed
     release(spark)
 
@@ -269,7 +271,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = [(int(b), contexts[sample[of == b]].tobytes()) for b in np.unique(of)] or [(0, b"")]
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([group.column("block")[0].as_py()] * len(rows), pa.int64()), "path": [path] * len(rows), "body": pa.array([x for _, x in rows], pa.binary())})
 
-    hits = materialise(answers.groupBy("block").applyInArrow(second_pass, SENT).groupBy("bucket").applyInArrow(answer_contexts, ANSWERED), "contexts")
+    hits = materialise(answers.repartition(tasks, "block").groupBy("block").applyInArrow(second_pass, SENT).repartition(int(buckets), "bucket").groupBy("bucket").applyInArrow(answer_contexts, ANSWERED), "contexts")
     release(spark)
     result = T.StructType([*schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
@@ -305,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         of[inverse] = bucket
         return np.unique(of, return_counts=True)[1].tolist()
 
-    done = hits.groupBy("block").applyInArrow(last_pass, result)
+    done = hits.repartition(tasks, "block").groupBy("block").applyInArrow(last_pass, result)
     content = F.coalesce(F.col(text_col), F.lit("")).cast("string" if as_text else "binary")
     none = docs.where(F.col(id_col).isNull()).withColumn("spans", F.array().cast(result["spans"].dataType)).withColumn("kept", content)
     return done.unionByName(none)
