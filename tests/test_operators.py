@@ -113,8 +113,8 @@ def test_upsert(spark):
 
 
 def test_catalog_search(spark):
-    rows = spark.createDataFrame([("3", "STRYKER, Inc.", "b", "x"), ("1", "stryker", "b", ""), ("2", "Stryker", "b", None), ("4", "other", "b", "y")], "primary_di string, company_name string, brand_name string, catalog_number string")
-    assert [r.primary_di for r in catalog.search(rows, "stryker").collect()] == ["3"]
+    rows = spark.createDataFrame([("3", "ACME, Inc.", "b", "x"), ("1", "acme", "b", ""), ("2", "Acme", "b", None), ("4", "other", "b", "y")], "primary_di string, company_name string, brand_name string, catalog_number string")
+    assert [r.primary_di for r in catalog.search(rows, "acme").collect()] == ["3"]
     names = spark.createDataFrame([("3_x.pdf",)], "file_name string")
     assert [r.primary_di for r in catalog.skip_existing(rows.where("catalog_number <> ''"), names, t.file_name(F.col("primary_di"), F.col("catalog_number"))).collect()] == ["4"]
 
