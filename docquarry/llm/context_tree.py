@@ -5,9 +5,11 @@ all other bytes. Each symbol is six binary decisions, and each decision has a co
 estimates by Krichevsky-Trofimov, and weighs its own estimate against its children's: P_w = P_e / 2 + prod(P_w of children) / 2. The
 weights of all depths on the path are mixed into the probability of a decision. A child that has seen nothing leaves the decision to its parent.
 
-Trees are DEPTH symbols deep. At the last depth, contexts with less than 2^-SHARE of all training symbols are one child
-of their parent together, so that the model's size has a bound whatever the corpus: 2^SHARE + 64^3 rows of 64 numbers, and a table of 64^4 row
-numbers. Counting covers all training texts: what it gathers grows with their distinct n-grams and words.
+Trees are DEPTH symbols deep, and every context of the training texts counts by itself, however rare. Counts are dealt by the context one
+symbol shorter, so that all children of a node meet in one task, which sums what the node needs of them. The driver gets these sums
+alone, 64^3 rows at most whatever the corpus, and weighs the tree above; the last depth is then weighed where its counts lie. Of the last
+depth, contexts with 2^-HELD of all training symbols or more are broadcast (2^HELD at most, beside a table of 64^4 row numbers), and all
+others are joined to their occurrences. Counting covers all training texts: what it gathers grows with their distinct n-grams and words.
 
 Base: log10((c + 1) / (N + 1 * (V + 1))) for each word and the end. Counts of the most frequent words, 2^FREQUENT at most, are broadcast;
 all others are joined.
@@ -28,7 +30,11 @@ from .common import LOWER, UPPER, materialise, slices
 BITS, DEPTH = 6, 4
 SYMBOLS = 1 << BITS
 END, ESCAPE = SYMBOLS - 2, SYMBOLS - 1
-SHARE, FREQUENT = 18, 17
+HELD, FREQUENT = 18, 17
+#: None, or for a coarser model: contexts of DEPTH symbols with less than 2^-SHARE of all training symbols are one child of their parent together.
+SHARE: int | None = None
+#: Contexts one symbol shorter than the last depth.
+PARENTS = SYMBOLS ** (DEPTH - 1)
 #: Bytes of text that are handled at once.
 AT_ONCE = 2 << 20
 LN2 = float(np.log(2.0))
@@ -109,12 +115,40 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1.0) - float(np.log(np.pi))
+    out = np.empty(n0.shape)
+    for k in range(0, len(out), 4096):
+        a, b = n0[k : k + 4096], n1[k : k + 4096]
+        out[k : k + 4096] = lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0) - float(np.log(np.pi))
+    return out
+
+
+def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of the 63 decisions was zero and one, from rows of 64 counts."""
+    n = [counts.reshape(len(counts), 1 << level, 2, SYMBOLS >> (level + 1)).sum(-1) for level in range(BITS)]
+    return np.concatenate([x[..., 0] for x in n], 1), np.concatenate([x[..., 1] for x in n], 1)
+
+
+def logs_of(one: np.ndarray) -> np.ndarray:
+    """log10 of each symbol's probability, from the probability of a one in each decision."""
+    out, symbol = np.zeros((len(one), SYMBOLS)), np.arange(SYMBOLS)
+    for level in range(BITS):
+        q = one[:, (1 << level) - 1 + (symbol >> (BITS - level))]
+        out += np.log10(np.where((symbol >> (BITS - 1 - level)) & 1, q, 1.0 - q))
+    return out
+
+
+def gathered(name: np.ndarray, *tables: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct names in order, each row's place among them, and the sums of the tables' rows of each name."""
+    own, at = np.unique(name, return_inverse=True)
+    sums = [np.zeros((len(own), t.shape[1])) for t in tables]
+    for total, t in zip(sums, tables):
+        np.add.at(total, at.ravel(), t)
+    return own, at.ravel(), *sums
 
 
 @dataclass
 class Model:
-    """code: each byte's symbol; row: of each context; logs: log10 of each symbol's probability in each row; escaped: of each escaped byte."""
+    """code: each byte's symbol; row: of each context, or -1 where it must be joined; logs: log10 of each symbol's probability in each row; escaped: of each escaped byte."""
 
     code: np.ndarray
     row: np.ndarray
@@ -122,72 +156,84 @@ class Model:
     escaped: np.ndarray
 
 
-def build(code: np.ndarray, context: np.ndarray, rest: np.ndarray, counts: np.ndarray, escaped: np.ndarray) -> Model:
-    """The model from leaf counts: rows of 64 counts for contexts of DEPTH symbols, or, where rest holds, for all others below a context one shorter."""
-    size = SYMBOLS
-    if not len(context):  # nothing was learnt: one context that has seen nothing
-        context, rest, counts = np.zeros(1, np.int64), np.zeros(1, bool), np.zeros((1, size))
-    order = np.lexsort((rest, context, context % size ** (DEPTH - 1)))  # children of a node stand together
-    context, rest, counts = context[order], rest[order], counts[order]
-    # nodes of each depth with their counts, and the row of the parent of each node of the next depth
-    names, table, parent = [None] * (DEPTH + 1), [None] * (DEPTH + 1), [None] * (DEPTH + 1)
-    names[DEPTH], table[DEPTH] = context, counts
-    shorter = context % size ** (DEPTH - 1)
+@dataclass
+class Top:
+    """The tree without its last depth. names: the contexts of each depth; logs: log10 of each symbol's probability after them, where nothing longer is known.
+
+    Each decision after a child of a longest context has probability fixed + passed * own of a one; own is the child's estimate, or, if it has seen nothing, one."""
+
+    names: list[np.ndarray]
+    logs: list[np.ndarray]
+    fixed: np.ndarray
+    passed: np.ndarray
+    one: np.ndarray
+
+
+def top_of(parent: np.ndarray, counts: np.ndarray, below: np.ndarray) -> Top:
+    """The top, from contexts of DEPTH - 1 symbols in order, their counts, and the sums of log P_w of their children for each decision."""
+    if not len(parent):  # nothing was learnt: one context that has seen nothing
+        parent, counts, below = np.zeros(1, np.int64), np.zeros((1, SYMBOLS)), np.zeros((1, SYMBOLS - 1))
+    names, up, seen, one, stop = ([None] * DEPTH for _ in range(5))
     for d in range(DEPTH - 1, -1, -1):
-        own, at = np.unique(shorter % size**d, return_inverse=True)
-        names[d], parent[d + 1] = own, at.ravel()
-        table[d] = np.zeros((len(own), size))
-        np.add.at(table[d], parent[d + 1], table[d + 1])
-        shorter = own
-    leaf_of = []  # for every row of the model, its node at each depth of its path
-    for d in range(DEPTH, -1, -1):
-        up, chain = np.arange(len(names[d])), [None] * (DEPTH + 1)
-        for e in range(d, -1, -1):
-            chain[e] = up
-            if e:
-                up = parent[e][up]
-        leaf_of.append((d, chain))
-    logs = [np.zeros((len(names[d]), size)) for d, _ in leaf_of]
-    symbol = np.arange(size)
-    for level in range(BITS):
-        n = [t.reshape(len(t), 1 << level, 2, -1).sum(-1) for t in table]
-        own = [log_kt(x[..., 0], x[..., 1]) for x in n]
-        one = [(x[..., 1] + 0.5) / (x.sum(-1) + 1.0) for x in n]
-        weighted, stop = own[DEPTH], [None] * (DEPTH + 1)
-        for d in range(DEPTH - 1, -1, -1):
-            below = np.zeros_like(own[d])
-            np.add.at(below, parent[d + 1], weighted)
-            weighted = np.logaddexp(own[d], below) - LN2
-            stop[d] = np.exp(np.minimum(own[d] - LN2 - weighted, 0.0))
-        prefix, bit = symbol >> (BITS - level), (symbol >> (BITS - 1 - level)) & 1
-        for out, (depth, chain) in zip(logs, leaf_of):
-            q = one[depth]
-            for d in range(depth - 1, -1, -1):
-                seen = n[d + 1][chain[d + 1]].sum(-1) > 0
-                s = np.where(seen, stop[d][chain[d]], 1.0)
-                q = s * one[d][chain[d]] + (1.0 - s) * q
-            q = q[:, prefix]
-            out += np.log10(np.where(bit, q, 1.0 - q))
-    row = np.zeros(size**DEPTH, np.int32)
-    begin = np.cumsum([0] + [len(x) for x in logs])
-    for (d, _), first in list(zip(leaf_of, begin))[:0:-1]:  # from the shortest contexts
-        for k, name in enumerate(names[d].tolist()):
-            row.reshape(-1, size**d)[:, name] = first + k
-    for k in np.flatnonzero(rest).tolist():
-        row.reshape(size, -1)[:, context[k] % size ** (DEPTH - 1)] = k
-    whole = np.flatnonzero(~rest)
-    row[context[whole]] = whole
-    total = escaped.sum()
-    return Model(code, row, np.concatenate(logs).astype(np.float32), np.log10((escaped + 0.5) / (total + 0.5 * len(escaped))).astype(np.float64))
-
-
-def log10_of(model: Model, body: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each text, its end included."""
+        names[d] = parent
+        zeros, ones = decisions(counts)
+        own = log_kt(zeros, ones)
+        weighted = np.logaddexp(own, below) - LN2
+        seen[d], one[d], stop[d] = zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1.0), np.exp(np.minimum(own - LN2 - weighted, 0.0))
+        if d:
+            parent, up[d], counts, below = gathered(parent % SYMBOLS ** (d - 1), counts, weighted)
+    logs, fixed, passed = [], np.zeros((1, SYMBOLS - 1)), np.ones((1, SYMBOLS - 1))
+    for d in range(DEPTH):
+        if d:
+            fixed, passed = fixed[up[d]], passed[up[d]]
+            passed, fixed = np.where(seen[d], passed, 0.0), np.where(seen[d], fixed, fixed + passed * one[d - 1][up[d]])
+        logs.append(logs_of(fixed + passed * one[d]))
+        fixed, passed = fixed + passed * stop[d] * one[d], passed * (1.0 - stop[d])
+    return Top(names, logs, fixed, passed, one[DEPTH - 1])
+
+
+def leaf_logs(top: Top, context: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 of each symbol's probability after contexts of the last depth, from their counts."""
+    at = np.searchsorted(top.names[-1], context % PARENTS)
+    zeros, ones = decisions(counts)
+    own = np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1.0), top.one[at])
+    return logs_of(top.fixed[at] + top.passed[at] * own)
+
+
+def assemble(code: np.ndarray, top: Top, children: np.ndarray, context: np.ndarray, rest: np.ndarray, logs: np.ndarray, escaped: np.ndarray) -> Model:
+    """The model that holds the given contexts of the last depth. children: for each longest context of the top, the bit set of the symbols before it that make a context of the last depth."""
+    row = np.zeros(SYMBOLS**DEPTH, np.int32)
+    begin = len(context)
+    for d in range(DEPTH):
+        row.reshape(-1, SYMBOLS**d)[:, top.names[d]] = begin + np.arange(len(top.names[d]))
+        begin += len(top.names[d])
+    deepest = row.reshape(SYMBOLS, PARENTS)
+    deepest[:, context[rest] % PARENTS] = np.flatnonzero(rest)
+    for k in range(SYMBOLS):
+        deepest[k, top.names[-1][(children >> np.uint64(k)) & np.uint64(1) > 0]] = -1
+    row[context[~rest]] = np.flatnonzero(~rest)
+    escaped_logs = np.log10((escaped + 0.5) / (escaped.sum() + 0.5 * len(escaped))).astype(np.float64)
+    return Model(code, row, np.concatenate([logs, *top.logs]).astype(np.float32), escaped_logs)
+
+
+def build(code: np.ndarray, context: np.ndarray, rest: np.ndarray, counts: np.ndarray, escaped: np.ndarray) -> Model:
+    """The model that holds all of its leaves: rows of 64 counts for contexts of DEPTH symbols, or, where rest holds, for all others below a context one shorter."""
+    parent, _, total, below = gathered(context % PARENTS, counts, log_kt(*decisions(counts)))
+    top = top_of(parent, total, below)
+    return assemble(code, top, np.zeros(len(top.names[-1]), np.uint64), context, rest, leaf_logs(top, context, counts), escaped)
+
+
+def log10_of(model: Model, body: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of the probability of each text, its end included, but without symbols whose contexts must be joined; and the texts and context * SYMBOLS + symbol of these."""
     context, symbol, text = symbols(body, begins, model.code)
-    found = model.logs.ravel()[model.row[context].astype(np.int64) * SYMBOLS + symbol].astype(np.float64)
+    row = model.row[context].astype(np.int64)
+    absent = np.flatnonzero(row < 0)
+    found = model.logs.ravel()[np.maximum(row, 0) * SYMBOLS + symbol].astype(np.float64)
+    found[absent] = 0.0
     out = np.bincount(text, found, len(begins) - 1)
     other = np.flatnonzero(model.code[body] == ESCAPE)
-    return out + np.bincount(np.searchsorted(begins, other, "right") - 1, model.escaped[body[other]], len(begins) - 1)
+    out += np.bincount(np.searchsorted(begins, other, "right") - 1, model.escaped[body[other]], len(begins) - 1)
+    return out, text[absent], (context[absent] << np.uint32(BITS)) | symbol[absent]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -204,10 +250,31 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 
 PACKED = "kind int, bucket int, body binary"
 GROUPS = 64
-
-
-def train(docs: DataFrame, training: Column, text_col: str = "text") -> tuple[Model, DataFrame, int]:
-    """The model, (word, n) counts of all words by hash, and the number of training texts; training chooses the rows of docs to learn from."""
+#: Kinds of counted rows. Of a LEAF, key is the context and body its counts; of a WORD, its hash; of a NODE, a context of DEPTH - 1 symbols, n is the bit set
+#: of the symbols before it that make leaves, and body its counts and the sums of its leaves' log P_w; a REST is one leaf of all rare contexts below key.
+LEAF, WORD, NODE, REST = range(4)
+
+
+def node_rows(keys: np.ndarray, counts: np.ndarray, least: float) -> pa.Table:
+    """The LEAF, NODE and REST rows from distinct context * SYMBOLS + symbol and their counts; contexts with counts below least are put into a REST."""
+    context, at = np.unique((keys >> np.uint64(BITS)).astype(np.int64), return_inverse=True)
+    n = np.bincount(at, counts, len(context))
+    rare = n < least
+    name, place = np.unique(np.where(rare, context % PARENTS + SYMBOLS**DEPTH, context), return_inverse=True)  # rests after all others
+    table = np.zeros((len(name), SYMBOLS), np.int64)
+    np.add.at(table, (place.ravel()[at], (keys & np.uint64(SYMBOLS - 1)).astype(np.int64)), counts)
+    rest = name >= SYMBOLS**DEPTH
+    parent, own, total, below = gathered(name % PARENTS, table, log_kt(*decisions(table)))
+    children = np.zeros(len(parent), np.uint64)
+    np.bitwise_or.at(children, own[~rest], np.uint64(1) << (name[~rest] // PARENTS).astype(np.uint64))
+    return pa.table({
+        "kind": pa.array(np.concatenate((np.where(rest, REST, LEAF), np.full(len(parent), NODE))), pa.int32()), "key": pa.array(np.concatenate((name % SYMBOLS**DEPTH, parent)), pa.int64()),
+        "n": pa.array(np.concatenate((table.sum(1), children.view(np.int64)))), "body": pa.array([x.tobytes() for x in table] + [x.tobytes() for x in np.concatenate((total, below), 1)], pa.binary()),
+    })
+
+
+def train(docs: DataFrame, training: Column, text_col: str = "text") -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model, (context, logs) of the contexts that it doesn't hold, (word, n) counts of all words by hash, and the number of training texts; training chooses the rows of docs to learn from."""
     chosen = docs.where(training).select(F.col(text_col).alias("text"))
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +290,13 @@ def train(docs: DataFrame, training: Column, text_col: str = "text") -> tuple[Mo
     code = np.full(256, ESCAPE, np.uint8)
     often = sorted((b for b, n in seen.items() if n), key=lambda b: (-seen[b], b))[:END]
     code[often] = np.arange(len(often))
+    total = sum(seen.values()) + texts
+    least = total / 2**SHARE if SHARE is not None else 0.0
+    held_from = total / 2**HELD
     escaped = np.array([0 if code[b] != ESCAPE else seen.get(b, 0) for b in range(256)], np.float64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {0: [], 1: []}
+        held: dict[int, list] = {LEAF: [], WORD: []}
 
         def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
             k, c = (np.concatenate(x) for x in zip(*held[kind])) if held[kind] else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -235,14 +305,17 @@ def train(docs: DataFrame, training: Column, text_col: str = "text") -> tuple[Mo
         for batch in slices(batches, "text", AT_ONCE):
             body, begins = text_bytes(batch, 0)
             context, symbol, _ = symbols(body, begins, code)
-            held[0].append(summed((context.astype(np.uint64) << np.uint64(BITS)) | symbol))
-            held[1].append(summed(words(body, begins)[1]))
+            held[LEAF].append(summed((context.astype(np.uint64) << np.uint64(BITS)) | symbol))
+            held[WORD].append(summed(words(body, begins)[1]))
             for kind in held:
                 if len(held[kind]) >= 8:
                     held[kind] = [merged(kind)]
         for kind in held:
             keys, counts = merged(kind)
-            group = (keys >> np.uint64(BITS)) % np.uint64(GROUPS) if kind == 0 else keys % np.uint64(GROUPS)  # n-grams by their last context symbol
+            if kind == LEAF:  # n-grams by their context without its first symbol
+                group = (((keys >> np.uint64(BITS)) % np.uint64(PARENTS)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(GROUPS)
+            else:
+                group = keys % np.uint64(GROUPS)
             for g in np.unique(group):
                 mine = group == g
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int(g)], pa.int32()), pa.array([np.stack((keys[mine], counts[mine].astype(np.uint64))).tobytes()], pa.binary())], ["kind", "bucket", "body"])
@@ -250,20 +323,34 @@ def train(docs: DataFrame, training: Column, text_col: str = "text") -> tuple[Mo
     def add(group: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in group.column("body")]
         keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
-        return pa.table({"kind": pa.array(np.full(len(keys), group.column("kind")[0].as_py(), np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
-
-    counted = materialise(chosen.mapInArrow(count, PACKED).groupBy("kind", "bucket").applyInArrow(add, "kind int, key long, n long"), "ngrams")
-    vocabulary = counted.where("kind = 1").select(F.col("key").alias("word"), "n")
-    grams = counted.where("kind = 0").select((F.col("key") / SYMBOLS).cast("long").alias("context"), (F.col("key") % SYMBOLS).cast("int").alias("symbol"), "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    large = grams.groupBy("context").agg(F.sum("n").alias("all")).withColumn("rest", F.col("all") < total / 2**SHARE).select("context", "rest")
-    leaf = grams.join(large, "context").select(F.when(F.col("rest"), F.col("context") % SYMBOLS ** (DEPTH - 1)).otherwise(F.col("context")).alias("context"), "rest", "symbol", "n")
-    found = leaf.groupBy("context", "rest", "symbol").agg(F.sum("n").alias("n")).toArrow()  # at most 2^SHARE + 64^3 contexts
-    context, rest = found.column("context").to_numpy().astype(np.int64), found.column("rest").to_numpy(zero_copy_only=False).astype(bool)
-    rows, at = np.unique(context * 2 + rest, return_inverse=True)
-    counts = np.zeros((len(rows), SYMBOLS))
-    counts[at.ravel(), found.column("symbol").to_numpy()] = found.column("n").to_numpy()
-    return build(code, rows // 2, rows % 2 == 1, counts, escaped), vocabulary, texts
+        if group.column("kind")[0].as_py() == LEAF:
+            return node_rows(keys, counts, least)
+        return pa.table({"kind": pa.array(np.full(len(keys), WORD, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(counts), "body": pa.nulls(len(keys), pa.binary())})
+
+    counted = materialise(chosen.mapInArrow(count, PACKED).groupBy("kind", "bucket").applyInArrow(add, "kind int, key long, n long, body binary"), "ngrams")
+    vocabulary = counted.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
+    nodes = counted.where(F.col("kind") == NODE).select("key", "n", "body").orderBy("key").toArrow()  # 64^3 rows at most
+    sums = np.frombuffer(b"".join(x.as_buffer() for x in nodes.column("body")), np.float64).reshape(-1, 2 * SYMBOLS - 1)
+    children = nodes.column("n").to_numpy().view(np.uint64) if len(nodes) else np.zeros(1, np.uint64)
+    top = top_of(nodes.column("key").to_numpy(), sums[:, :SYMBOLS], sums[:, SYMBOLS:])
+    given = docs.sparkSession.sparkContext.broadcast(top)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            counts = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(3)), np.int64).reshape(-1, SYMBOLS)
+            kind, context, n = (batch.column(k).to_numpy() for k in range(3))
+            logs = leaf_logs(given.value, context, counts).astype(np.float32)
+            logs = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * SYMBOLS, pa.int32()), pa.array(logs.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kind == REST), pa.array((kind == REST) | (n >= held_from)), logs], ["context", "rest", "held", "logs"])
+
+    leaves = materialise(counted.where(F.col("kind").isin(LEAF, REST)).select("kind", "key", "n", "body").mapInArrow(weigh, "context long, rest boolean, held boolean, logs array<float>"), "leaves")
+    held = leaves.where("held").toArrow()  # 2^HELD contexts at most, and with SHARE 64^3 rests
+    logs = held.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, SYMBOLS)
+    model = assemble(code, top, children, held.column("context").to_numpy(), held.column("rest").to_numpy().astype(bool), logs, escaped)
+    given.unpersist()
+    return model, leaves.where("not held").select("context", "logs"), vocabulary, texts
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +360,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     any training text nothing is known, and the model gives each decision one half. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    model, vocabulary, ends = train(docs, training, text_col)
+    model, leaves, vocabulary, ends = train(docs, training, text_col)
     by_size = vocabulary.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("size")).collect()  # 64 rows at most
     total, distinct = sum(r["n"] for r in by_size) + ends, sum(r["words"] for r in by_size) + (ends > 0)
     least, held = 64, 0
@@ -301,22 +388,25 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             at = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
             hit = names[at] == h if len(names) else np.zeros(len(h), bool)
             own = np.bincount(text[hit], logs[at[hit]], n) if len(names) else np.zeros(n)
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(text[~hit], minlength=n)))), pa.int32()), pa.array(h[~hit].view(np.int64)))
+            score, deep, grams = log10_of(model, body, begins)
+            lists = lambda texts, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(texts, minlength=n)))), pa.int32()), pa.array(values))
             columns = [
                 pa.array(np.arange(n) + number), batch.column(0), batch.column(1), pa.array(np.diff(begins)), pa.array(np.bincount(text, minlength=n) + 1), pa.array(np.bincount(text[hit], minlength=n) + (ends > 0)),
-                pa.array(own + end_log), pa.array(log10_of(model, body, begins)), rare,
+                pa.array(own + end_log), pa.array(score), lists(text[~hit], h[~hit].view(np.int64)), lists(deep, grams.view(np.int32)),
             ]
             number += n
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "training", "n_bytes", "n_tokens", "n_known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "training", "n_bytes", "n_tokens", "n_known", "base", "score", "rare", "grams"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     asked = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
-    scored = materialise(asked.mapInArrow(run, f"row long, id {kind}, training boolean, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<long>"), "scored")
-    # all other words are joined to their counts
+    scored = materialise(asked.mapInArrow(run, f"row long, id {kind}, training boolean, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<long>, grams array<int>"), "scored")
+    # all other words are joined to their counts, and all other contexts to their probabilities
     rare = scored.select("row", F.explode("rare").alias("word"))
-    rare = rare.join(vocabulary, "word", "left").select("row", F.col("n").isNotNull().cast("long").alias("known"), F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(denominator)).alias("log"))
-    rare = rare.groupBy("row").agg(F.sum("known").alias("known"), F.sum("log").alias("log"))
-    out = scored.drop("rare").join(rare, "row", "left")
+    rare = rare.join(vocabulary, "word", "left").select("row", F.col("n").isNotNull().cast("long").alias("known"), F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(denominator)).alias("log"), F.lit(0.0).alias("deep"))
+    grams = scored.select("row", F.explode("grams").alias("gram")).select("row", F.shiftright("gram", BITS).cast("long").alias("context"), F.col("gram").bitwiseAND(SYMBOLS - 1).alias("symbol"))
+    grams = grams.join(leaves, "context").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), F.get("logs", "symbol").cast("double").alias("deep"))
+    joined = rare.union(grams).groupBy("row").agg(F.sum("known").alias("known"), F.sum("log").alias("log"), F.sum("deep").alias("deep"))
+    out = scored.drop("rare", "grams").join(joined, "row", "left").withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes"))
     return out.select(
         F.col("id").alias(id_col), "training", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

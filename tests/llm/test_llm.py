@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +337,30 @@ def test_context_tree_with_shared_rests(spark, monkeypatch):
     assert coarse[0] < full < 0
 
 
+def test_context_tree_keeps_every_context(spark, monkeypatch):
+    """Contexts far below 2^-18 of the training symbols count by themselves, whether they are broadcast or joined."""
+    rng = random.Random(3)
+    texts = ["the same line again. " * 5000] * 8 + ["".join(rng.choices("abcdefgh ", k=200)) for _ in range(40)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    body, begins = context_tree.text_bytes(pa.RecordBatch.from_pydict({"text": texts}), 0)
+    seen = np.bincount(body, minlength=256)
+    code = np.full(256, context_tree.ESCAPE, np.uint8)
+    often = sorted(np.flatnonzero(seen).tolist(), key=lambda b: (-seen[b], b))
+    code[often] = np.arange(len(often))
+    context, symbol, _ = context_tree.symbols(body, begins, code)
+    rows, at = np.unique(context, return_inverse=True)
+    counts = np.zeros((len(rows), 64))
+    np.add.at(counts, (at, symbol), 1)
+    assert (counts.sum(1) < len(context) / 2**18).sum() > 1000
+    whole = context_tree.build(code, rows.astype(np.int64), np.zeros(len(rows), bool), counts, np.zeros(256))
+    chances = whole.logs[whole.row[context], symbol]
+    want = np.bincount(np.repeat(np.arange(len(texts)), np.diff(begins) + 1), chances, len(texts))
+    for held in (18, 2, 40):
+        monkeypatch.setattr(context_tree, "HELD", held, raising=False)
+        got = {r.doc_id: r.score for r in context_tree.score(docs, F.lit(True)).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-6)
+
+
 # decontamination
 
 
