@@ -131,6 +131,6 @@ def hits(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
     """The rows of docs in which no window of an item stands."""
-    bad = hits(phrase_matches(docs, items, width, id_col, text_col, **names).where("item is not null"), "id").select("id", "key")
+    bad = hits(phrase_matches(docs, items, width, id_col, text_col, **names).where("begin is not null"), "id").select("id", "key")
     mine = docs.withColumn("docquarry_key", F.xxhash64(text_col))
     return mine.join(bad, mine[id_col].eqNullSafe(bad["id"]) & (F.col("docquarry_key") == F.col("key")), "left_anti").drop("docquarry_key")

@@ -396,6 +396,13 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert decontamination.hits(decontamination.phrase_matches(docs, items.limit(0))).where("n_hit > 0").count() == 0
 
 
+def test_items_without_an_id_contaminate(spark, docs):
+    items = spark.createDataFrame([(None, "lazy dog the quick")], "item_id long, text string")
+    hit = {r.doc_id for r in decontamination.hits(decontamination.phrase_matches(docs, items)).where("n_hit > 0").collect()}
+    left = {r.doc_id for r in decontamination.decontaminate(docs, items).collect()}
+    assert hit == {1} and left == {i for i, _ in ROWS} - hit
+
+
 # toxicity
 
 
