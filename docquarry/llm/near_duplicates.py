@@ -134,17 +134,18 @@ def class_of(hashes: np.ndarray) -> int:
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (size of the set), class (name of the set) and bands (bucket keys), from one pass over the texts.
 
-    Within a batch, later documents of a class leave their bands out."""
+    Within a batch, later documents of a class leave their bands out; rows without an id, which are linked with nothing, have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sizes, names, keys, seen = [], [], [], set()
-            for text in batch.column(1).to_pylist():
+            for known, text in zip(batch.column(0).is_valid().to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text)
                 sizes.append(len(s))
                 names.append(name := class_of(s))
-                keys.append(None if name in seen or not len(s) else bands(s))
-                seen.add(name)
+                keys.append(None if name in seen or not len(s) or not known else bands(s))
+                if known:
+                    seen.add(name)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "class", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, class long, bands array<long>")

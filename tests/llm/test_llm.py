@@ -478,6 +478,15 @@ def test_near_duplicates(spark, docs, none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
 
+def test_row_without_an_id_takes_no_links(spark):
+    """A row with a null id stands before one with the same set, in the same slice, that is near another."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join([*words[:-1], "other"]))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)
+    assert sorted(r.component_id for r in got if r.doc_id) == [1, 1]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(5, 5)]
