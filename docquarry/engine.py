@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,6 +17,8 @@ from .sources import sinks
 log = logging.getLogger(__name__)
 #: Results of the interactive search.
 SHOWN = 5
+#: The answer where synthesis fails. Fixed wording.
+DEGRADED = "Could not generate synthesis. Raw context retrieved.\n\nError: {}"
 
 
 @dataclass
@@ -48,7 +51,7 @@ class Engine:
         try:
             said = self.synthesizer.answer(answer.prompt(query, text), [r["content"] or "" for r in rows])
         except Exception as e:  # noqa: BLE001  results are worth more than an answer
-            said = f"Could not generate synthesis. Raw context retrieved.\n\nError: {e}"
+            said = DEGRADED.format(e)
         return {"answer": said, "results": rows}
 
     def locate(self, source: str, text: str) -> dict[str, Any]:
@@ -76,6 +79,20 @@ class Engine:
                 found["shown"] = {"source": first, "page": 1, "spans": []}
         return found
 
+    def search_batch(self, requests: DataFrame, limit: int = SHOWN) -> DataFrame:
+        """(query_id, rk, id, similarity) for requests (query_id, query), all in one search; ids of chunks must be whole numbers, or their text."""
+        chunks = self._need(self.chunks, "chunk")
+        asked = requests.select("query_id", document_vectors(self.embedder, "query")(F.col("query")).alias("embedding"))
+        found = matching.nearest(chunks.select(F.col("id").cast("long").alias("id"), "embedding"), asked, limit, key="id", query_key="query_id")
+        return found.select(F.col("q_id").alias("query_id"), "rk", "id", (F.lit(1.0) - F.col("distance")).alias("similarity"))
+
+    def highlight(self, source: str, text: str, content: bytes, render: Callable[[bytes, int, list[dict]], bytes]) -> dict[str, Any]:
+        """{content, headers}: a document's bytes with a passage marked by an injected renderer, and the page in X-Found-Page; unmarked, and without the header, where the passage isn't found."""
+        place = self.locate(source, text)
+        if place["found_page"] is None:
+            return {"content": content, "headers": {}}
+        return {"content": render(content, place["found_page"], place["spans"]), "headers": {"X-Found-Page": str(place["found_page"])}}
+
     def ingest(self, pages: DataFrame, path: str) -> DataFrame:
         """Chunk, embed and append the texts of pages to the chunk table at a path; returns the table."""
         rows = chunking.chunk_rows(chunking.whole_texts(pages), embed=document_vectors(self.embedder))

@@ -41,12 +41,12 @@ class HashingEmbedder:
         return out.tolist()
 
 
-def document_vectors(embedder: Embedder) -> Callable[[Column], Column]:
+def document_vectors(embedder: Embedder, task: str = "document") -> Callable[[Column], Column]:
     """An expression that embeds a text column, an Arrow batch at a time."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed(texts.fillna("").tolist(), "document"))
+        return pd.Series(embedder.embed(texts.fillna("").tolist(), task))
 
     return run
 

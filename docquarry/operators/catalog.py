@@ -20,15 +20,14 @@ def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return keyed.unionByName(rows.where(F.col(key).isNull()))
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "primary_di", order: str | None = None) -> DataFrame:
+def upsert(existing: DataFrame, incoming: DataFrame, key: str = "primary_di", order: str = "seq") -> DataFrame:
     """The device table after a load: of rows with one key the last incoming one gives the values that it supplies, id and creation time stay those of the first insert.
 
-    order: the column of incoming that says which row is last; by default the row order of each partition. Rows with a null key are always new.
-    One pass over both tables and one shuffle by key, instead of batches; no batch is lost for a repeated key.
+    order: the column of incoming that says which row is last (rows with the same key and order count as one, whose other columns then decide). Rows with a null
+    key are always new; their ids follow from their values and order, so that a task that is run again makes the same rows. One pass over both tables and one shuffle by key, instead of batches; no batch is lost for a repeated key.
     """
-    order_col = F.col(order) if order else F.monotonically_increasing_id()
     supplied = [c for c in incoming.columns if c in DEVICES.names and c not in ("id", "created_at")]
-    new = incoming.withColumn("__seq", order_col)
+    new = incoming.withColumn("__seq", F.struct(F.col(order), *[c for c in supplied if c != key]))
     nulls = new.where(F.col(key).isNull())
     new = latest(new.where(F.col(key).isNotNull()), key, F.col("__seq"))
     joined = existing.where(F.col(key).isNotNull()).alias("e").join(new.alias("n"), F.col(f"e.{key}") == F.col(f"n.{key}"), "full")
@@ -42,7 +41,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "primary_di", or
         return F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"e.{c}")) if c in supplied else F.col(f"e.{c}")
 
     merged = joined.select(*[value(c).alias(c) for c in DEVICES.names])
-    added = nulls.select(*[F.expr("uuid()").alias(c) if c == "id" else F.current_timestamp().alias(c) if c == "created_at" else (F.col(c) if c in supplied else F.lit(None).cast("string")).alias(c) for c in DEVICES.names])
+    added = nulls.select(*[t.natural_id(F.lit("row"), F.col(order), *[F.col(x) for x in supplied]).alias(c) if c == "id" else F.current_timestamp().alias(c) if c == "created_at" else (F.col(c) if c in supplied else F.lit(None).cast("string")).alias(c) for c in DEVICES.names])
     return merged.unionByName(existing.where(F.col(key).isNull()).select(*DEVICES.names)).unionByName(added)
 
 

@@ -18,10 +18,12 @@ def chunks(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int =
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be at least 0 and less than the size")
     step = size - overlap
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step)))
+    # a text is divided once into pieces of a step each, and a window put together from the pieces that it reaches into
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    window = lambda _, i: F.substring(F.array_join(F.slice("__pieces", i + 1, F.lit(-(-size // step))), ""), 1, size)
     others = [c for c in docs.columns if c not in (text, index, content)]
-    exploded = docs.select(*others, F.col(text).alias("__text"), F.posexplode(starts).alias(index, "__start"))
-    return exploded.select(*others, F.col(index).cast("long").alias(index), F.substring("__text", F.col("__start") + 1, F.lit(size)).alias(content))
+    cut = docs.select(*others, pieces.alias("__pieces")).select(*others, F.posexplode(F.transform("__pieces", window)).alias(index, content))
+    return cut.select(*others, F.col(index).cast("long").alias(index), content)
 
 
 def whole_texts(pages: DataFrame, key: str = "source", order: str = "page_no", text: str = "page_text", out: str = "text") -> DataFrame:

@@ -83,9 +83,20 @@ def acceptable(url: Column, part: str = "pdf") -> Column:
     return t.has(t.or_empty(url), part)
 
 
+def first_hits(hits: DataFrame, *keys: str, order: str = "rank", most: int = HITS) -> DataFrame:
+    """The first `most` hits of each key in an order, numbered from 1 as `n`."""
+    numbered = hits.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
+    return numbered.where(F.col("n") <= most)
+
+
+def is_document(content_type: Column, url: Column, part: str = "pdf") -> Column:
+    """Whether an answer's content type or its URL speak of a document: a flag for the log, as answers without it are kept, too."""
+    return acceptable(content_type, f"application/{part}") | F.lower(t.or_empty(url)).endswith(f".{part}")
+
+
 def first_url(hits: DataFrame, *keys: str, order=("template_no", "rank"), url: str = "href", part: str = "pdf", most: int | None = HITS) -> DataFrame:
     """(keys, url): for each key the first acceptable URL by template and rank, of the first `most` hits of each template. A template without hits counts for nothing."""
     rows = hits
     if most is not None and len(order) > 1:
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, *order[:-1]).orderBy(order[-1]))).where(F.col("__n") <= most).drop("__n")
+        rows = first_hits(rows, *keys, *order[:-1], order=order[-1], most=most).drop("n")
     return rows.where(acceptable(F.col(url), part)).groupBy(*keys).agg(F.min_by(url, F.struct(*order)).alias(url))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import search_term
 
 FIRST, ALL = 40, 50
+#: Up to so many terms are broadcast, some 100 bytes each.
+BROADCAST_TERMS = 200_000
 
 
 def on_page(page: Column, term: Column) -> Column:
@@ -34,7 +36,10 @@ def matching_pages(passages: DataFrame, pages: DataFrame, key: str = "source", p
     """(id, key, term, page_no, page_text) of the pages of a passage's document with its term: a join on the document, the term as a further condition."""
     term = search_term(F.col(passage), length) if term is None else term
     wanted = passages.select(F.col(id_col).alias("__id"), F.col(key).alias("__key"), term.alias("term"))
-    wanted = wanted.where(F.col("term") != "").join(pages, (F.col("__key") == pages[key]) & on_page(F.col("page_text"), F.col("term")))
+    wanted = wanted.where(F.col("term") != "")
+    # terms are short: where they are few, they are broadcast and pages are tested where they are read
+    wanted = F.broadcast(wanted) if passages.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
+    wanted = wanted.join(pages, (F.col("__key") == pages[key]) & on_page(F.col("page_text"), F.col("term")))
     return wanted.select(F.col("__id").alias(id_col), F.col("__key").alias(key), "term", F.col("page_no").cast("long").alias("page_no"), "page_text")
 
 
@@ -56,6 +61,11 @@ def highlighted(passages: DataFrame, pages: DataFrame, key: str = "source", pass
     return passages.select(id_col).join(first, id_col, "left").select(id_col, F.col("f.page_no").alias("found_page"), F.coalesce(F.col("f.spans"), F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"))
 
 
+def with_documents(results: DataFrame, files: DataFrame, source: Column, name: str = "file_name") -> DataFrame:
+    """Results with the file of the document that each is from; null columns where there is none."""
+    return results.withColumn("__source", source).join(files, F.col("__source") == files[name], "left").drop("__source")
+
+
 def any_found(found: DataFrame) -> DataFrame:
     """One row: whether there is any page."""
     return found.limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))

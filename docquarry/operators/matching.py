@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.jsonfilter import contains
 
-#: Queries of a pack, about.
-PACKED = 2048
+#: Queries of a pack, and rows of a part, about.
+PACKED, TOGETHER = 2048, 50_000
 
 
 def match(chunks: DataFrame, query, k: int | None = None, where: Any = None, vector: str = "embedding", metadata: str | None = "metadata", key: str = "id", inner: bool = False) -> DataFrame:
@@ -38,62 +38,60 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
     """(q_id, key, distance, rk): the k rows of chunks nearest to each row of queries by cosine distance, ties by key; keys are whole numbers.
 
     Distances count to twelve decimals, so that equal vectors tie. Rows at no distance (a null vector on either side, another dimension) come last, vectors of
-    length zero before them. Queries are taken in packs of PACKED, about, each one pass over the chunks: what travels to the tasks is bounded,
-    and each task returns k rows a query at most.
+    length zero before them. Packs of PACKED queries, about, meet parts of TOGETHER rows, about, in one task each, which returns k rows a query at most.
     """
-    wanted = queries.select(F.col(query_key).cast("long").alias("q_id"), F.col(vector).cast("array<double>").alias("q"))
-    rows = chunks.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    packs = max(1, -(-wanted.count() // PACKED))
-    found = None
-    for number in range(packs):
-        pack = [(r["q_id"], r["q"]) for r in wanted.where(F.pmod(F.xxhash64("q_id"), F.lit(packs)) == number).collect()]
-        part = rows.mapInPandas(_pack_search(pack, k), "q_id long, id long, distance double, far int")
-        found = part if found is None else found.unionByName(part)
+    wanted = queries.select(F.col(query_key).cast("long").alias("q_id"), F.lit(None).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = chunks.select(F.lit(None).cast("long").alias("q_id"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    packs, parts = (max(1, -(-x.count() // n)) for x, n in ((wanted, PACKED), (rows, TOGETHER)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    wanted = wanted.withColumn("pack", F.pmod(F.xxhash64("q_id"), F.lit(packs)).cast("int")).withColumn("part", every(parts))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("pack", every(packs))
+    met = wanted.unionByName(rows).groupBy("pack", "part")
+    found = met.applyInPandas(lambda group: _pack_search(group, k), "q_id long, id long, distance double, far int")
     order = Window.partitionBy("q_id").orderBy("far", "distance", "id")
     distance = F.when(F.col("far") == 0, F.col("distance")).when(F.col("far") == 1, F.lit(float("nan")))
     return found.withColumn("rk", F.row_number().over(order).cast("long")).where(F.col("rk") <= k).select("q_id", F.col("id").alias(key), distance.alias("distance"), "rk")
 
 
-def _pack_search(pack: list[tuple], k: int):
-    """A task's search for a pack of queries: its k best rows for each."""
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        sizes = {}  # queries of one dimension are handled together; those without a vector are at no distance to anything
-        for q_id, q in pack:
-            sizes.setdefault(-1 if q is None else len(q), []).append((q_id, q))
-        best: dict = {}
-
-        def offer(q_ids, ids, distances):
-            """Keep the k best; distances: a row for each id, a column for each query; None: at no distance."""
-            for j, q_id in enumerate(q_ids):
-                d = np.full(len(ids), np.nan) if distances is None else distances[:, j]
-                none = np.full(len(ids), distances is None)
-                have = best.get(q_id)
-                i, d, none = (np.concatenate(x) for x in zip(have, (ids, d, none))) if have else (ids, d, none)
-                if len(i) > 8 * k and not none.any() and not np.isnan(d).any():
-                    some = np.flatnonzero(d <= np.partition(d, k)[k])
-                    i, d, none = i[some], d[some], none[some]
-                by = np.lexsort((i, np.nan_to_num(d, nan=np.inf), np.isnan(d), none))[:k]
-                best[q_id] = (i[by], d[by], none[by])
-
-        for batch in batches:
-            lengths = batch["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
-            ids = batch["id"].to_numpy()
-            for size in np.unique(lengths).tolist():
-                mine = np.flatnonzero(lengths == size)
-                for q_size, some in sizes.items():
-                    q_ids = [q_id for q_id, _ in some]
-                    if size != q_size or size < 0:
-                        offer(q_ids, ids[mine], None)
-                        continue
-                    x, q = np.stack(batch["v"].to_numpy()[mine]), np.array([v for _, v in some])
-                    length = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        offer(q_ids, ids[mine], np.round(1.0 - np.where(length == 0, np.nan, (x @ q.T) / length), 12))
-        for q_id, (i, d, none) in best.items():
-            yield pd.DataFrame({"q_id": q_id, "id": i, "distance": np.nan_to_num(d), "far": np.where(none, 2, np.isnan(d).astype(int))})
-
-    return run
+def _pack_search(group, k: int):
+    """The k best rows of a part for each query of a pack."""
+    import numpy as np
+    import pandas as pd
+
+    asked = group[group["q_id"].notna()]
+    pack = list(zip(asked["q_id"].astype("int64"), asked["v"]))
+    batches = [group[group["q_id"].isna()]]
+    sizes = {}  # queries of one dimension are handled together; those without a vector are at no distance to anything
+    for q_id, q in pack:
+        sizes.setdefault(-1 if q is None else len(q), []).append((q_id, q))
+    best: dict = {}
+
+    def offer(q_ids, ids, distances):
+        """Keep the k best; distances: a row for each id, a column for each query; None: at no distance."""
+        for j, q_id in enumerate(q_ids):
+            d = np.full(len(ids), np.nan) if distances is None else distances[:, j]
+            none = np.full(len(ids), distances is None)
+            have = best.get(q_id)
+            i, d, none = (np.concatenate(x) for x in zip(have, (ids, d, none))) if have else (ids, d, none)
+            if len(i) > 8 * k and not none.any() and not np.isnan(d).any():
+                some = np.flatnonzero(d <= np.partition(d, k)[k])
+                i, d, none = i[some], d[some], none[some]
+            by = np.lexsort((i, np.nan_to_num(d, nan=np.inf), np.isnan(d), none))[:k]
+            best[q_id] = (i[by], d[by], none[by])
+
+    for batch in batches:
+        lengths = batch["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+        ids = batch["id"].to_numpy()
+        for size in np.unique(lengths).tolist():
+            mine = np.flatnonzero(lengths == size)
+            for q_size, some in sizes.items():
+                q_ids = [q_id for q_id, _ in some]
+                if size != q_size or size < 0:
+                    offer(q_ids, ids[mine], None)
+                    continue
+                x, q = np.stack(batch["v"].to_numpy()[mine]), np.array([v for _, v in some])
+                length = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    offer(q_ids, ids[mine], np.round(1.0 - np.where(length == 0, np.nan, (x @ q.T) / length), 12))
+    out = [pd.DataFrame({"q_id": q_id, "id": i, "distance": np.nan_to_num(d), "far": np.where(none, 2, np.isnan(d).astype(int))}) for q_id, (i, d, none) in best.items()]
+    return pd.concat(out) if out else pd.DataFrame({"q_id": [], "id": [], "distance": [], "far": []})

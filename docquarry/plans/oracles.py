@@ -42,9 +42,9 @@ SELECT string_agg('Source [' || i || '] (File: ' || coalesce(source, 'Unknown')
     "empty_result_fallback": "SELECT CASE WHEN count(*) = 0 THEN 'No relevant IFU sections found.' ELSE 'found' END AS answer FROM documents WHERE lang = 'xx'",
     "search_term": f"SELECT doc_id, {STRIPPED.format('substring(text, 1, 40)')} AS term FROM documents",
     "locate_first_page": f"""
-WITH {PAGES}, t AS (SELECT doc_id, {STRIPPED.format('substring(text, 897, 40)')} AS term FROM documents)
-SELECT t.doc_id, min(pg.page_no) AS found_page, coalesce(min(pg.page_no), 1) AS ui_page
-FROM t LEFT JOIN pg ON pg.doc_id = t.doc_id AND t.term <> '' AND contains(lower(pg.page_text), lower(t.term)) GROUP BY t.doc_id""",
+WITH {PAGES}, c AS (SELECT doc_id, CAST(st // 896 AS BIGINT) AS chunk_index, {STRIPPED.format('substring(substring(text, st + 1, 1024), 1, 40)')} AS term FROM {CUT.format(896)})
+SELECT c.doc_id, c.chunk_index, min(pg.page_no) AS found_page, coalesce(min(pg.page_no), 1) AS ui_page
+FROM c LEFT JOIN pg ON pg.doc_id = c.doc_id AND c.term <> '' AND contains(lower(pg.page_text), lower(c.term)) GROUP BY c.doc_id, c.chunk_index""",
     "locate_all_pages": f"""
 WITH {PAGES}, t AS (SELECT doc_id, {STRIPPED.format('substring(text, 1, 50)')} AS term FROM documents)
 SELECT pg.doc_id, pg.page_no FROM t JOIN pg ON pg.doc_id = t.doc_id AND t.term <> '' AND contains(lower(pg.page_text), lower(t.term))""",

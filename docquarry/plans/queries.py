@@ -6,8 +6,6 @@ nested lists; pages: candidate URLs; events: a keyed feed with JSON metadata.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from ..functions import text as t
 from ..functions import vectors
 from ..functions.jsonfilter import contains
 from ..operators import answer, catalog, chunking, feeds, locate, matching
+from ..session import scratch
 from . import oracles
 
 #: The vector that searches start from, and the most rows of the single-vector searches.
@@ -40,16 +39,20 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(docs.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), metadata.alias("metadata"), "lang", "source"), "vec_id").withColumnRenamed("vec_id", "id")
 
 
+def nearest_documents(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
+    """The rows nearest to the query vector, with their texts: ids are ranked first, and only the texts of those are joined."""
+    docs, rows = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    about = docs.select(F.col("doc_id").alias("id"), F.to_json(F.struct("source", "lang")).alias("metadata"), "lang", "source")
+    found = matching.match(rows.withColumnRenamed("vec_id", "id").join(about, "id"), query_vector(rows), TOP, where)
+    return F.broadcast(found).join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")  # TOP rows
+
+
 def match_documents_topk(spark, sf_dir):
-    rows = chunk_table(spark, sf_dir)
-    found = matching.match(rows, query_vector(read(spark, sf_dir, "embeddings")), TOP)
-    return found.select("id", "content", F.round("similarity", 6).alias("similarity"))
+    return nearest_documents(spark, sf_dir).select("id", "content", F.round("similarity", 6).alias("similarity"))
 
 
 def match_documents_filtered(spark, sf_dir):
-    rows = chunk_table(spark, sf_dir)
-    found = matching.match(rows, query_vector(read(spark, sf_dir, "embeddings")), TOP, {"lang": "en", "source": "src1"})
-    return found.select("id", "lang", F.round("similarity", 6).alias("similarity"))
+    return nearest_documents(spark, sf_dir, {"lang": "en", "source": "src1"}).select("id", "lang", F.round("similarity", 6).alias("similarity"))
 
 
 def match_documents_nolimit(spark, sf_dir):
@@ -112,9 +115,8 @@ def load_batches(spark, sf_dir):
 
 
 def _top_ranked(spark, sf_dir):
-    rows = chunk_table(spark, sf_dir)
     q = query_vector(read(spark, sf_dir, "embeddings"))
-    found = matching.match(rows, q, TOP).withColumn("distance", vectors.cosine_distance(F.col("embedding"), vectors.literal(q)))
+    found = nearest_documents(spark, sf_dir).withColumn("distance", vectors.cosine_distance(F.col("embedding"), vectors.literal(q)))
     return answer.ranked(found, F.col("distance").asc_nulls_last(), "id")
 
 
@@ -136,10 +138,11 @@ def _pages(spark, sf_dir):
 
 
 def locate_first_page(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 897, 1024).alias("content"))
-    passages = docs.withColumn("id", F.col("doc_id"))
+    """Every chunk of every document, on the pages of its document."""
+    cut = chunking.chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    passages = cut.withColumn("id", F.struct("doc_id", "chunk_index"))
     found = locate.first_page(passages, _pages(spark, sf_dir), "doc_id")
-    return found.select(F.col("id").alias("doc_id"), "found_page", "ui_page")
+    return found.select("id.doc_id", "id.chunk_index", "found_page", "ui_page")
 
 
 def locate_all_pages(spark, sf_dir):
@@ -173,11 +176,8 @@ def first_url(spark, sf_dir):
 
 def hits_per_host(spark, sf_dir):
     """The first three pages of each host."""
-    from pyspark.sql import Window
-
     rows = read(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "page_id")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("page_id")).cast("long"))
-    return ranked.where(F.col("rank") <= feeds.HITS)
+    return feeds.first_hits(rows, "host", order="page_id").withColumnRenamed("n", "rank")
 
 
 def limit_then_filter(spark, sf_dir):
@@ -186,7 +186,8 @@ def limit_then_filter(spark, sf_dir):
 
 def nested_documents(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("items"))
-    kept = feeds.nested(turns, (F.lower(F.coalesce("item.role", F.lit("user"))) == "user") & t.has(F.col("item.text"), "the"), "items", "conv_id")
+    language = F.when(F.col("item.role") == "user", F.lit("EN")).when(F.col("item.role").isNotNull(), F.col("item.role"))
+    kept = feeds.nested(turns, feeds.wanted(language, F.col("item.text"), "the"), "items", "conv_id")
     return kept.select("conv_id", "turn", "role")
 
 
@@ -211,19 +212,11 @@ def outcomes(spark, sf_dir):
     return catalog.outcomes(rows)
 
 
-def file_listing(spark, sf_dir):
-    """Names and sizes of the test tables' files."""
-    from ..sources import files
-
-    return files.listing(spark, sf_dir, "*.parquet", deep=True).select("file_name", "length")
-
-
 def stream_ingest(spark, sf_dir):
     """The chunks of all documents, taken in as a stream that stops when it has seen everything."""
     from ..streaming.ingest import ingest_table
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{root.rstrip('/')}/docquarry-stream-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="docquarry-stream-")
+    root = scratch(spark, "stream")
     schema = read(spark, sf_dir, "documents").select("text", "source").schema
     path = f"{sf_dir}/documents.parque[t]"  # a pattern, as streams read folders and patterns only
     ingest_table(spark, path, schema, f"{root}/table", f"{root}/checkpoint").awaitTermination()
@@ -231,23 +224,20 @@ def stream_ingest(spark, sf_dir):
     return rows.select(F.get_json_object("metadata", "$.source").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-def health(spark, sf_dir):
-    from ..engine import Engine
-
-    state = Engine(spark, chunk_table(spark, sf_dir)).health()
-    return spark.createDataFrame([(state["status"], state["db_connected"])], "status string, db_connected boolean")
-
-
 ALL = [
     match_documents_topk, match_documents_filtered, match_documents_nolimit, inner_product_topk, knn_batch, json_containment, chunk_documents, chunk_counts, chunk_metadata, chunk_ids,
     page_concat, catalog_project, catalog_search, catalog_upsert, load_batches, rag_context, empty_result_fallback, search_term, locate_first_page, locate_all_pages, skip_existing, safe_file_name,
-    display_name, query_templates, first_url, hits_per_host, limit_then_filter, nested_documents, paging, suffix_filter, progress_position, base64_text, outcomes, file_listing, stream_ingest, health,
+    display_name, query_templates, first_url, hits_per_host, limit_then_filter, nested_documents, paging, suffix_filter, progress_position, base64_text, outcomes, stream_ingest,
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    from . import surface
+
+    return {f.__name__: f for f in [*ALL, *surface.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    from . import surface
+
+    return oracles.SQL | surface.SQL

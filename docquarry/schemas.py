@@ -14,6 +14,7 @@ CHUNKS = _struct(id=S, content=S, metadata=S, embedding=T.ArrayType(T.FloatType(
 MATCHES = _struct(id=S, content=S, metadata=S, similarity=T.DoubleType())
 DEVICES = _struct(id=S, primary_di=S, brand_name=S, company_name=S, model_number=S, catalog_number=S, description=S, created_at=T.TimestampType())
 PAGES = _struct(source=S, page_no=T.IntegerType(), page_text=S)
+PAGES_OR_ERRORS = _struct(source=S, page_no=T.IntegerType(), page_text=S, error=S)
 HITS = _struct(query_id=S, template_no=T.IntegerType(), rank=T.IntegerType(), href=S)
 
 #: Columns of the delimited catalogue file that are kept, and their names in the device table.

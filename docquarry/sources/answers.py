@@ -24,7 +24,7 @@ def products(spark: SparkSession, path: str) -> DataFrame:
 
 def product_request(query: str, country: str = "US", page: int = 0, size: int = 5, audience: str = "HCP", current_date: str = "") -> dict:
     """Parameters and body of a product search."""
-    return {"params": {"audience": audience, "page": page, "size": size}, "body": {"currentDate": current_date, "attributes": [{"name": "keyword", "value": query}], "country": country}}
+    return {"params": {"audience": audience, "page": page, "size": size}, "body": {"currentDate": current_date, "attributes": [{"name": "cross-field-search", "value": query}], "country": country}}
 
 
 def hits(spark: SparkSession, provider: Callable[[str], Iterable[str]], queries: Iterable[tuple[str, int, str]], most: int = 3) -> DataFrame:

@@ -10,10 +10,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import base_name
-from ..schemas import PAGES
+from ..schemas import PAGES, PAGES_OR_ERRORS
 
 #: Names that a file audit reports.
 SUSPICIOUS = r"^(\.env|.*\.pem|id_rsa.*|.*\.key)$"
@@ -41,20 +40,50 @@ def audit(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(found, "path string")
 
 
-def page_texts(files: DataFrame, parse: Callable[[bytes], list[str]], source: str = "file_name") -> DataFrame:
-    """(source, page_no, page_text): the pages of each file by a parser that gives a file's page texts. A file that the parser rejects is left out."""
+def read_pages(files: DataFrame, parse: Callable[[bytes], list[str]], source: str = "file_name") -> DataFrame:
+    """(source, page_no, page_text, error): the pages of each file by a parser that gives a file's page texts; a file that the parser rejects is one row with the error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, content in zip(batch["source"], batch["content"]):
                 try:
-                    rows += [(name, i, text) for i, text in enumerate(parse(bytes(content)), 1)]
-                except Exception:  # noqa: BLE001  a broken file must not stop the others
-                    continue
-            yield pd.DataFrame(rows, columns=PAGES.names)
+                    rows += [(name, i, text, None) for i, text in enumerate(parse(bytes(content)), 1)]
+                except Exception as e:  # noqa: BLE001  a broken file must not stop the others
+                    rows.append((name, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*PAGES.names, "error"]).astype({"page_no": "Int32"})
+
+    return files.select(F.col(source).alias("source"), "content").mapInPandas(run, PAGES_OR_ERRORS)
+
+
+def page_texts(files: DataFrame, parse: Callable[[bytes], list[str]], source: str = "file_name") -> DataFrame:
+    """(source, page_no, page_text): the pages of the files that the parser accepts; page_rejects() names the others."""
+    return read_pages(files, parse, source).where(F.col("error").isNull()).drop("error")
+
 
-    return files.select(F.col(source).alias("source"), "content").mapInPandas(run, PAGES)
+def page_rejects(files: DataFrame, parse: Callable[[bytes], list[str]], source: str = "file_name") -> DataFrame:
+    """(source, error) of the files that the parser rejects."""
+    return read_pages(files, parse, source).where(F.col("error").isNotNull()).select("source", "error")
+
+
+def blob(spark: SparkSession, folder: str, name: str) -> bytes:
+    """The content of one file of a folder; raises FileNotFoundError if it isn't there."""
+    return bytes(spark.read.format("binaryFile").load(resolve(spark, name, folder)).first()["content"])
+
+
+def fetched(spark: SparkSession, path: str, fetch: Callable[[], bytes]) -> bool:
+    """Put what fetch() gives into a file, unless the file is there; returns whether it was fetched. A part of a file is never left under its name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    system = target.getFileSystem(conf)
+    if system.exists(target):
+        return False
+    out = system.create(part, True)
+    try:
+        out.write(bytearray(fetch()))
+    finally:
+        out.close()
+    return system.rename(part, target)
 
 
 def unzipped(archives: DataFrame, suffix: str = "") -> DataFrame:
@@ -81,14 +110,22 @@ def delimited(spark: SparkSession, path: str, exact: bool = False) -> tuple[Data
     """The rows of a pipe-delimited catalogue with a header, all columns text, and the rows that are too short or otherwise odd.
 
     The built-in reader gives empty fields as empty texts and can't tell them from missing ones; exact=True reads with Python's csv module, whose
-    missing trailing fields are null, in one task a file.
+    missing trailing fields are null, in one task a file, from any file system that Spark reads.
     """
     with_header = spark.read.option("sep", "|").option("quote", '"').option("escape", '"').option("multiLine", True).option("header", True)
     names = with_header.csv(path).columns
     if exact:
-        spark.dataSource.register(ExactDelimited)
-        rows = spark.read.format("docquarry_delimited").schema(", ".join(f"`{c}` string" for c in names)).load(path)
-        return rows, rows.where(F.lit(False))
+        schema = ", ".join(f"`{c}` string" for c in [*names, "_odd"])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for content in batch["content"]:
+                    lines = csv.DictReader(io.StringIO(bytes(content).decode("utf-8"), newline=""), delimiter="|")
+                    found = [(*(r.get(c) for c in names), "|".join([*(r[c] for c in names if r.get(c) is not None), *r.get(None, [])]) if None in r or None in r.values() else None) for r in lines]
+                    yield pd.DataFrame(found, columns=[*names, "_odd"], dtype=object)
+
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+        return rows.select(*[F.col(f"`{c}`") for c in names]), rows.where(F.col("_odd").isNotNull())
     schema = ", ".join(f"`{c}` string" for c in [*names, "_odd"])
     # the reader gives an odd row's text only while columns are read, too, so it is kept beside them
     rows = with_header.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_odd").schema(schema).csv(path)
@@ -96,37 +133,6 @@ def delimited(spark: SparkSession, path: str, exact: bool = False) -> tuple[Data
     return good, rows.where(F.col("_odd").isNotNull()).select(*[F.col(f"`{c}`") for c in names], "_odd")
 
 
-class ExactDelimited(DataSource):
-    """Pipe-delimited files as Python's csv.DictReader reads them."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "docquarry_delimited"
-
-    def schema(self) -> str:
-        raise ValueError("give a schema")
-
-    def reader(self, schema):
-        return ExactReader(self.options, [f.name for f in schema.fields])
-
-
-class ExactReader(DataSourceReader):
-    def __init__(self, options, names: list[str]):
-        self.path, self.names = options["path"], names
-
-    def partitions(self):
-        from glob import glob
-        from os.path import isdir
-
-        path = self.path.removeprefix("file://")
-        return [InputPartition(p) for p in sorted(glob(f"{path}/*") if isdir(path) else glob(path))]
-
-    def read(self, partition):
-        with open(partition.value, encoding="utf-8", newline="") as f:
-            for row in csv.DictReader(f, delimiter="|"):
-                yield tuple(row.get(c) for c in self.names)
-
-
 def resolve(spark: SparkSession, name: str, *folders: str) -> str:
     """The path of a named file in the first of the folders that exists. Names with path separators are refused."""
     if not name or "/" in name or "\\" in name or name in (".", ".."):

@@ -11,6 +11,16 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def lookup_table(rows: DataFrame, path: str, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Write rows in the order of keys, so that a filter on the first key reads a few row groups only, with Bloom filters for the others; returns the table."""
+    placed = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    writer = placed.sortWithinPartitions(*keys).write
+    for key in keys[1:]:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def replace_version(rows: DataFrame, root: str, version: int) -> str:
     """Write a table's new version into its own folder, which must not exist yet; readers change over when they are told the path."""
     path = f"{root.rstrip('/')}/version={version}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,9 +22,9 @@ def ingest_files(spark: SparkSession, folder: str, table: str, checkpoint: str,
     """
     arrived = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder)
 
-    @F.udf("string")
-    def whole(content: bytes) -> str:
-        return "".join(f"{p}\n" for p in parse(bytes(content)))
+    @F.pandas_udf("string")
+    def whole(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: "".join(f"{p}\n" for p in parse(bytes(c))))
 
     texts = arrived.select(base_name(F.col("path")).alias("source"), whole("content").alias("text"))
     rows = chunk_rows(texts, embed=embed)
