@@ -1,108 +1,80 @@
 """Language-model scores by context-tree weighting, beside a word-unigram base.
 
-Texts are bytes with A-Z in lower case. The 62 most frequent bytes of the training texts are symbols, as are the end of a text and an escape for
-all other bytes. Each symbol is six binary decisions, and each decision has a context tree over the symbols before it. A node
-estimates by Krichevsky-Trofimov, and weighs its own estimate against its children's: P_w = P_e / 2 + prod(P_w of children) / 2. The
-weights of all depths on the path are mixed into the probability of a decision. A child that has seen nothing leaves the decision to its parent.
-
-Trees are DEPTH symbols deep, and every context of the training texts counts by itself, however rare. Counts are dealt by the context one
-symbol shorter, so that all children of a node meet in one task, which sums what the node needs of them. The driver gets these sums
-alone, 64^3 rows at most whatever the corpus, and weighs the tree above; the last depth is then weighed where its counts lie. Of the last
-depth, contexts with 2^-HELD of all training symbols or more are broadcast (2^HELD at most, beside a table of 64^4 row numbers), and all
-others are joined to their occurrences. Counting covers all training texts: what it gathers grows with their distinct n-grams and words.
-
-Base: log10((c + 1) / (N + 1 * (V + 1))) for each word and the end. Counts of the most frequent words, 2^FREQUENT at most, are broadcast;
-all others are joined.
+Texts are bytes with A-Z in lower case, and an end. A symbol is nine binary decisions: whether the text ends, else the eight bits of a byte. Each
+decision has a context tree over the DEPTH bytes before it, the nearest first. A node estimates by Krichevsky-Trofimov, and weighs its own
+estimate against its children's: P_w = P_e / 2 + prod(P_w of children) / 2. The weights of all depths on the path are mixed into the probability
+of a decision. A child that has seen nothing leaves the decision to its parent. All bytes are symbols, and every context of the training texts counts by itself.
+
+Texts are packed into blocks where they are read. A block sends its distinct n-grams (context and symbol), with their training counts, to a reducer by the two
+nearest bytes of the context, so that whole subtrees meet there. What a reducer finds of its subtrees' weights is summed by nearest byte: 256 nodes
+and the root, of 512 decisions each, are all that the driver and every task see of other subtrees. The reducers then answer each block's n-grams with
+their log-probabilities, and the block sums them along its texts. What is counted, moved and answered grows with the distinct n-grams of the blocks.
+
+Base: log10((c + 1) / (N + 1 * (V + 1))) for each word and the end; words are counted by their bytes, in the same exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialise, slices
-
-BITS, DEPTH = 6, 4
-SYMBOLS = 1 << BITS
-END, ESCAPE = SYMBOLS - 2, SYMBOLS - 1
-HELD, FREQUENT = 18, 17
-#: None, or for a coarser model: contexts of DEPTH symbols with less than 2^-SHARE of all training symbols are one child of their parent together.
-SHARE: int | None = None
-#: Contexts one symbol shorter than the last depth.
-PARENTS = SYMBOLS ** (DEPTH - 1)
-#: Bytes of text that are handled at once.
-AT_ONCE = 2 << 20
-LN2 = float(np.log(2.0))
-TO_LOWER = np.arange(256, dtype=np.uint8)
-TO_LOWER[list(UPPER.encode())] = list(LOWER.encode())
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def text_bytes(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    """All lower-cased bytes of a text column, and the offsets at which texts begin; nulls are empty."""
-    raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(column).to_pylist()]
-    begins = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
-    return TO_LOWER[np.frombuffer(b"".join(raw), np.uint8)], begins
-
-
-# words
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    up, down = (np.full(n + 1, x, np.uint64) for x in (base, inverse))
-    up[0] = down[0] = 1
-    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return up, down, np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def words(body: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every word: its text's number and a 64-bit hash of its bytes."""
-    n = len(body)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    up, down, value = _powers(n)
-    inside = ~SPACE[body]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    cut = begins[(begins > 0) & (begins < n)]  # a word never runs from one text into the next
-    first[cut] |= inside[cut]
-    last[cut - 1] |= inside[cut - 1]
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[body] * up[:n], dtype=np.uint64)))
-    h = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.searchsorted(begins, a, "right") - 1, h ^ (h >> np.uint64(32))
-
-
-# the tree
-
-
-def symbols(body: np.ndarray, begins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's symbols with an end after them, as (context of DEPTH symbols, symbol, text); escapes stand before each text."""
-    texts = len(begins) - 1
-    stride = DEPTH + 1
-    shift = np.repeat(np.arange(texts) * stride + DEPTH, np.diff(begins))
-    line = np.full(len(body) + texts * stride, ESCAPE, np.uint32)
-    line[np.arange(len(body)) + shift] = code[body]
-    ends = begins[1:] + np.arange(texts) * stride + DEPTH
-    line[ends] = END
-    real = np.ones(len(line), bool)
-    for k in range(1, DEPTH + 1):
-        real[(np.concatenate(([0], ends[:-1] + 1)) + k - 1)[:texts]] = False
-    context = np.zeros(len(line), np.uint32)
-    for k in range(DEPTH, 0, -1):
-        context[DEPTH:] = (context[DEPTH:] << np.uint32(BITS)) | line[DEPTH - k : len(line) - k]
-    text = np.repeat(np.arange(texts), np.diff(begins) + stride)
-    return context[real], line[real], text[real]
+from .common import Store, blocks, materialise, packed, shared_path, small_batches, tidy, unpacked
+
+#: Bytes of context; of them, those that choose a reducer. A key has the context's bytes from the top, the nearest first, and the symbol's byte below.
+DEPTH, TOP = 6, 2
+SHIFT = np.uint64(64 - 8 * DEPTH)  # below the context, 16 bits
+#: The end's byte in a key, and the byte that stands before each text; no UTF-8 text has them. As a symbol, the end is the number after all bytes.
+END_BYTE, PAD, END = 0xFE, 0xFF, 256
+LEVELS, DECISIONS, DECISION = 9, 512, np.uint64(0x1FF)
+#: Bytes of text in a block, and for each reducer.
+BLOCK, PARTITION = 8 << 20, 16 << 20
+LN2, LNPI = float(np.log(2.0)), float(np.log(np.pi))
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z in lower case; nulls are empty."""
+    return pc.ascii_lower(pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, ""))
+
+
+def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The key of every symbol of texts, ends included, and the text that each is of; the last text comes first, and the last symbol of each."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    pad, end = bytes([PAD]) * DEPTH, bytes([END_BYTE])
+    line = np.frombuffer(b"".join([pad + t + end for t in texts]) + bytes(8), np.uint8)[::-1].copy()[8:]
+    line = np.append(line, np.zeros(9, np.uint8))
+    n = len(line) - 9
+    key = np.ndarray(n, ">u8", line, 1, (1,)).astype(np.uint64)  # the eight bytes before each one, the nearest first
+    key &= ~np.uint64(0xFFFF)
+    key |= line[:n]
+    begins = n - np.cumsum(sizes + DEPTH + 1)
+    real = np.ones(n, bool)
+    real[(begins[:, None] + (sizes + 1)[:, None] + np.arange(DEPTH)).ravel()] = False
+    return key[real], np.repeat(np.arange(len(texts))[::-1], sizes[::-1] + 1)
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text, word) of each word of lower-case texts, as numbers, and the distinct words."""
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    text, word = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy()), coded.indices.to_numpy()
+    real = pc.binary_length(coded.dictionary).to_numpy() > 0  # spaces at either end make empty ones
+    number = np.cumsum(real) - 1
+    keep = real[word] if len(word) else np.zeros(0, bool)
+    return text[keep], number[word[keep]], coded.dictionary.filter(pa.array(real))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their summed counts."""
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -113,302 +85,353 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
 
 
+SMALL = 4096
+HALVES, WHOLES = lgamma(np.arange(SMALL) + 0.5), lgamma(np.arange(SMALL) + 1.0)
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    out = np.empty(n0.shape)
-    for k in range(0, len(out), 4096):
-        a, b = n0[k : k + 4096], n1[k : k + 4096]
-        out[k : k + 4096] = lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0) - float(np.log(np.pi))
+    n0, n1 = n0.astype(np.int64), n1.astype(np.int64)
+    large = n0 + n1 >= SMALL
+    a, b = np.where(large, 0, n0), np.where(large, 0, n1)
+    out = HALVES[a] + HALVES[b] - WHOLES[a + b] - LNPI
+    if large.any():
+        a, b = n0[large].astype(np.float64), n1[large].astype(np.float64)
+        out[large] = lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0) - LNPI
     return out
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each of the 63 decisions was zero and one, from rows of 64 counts."""
-    n = [counts.reshape(len(counts), 1 << level, 2, SYMBOLS >> (level + 1)).sum(-1) for level in range(BITS)]
-    return np.concatenate([x[..., 0] for x in n], 1), np.concatenate([x[..., 1] for x in n], 1)
+class Nodes(NamedTuple):
+    """The nodes of one depth and level, in order. key: context and decision; zeros, ones; weighted: log P_w; stop: the share of the node's own estimate;
+    parent: the place of each node's parent among those one depth above, none at depth TOP."""
+
+    key: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    stop: np.ndarray
+    parent: np.ndarray
+
+
+def parted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts and symbols of keys."""
+    symbol = keys & np.uint64(0xFF)
+    return keys >> SHIFT, np.where(symbol == END_BYTE, np.uint64(END), symbol)
+
+
+def decision(symbol: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number (below DECISIONS) of a symbol's decision at a level, and how it goes."""
+    return np.uint64(1 << level) | (symbol >> np.uint64(LEVELS - level)), (symbol >> np.uint64(LEVELS - 1 - level)) & np.uint64(1)
+
+
+def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log P_w of nodes with children whose log P_w sum to below, and the share of the nodes' own estimates."""
+    own = log_kt(zeros, ones)
+    weighted = np.logaddexp(own, below) - LN2
+    return weighted, np.exp(np.minimum(own - LN2 - weighted, 0.0))
+
+
+def subtrees(keys: np.ndarray, counts: np.ndarray) -> list[list[Nodes]]:
+    """The nodes of all depths from TOP to DEPTH, by depth and level, from distinct keys in order and their counts (above zero)."""
+    found: list[list[Nodes]] = []
+    context, symbol = parted(keys)
+    merged, counts = summed((context << np.uint64(9)) | symbol, counts)
+    for depth in range(DEPTH, TOP - 1, -1):
+        if depth < DEPTH:
+            merged, counts = summed(((context >> np.uint64(8)) << np.uint64(9)) | symbol, counts)
+        context, symbol = merged >> np.uint64(9), merged & DECISION
+        levels = []
+        for level in range(LEVELS):
+            inner = np.flatnonzero(symbol < END) if level else slice(None)
+            number, bit = decision(symbol[inner], level)
+            key = (context[inner] << np.uint64(9)) | number
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+            n = np.add.reduceat(counts[inner], first) if len(first) else np.empty(0, np.int64)
+            ones = np.add.reduceat(counts[inner] * bit.astype(np.int64), first) if len(first) else n
+            key = key[first]
+            if found:
+                child = found[-1][level]
+                parent = np.searchsorted(key, ((child.key >> np.uint64(17)) << np.uint64(9)) | (child.key & DECISION))
+                found[-1][level] = child._replace(parent=parent)
+                weighted, stop = weigh(n - ones, ones, np.bincount(parent, child.weighted, len(key)))
+            else:
+                weighted, stop = log_kt(n - ones, ones), np.ones(len(key))
+            levels.append(Nodes(key, n - ones, ones, weighted, stop, first[:0]))
+        found.append(levels)
+    return found[::-1]
+
+
+class Crown(NamedTuple):
+    """What lies above the subtrees, dense: for each depth below TOP, rows of contexts and columns of decisions. seen; chance: of a one, where nothing longer is
+    known. below: of depth TOP - 1, what a child adds its own estimate to, and by which share."""
+
+    seen: list[np.ndarray]
+    chance: list[np.ndarray]
+    below: tuple[np.ndarray, np.ndarray]
+
+
+def crown_of(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Crown:
+    """The crown from the 256 contexts of one byte: counts and sums of log P_w of the children, by decision."""
+    own, stop, seen, chance = [], [], [], []
+    for _ in range(TOP):
+        weighted, share = weigh(zeros, ones, below)
+        n = zeros + ones
+        own.insert(0, (ones + 0.5) / (n + 1.0))
+        stop.insert(0, share)
+        seen.insert(0, n > 0)
+        zeros, ones, below = zeros.sum(0, keepdims=True), ones.sum(0, keepdims=True), np.where(n > 0, weighted, 0.0).sum(0, keepdims=True)
+    fixed, passed = np.zeros((1, DECISIONS)), np.ones((1, DECISIONS))
+    for x, share in zip(own, stop):
+        chance.append(fixed + passed * x)
+        fixed, passed = fixed + passed * share * x, np.broadcast_to(passed * (1.0 - share), x.shape)
+    return Crown(seen, chance, (fixed, passed))
+
+
+def log10_of(trees: list[list[Nodes]], crown: Crown, keys: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each key's symbol in its context."""
+    context, symbol = parted(keys)
+    total = np.zeros(len(keys))
+    for level in range(LEVELS):
+        # from the crown down: the chance of a one at each node, where nothing longer is known
+        chances, fixed, passed = [], None, None
+        for nodes in (levels[level] for levels in trees):
+            if fixed is None:
+                row, column = (nodes.key >> np.uint64(17)).astype(np.int64), (nodes.key & DECISION).astype(np.int64)
+                fixed, passed = crown.below[0][row, column], crown.below[1][row, column]
+            else:
+                fixed, passed = fixed[nodes.parent], passed[nodes.parent]
+            own = (nodes.ones + 0.5) / (nodes.zeros + nodes.ones + 1.0)
+            chances.append(fixed + passed * own)
+            fixed, passed = fixed + passed * nodes.stop * own, passed * (1.0 - nodes.stop)
+        left = np.flatnonzero(symbol < END) if level else np.arange(len(keys))
+        number, bit = decision(symbol[left], level)
+        for depth in range(DEPTH, -1, -1):
+            above = context[left] >> np.uint64(8 * (DEPTH - depth))
+            if depth >= TOP:
+                nodes = trees[depth - TOP][level]
+                key = (above << np.uint64(9)) | number
+                at = np.minimum(np.searchsorted(nodes.key, key), max(0, len(nodes.key) - 1))
+                seen = nodes.key[at] == key if len(nodes.key) else np.zeros(len(key), bool)
+                chance = chances[depth - TOP][at[seen]]
+            else:
+                row, column = above.astype(np.int64), number.astype(np.int64)
+                seen = crown.seen[depth][row, column]
+                chance = crown.chance[depth][row[seen], column[seen]]
+            total[left[seen]] += np.log10(np.where(bit[seen] > 0, chance, 1.0 - chance))
+            left, number, bit = left[~seen], number[~seen], bit[~seen]
+        total[left] += np.log10(0.5)  # nothing is known at all
+    return total
 
 
-def logs_of(one: np.ndarray) -> np.ndarray:
-    """log10 of each symbol's probability, from the probability of a one in each decision."""
-    out, symbol = np.zeros((len(one), SYMBOLS)), np.arange(SYMBOLS)
-    for level in range(BITS):
-        q = one[:, (1 << level) - 1 + (symbol >> (BITS - level))]
-        out += np.log10(np.where((symbol >> (BITS - 1 - level)) & 1, q, 1.0 - q))
-    return out
+def columns(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones, and so on, which packs better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def gathered(name: np.ndarray, *tables: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct names in order, each row's place among them, and the sums of the tables' rows of each name."""
-    own, at = np.unique(name, return_inverse=True)
-    sums = [np.zeros((len(own), t.shape[1])) for t in tables]
-    for total, t in zip(sums, tables):
-        np.add.at(total, at.ravel(), t)
-    return own, at.ravel(), *sums
-
-
-@dataclass
-class Model:
-    """code: each byte's symbol; row: of each context, or -1 where it must be joined; logs: log10 of each symbol's probability in each row; escaped: of each escaped byte."""
-
-    code: np.ndarray
-    row: np.ndarray
-    logs: np.ndarray
-    escaped: np.ndarray
-
-
-@dataclass
-class Top:
-    """The tree without its last depth. names: the contexts of each depth; logs: log10 of each symbol's probability after them, where nothing longer is known.
-
-    Each decision after a child of a longest context has probability fixed + passed * own of a one; own is the child's estimate, or, if it has seen nothing, one."""
-
-    names: list[np.ndarray]
-    logs: list[np.ndarray]
-    fixed: np.ndarray
-    passed: np.ndarray
-    one: np.ndarray
-
-
-def top_of(parent: np.ndarray, counts: np.ndarray, below: np.ndarray) -> Top:
-    """The top, from contexts of DEPTH - 1 symbols in order, their counts, and the sums of log P_w of their children for each decision."""
-    if not len(parent):  # nothing was learnt: one context that has seen nothing
-        parent, counts, below = np.zeros(1, np.int64), np.zeros((1, SYMBOLS)), np.zeros((1, SYMBOLS - 1))
-    names, up, seen, one, stop = ([None] * DEPTH for _ in range(5))
-    for d in range(DEPTH - 1, -1, -1):
-        names[d] = parent
-        zeros, ones = decisions(counts)
-        own = log_kt(zeros, ones)
-        weighted = np.logaddexp(own, below) - LN2
-        seen[d], one[d], stop[d] = zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1.0), np.exp(np.minimum(own - LN2 - weighted, 0.0))
-        if d:
-            parent, up[d], counts, below = gathered(parent % SYMBOLS ** (d - 1), counts, weighted)
-    logs, fixed, passed = [], np.zeros((1, SYMBOLS - 1)), np.ones((1, SYMBOLS - 1))
-    for d in range(DEPTH):
-        if d:
-            fixed, passed = fixed[up[d]], passed[up[d]]
-            passed, fixed = np.where(seen[d], passed, 0.0), np.where(seen[d], fixed, fixed + passed * one[d - 1][up[d]])
-        logs.append(logs_of(fixed + passed * one[d]))
-        fixed, passed = fixed + passed * stop[d] * one[d], passed * (1.0 - stop[d])
-    return Top(names, logs, fixed, passed, one[DEPTH - 1])
-
-
-def leaf_logs(top: Top, context: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 of each symbol's probability after contexts of the last depth, from their counts."""
-    at = np.searchsorted(top.names[-1], context % PARENTS)
-    zeros, ones = decisions(counts)
-    own = np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1.0), top.one[at])
-    return logs_of(top.fixed[at] + top.passed[at] * own)
-
-
-def assemble(code: np.ndarray, top: Top, children: np.ndarray, context: np.ndarray, rest: np.ndarray, logs: np.ndarray, escaped: np.ndarray) -> Model:
-    """The model that holds the given contexts of the last depth. children: for each longest context of the top, the bit set of the symbols before it that make a context of the last depth."""
-    row = np.zeros(SYMBOLS**DEPTH, np.int32)
-    begin = len(context)
-    for d in range(DEPTH):
-        row.reshape(-1, SYMBOLS**d)[:, top.names[d]] = begin + np.arange(len(top.names[d]))
-        begin += len(top.names[d])
-    deepest = row.reshape(SYMBOLS, PARENTS)
-    deepest[:, context[rest] % PARENTS] = np.flatnonzero(rest)
-    for k in range(SYMBOLS):
-        deepest[k, top.names[-1][(children >> np.uint64(k)) & np.uint64(1) > 0]] = -1
-    row[context[~rest]] = np.flatnonzero(~rest)
-    escaped_logs = np.log10((escaped + 0.5) / (escaped.sum() + 0.5 * len(escaped))).astype(np.float64)
-    return Model(code, row, np.concatenate([logs, *top.logs]).astype(np.float32), escaped_logs)
-
-
-def build(code: np.ndarray, context: np.ndarray, rest: np.ndarray, counts: np.ndarray, escaped: np.ndarray) -> Model:
-    """The model that holds all of its leaves: rows of 64 counts for contexts of DEPTH symbols, or, where rest holds, for all others below a context one shorter."""
-    parent, _, total, below = gathered(context % PARENTS, counts, log_kt(*decisions(counts)))
-    top = top_of(parent, total, below)
-    return assemble(code, top, np.zeros(len(top.names[-1]), np.uint64), context, rest, leaf_logs(top, context, counts), escaped)
-
-
-def log10_of(model: Model, body: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of the probability of each text, its end included, but without symbols whose contexts must be joined; and the texts and context * SYMBOLS + symbol of these."""
-    context, symbol, text = symbols(body, begins, model.code)
-    row = model.row[context].astype(np.int64)
-    absent = np.flatnonzero(row < 0)
-    found = model.logs.ravel()[np.maximum(row, 0) * SYMBOLS + symbol].astype(np.float64)
-    found[absent] = 0.0
-    out = np.bincount(text, found, len(begins) - 1)
-    other = np.flatnonzero(model.code[body] == ESCAPE)
-    out += np.bincount(np.searchsorted(begins, other, "right") - 1, model.escaped[body[other]], len(begins) - 1)
-    return out, text[absent], (context[absent] << np.uint32(BITS)) | symbol[absent]
-
-
-def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and their summed counts."""
-    if counts is None:
-        keys = np.sort(keys)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-        return keys[first], np.diff(np.append(first, len(keys)))
-    by = np.argsort(keys)
-    keys, counts = keys[by], counts[by]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+def uncolumns(raw: memoryview, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T).reshape(-1).view(kind)
 
 
-PACKED = "kind int, bucket int, body binary"
-GROUPS = 64
-#: Kinds of counted rows. Of a LEAF, key is the context and body its counts; of a WORD, its hash; of a NODE, a context of DEPTH - 1 symbols, n is the bit set
-#: of the symbols before it that make leaves, and body its counts and the sums of its leaves' log P_w; a REST is one leaf of all rare contexts below key.
-LEAF, WORD, NODE, REST = range(4)
-
-
-def node_rows(keys: np.ndarray, counts: np.ndarray, least: float) -> pa.Table:
-    """The LEAF, NODE and REST rows from distinct context * SYMBOLS + symbol and their counts; contexts with counts below least are put into a REST."""
-    context, at = np.unique((keys >> np.uint64(BITS)).astype(np.int64), return_inverse=True)
-    n = np.bincount(at, counts, len(context))
-    rare = n < least
-    name, place = np.unique(np.where(rare, context % PARENTS + SYMBOLS**DEPTH, context), return_inverse=True)  # rests after all others
-    table = np.zeros((len(name), SYMBOLS), np.int64)
-    np.add.at(table, (place.ravel()[at], (keys & np.uint64(SYMBOLS - 1)).astype(np.int64)), counts)
-    rest = name >= SYMBOLS**DEPTH
-    parent, own, total, below = gathered(name % PARENTS, table, log_kt(*decisions(table)))
-    children = np.zeros(len(parent), np.uint64)
-    np.bitwise_or.at(children, own[~rest], np.uint64(1) << (name[~rest] // PARENTS).astype(np.uint64))
-    return pa.table({
-        "kind": pa.array(np.concatenate((np.where(rest, REST, LEAF), np.full(len(parent), NODE))), pa.int32()), "key": pa.array(np.concatenate((name % SYMBOLS**DEPTH, parent)), pa.int64()),
-        "n": pa.array(np.concatenate((table.sum(1), children.view(np.int64)))), "body": pa.array([x.tobytes() for x in table] + [x.tobytes() for x in np.concatenate((total, below), 1)], pa.binary()),
-    })
-
-
-def train(docs: DataFrame, training: Column, text_col: str = "text") -> tuple[Model, DataFrame, DataFrame, int]:
-    """The model, (context, logs) of the contexts that it doesn't hold, (word, n) counts of all words by hash, and the number of training texts; training chooses the rows of docs to learn from."""
-    chosen = docs.where(training).select(F.col(text_col).alias("text"))
-
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, texts = np.zeros(256, np.int64), 0
-        for batch in slices(batches, "text", AT_ONCE):
-            body, begins = text_bytes(batch, 0)
-            found += np.bincount(body, minlength=256)
-            texts += len(begins) - 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(257)], pa.int32()), pa.array([*found.tolist(), texts], pa.int64())], ["byte", "n"])
-
-    seen = {r["byte"]: r["n"] for r in chosen.mapInArrow(bytes_of, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}  # 257 rows
-    texts = seen.pop(256, 0)
-    code = np.full(256, ESCAPE, np.uint8)
-    often = sorted((b for b, n in seen.items() if n), key=lambda b: (-seen[b], b))[:END]
-    code[often] = np.arange(len(often))
-    total = sum(seen.values()) + texts
-    least = total / 2**SHARE if SHARE is not None else 0.0
-    held_from = total / 2**HELD
-    escaped = np.array([0 if code[b] != ESCAPE else seen.get(b, 0) for b in range(256)], np.float64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {LEAF: [], WORD: []}
-
-        def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            k, c = (np.concatenate(x) for x in zip(*held[kind])) if held[kind] else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            return summed(k, c)
-
-        for batch in slices(batches, "text", AT_ONCE):
-            body, begins = text_bytes(batch, 0)
-            context, symbol, _ = symbols(body, begins, code)
-            held[LEAF].append(summed((context.astype(np.uint64) << np.uint64(BITS)) | symbol))
-            held[WORD].append(summed(words(body, begins)[1]))
-            for kind in held:
-                if len(held[kind]) >= 8:
-                    held[kind] = [merged(kind)]
-        for kind in held:
-            keys, counts = merged(kind)
-            if kind == LEAF:  # n-grams by their context without its first symbol
-                group = (((keys >> np.uint64(BITS)) % np.uint64(PARENTS)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(GROUPS)
-            else:
-                group = keys % np.uint64(GROUPS)
-            for g in np.unique(group):
-                mine = group == g
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int(g)], pa.int32()), pa.array([np.stack((keys[mine], counts[mine].astype(np.uint64))).tobytes()], pa.binary())], ["kind", "bucket", "body"])
-
-    def add(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in group.column("body")]
-        keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
-        if group.column("kind")[0].as_py() == LEAF:
-            return node_rows(keys, counts, least)
-        return pa.table({"kind": pa.array(np.full(len(keys), WORD, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(counts), "body": pa.nulls(len(keys), pa.binary())})
-
-    counted = materialise(chosen.mapInArrow(count, PACKED).groupBy("kind", "bucket").applyInArrow(add, "kind int, key long, n long, body binary"), "ngrams")
-    vocabulary = counted.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
-    nodes = counted.where(F.col("kind") == NODE).select("key", "n", "body").orderBy("key").toArrow()  # 64^3 rows at most
-    sums = np.frombuffer(b"".join(x.as_buffer() for x in nodes.column("body")), np.float64).reshape(-1, 2 * SYMBOLS - 1)
-    children = nodes.column("n").to_numpy().view(np.uint64) if len(nodes) else np.zeros(1, np.uint64)
-    top = top_of(nodes.column("key").to_numpy(), sums[:, :SYMBOLS], sums[:, SYMBOLS:])
-    given = docs.sparkSession.sparkContext.broadcast(top)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            counts = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(3)), np.int64).reshape(-1, SYMBOLS)
-            kind, context, n = (batch.column(k).to_numpy() for k in range(3))
-            logs = leaf_logs(given.value, context, counts).astype(np.float32)
-            logs = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * SYMBOLS, pa.int32()), pa.array(logs.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kind == REST), pa.array((kind == REST) | (n >= held_from)), logs], ["context", "rest", "held", "logs"])
-
-    leaves = materialise(counted.where(F.col("kind").isin(LEAF, REST)).select("kind", "key", "n", "body").mapInArrow(weigh, "context long, rest boolean, held boolean, logs array<float>"), "leaves")
-    held = leaves.where("held").toArrow()  # 2^HELD contexts at most, and with SHARE 64^3 rests
-    logs = held.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, SYMBOLS)
-    model = assemble(code, top, children, held.column("context").to_numpy(), held.column("rest").to_numpy().astype(bool), logs, escaped)
-    given.unpersist()
-    return model, leaves.where("not held").select("context", "logs"), vocabulary, texts
+def grams_packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys in order, and counts."""
+    return packed(columns(np.diff(keys, prepend=np.uint64(0))) + columns(counts.astype(np.uint32)))
+
+
+def grams_unpacked(body) -> tuple[np.ndarray, np.ndarray]:
+    raw = memoryview(unpacked(body))
+    n = len(raw) // 12
+    return np.cumsum(uncolumns(raw, n, np.uint64), dtype=np.uint64), uncolumns(raw[8 * n :], n, np.uint32).astype(np.int64)
+
+
+#: Kinds of rows. GRAM and WORD: what a block asks (or, with the same bucket, is answered); PART: sums for a node of the crown; TOTAL: tokens and distinct words.
+GRAM, WORD, PART, TOTAL = range(4)
+SENT = "bucket int, kind int, block string, body binary"
+COUNTED = "block string, kind int, bucket int, body binary, node int, zeros long, ones long, below double"
+
+
+def by_word(words: pa.Array, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of words by bucket, and (bucket, begin, end) of each run."""
+    if not len(words):
+        return np.empty(0, np.int64), []
+    size = pc.binary_length(words).to_numpy()
+    begin = np.cumsum(size) - size
+    value = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+    body = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+    return runs_of(((np.add.reduceat(value[body], begin) >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64))
+
+
+def runs_of(to: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by bucket, and (bucket, begin, end) of each run."""
+    by = np.argsort(to, kind="stable")
+    first = np.flatnonzero(np.diff(to[by], prepend=-1))
+    return by, list(zip(to[by][first].tolist(), first.tolist(), [*first[1:].tolist(), len(to)]))
+
+
+def bucket_of_gram(buckets: int) -> np.ndarray:
+    """The bucket of each pair of nearest bytes."""
+    pair = np.arange(1 << (8 * TOP), dtype=np.uint64)
+    return (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
+def distinct_ngrams(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how many of each are of training texts."""
+    low = np.uint64(0xFFFF)
+    marked = np.sort((keys & ~low) | ((keys & low) << np.uint64(1)) | training.astype(np.uint64))
+    whole = marked >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(whole) else np.empty(0, np.int64)
+    counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first) if len(first) else first
+    own = marked[first]
+    return (own & ~low) | ((own & low) >> np.uint64(1)), counts
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of keys by bucket, and (bucket, begin, end) of each run."""
+    return runs_of(bucket_of_gram(buckets)[(keys >> np.uint64(64 - 8 * TOP)).astype(np.int64)])
+
+
+def answers_of(group: pa.Table, kind: int) -> dict[int, pa.Buffer]:
+    return {b: unpacked(x.as_buffer()) for k, b, x in zip(group.column("kind").to_pylist(), group.column("bucket").to_pylist(), group.column("body")) if k == kind}
+
+
+def rows_of(block: list[str], kind: list[int], bucket: list[int], body: list[bytes]) -> pa.Table:
+    """Answers to blocks, as COUNTED rows."""
+    n = len(block)
+    given = [pa.array(block, pa.string()), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary())]
+    return pa.table([*given, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())], names=["block", "kind", "bucket", "body", "node", "zeros", "ones", "below"])
+
+
+def parts_of(trees: list[list[Nodes]]) -> pa.Table:
+    """What subtrees add to the crown, as COUNTED rows."""
+    node, zeros, ones, below = [], [], [], []
+    for nodes in trees[0]:
+        key, at = np.unique(((nodes.key >> np.uint64(17)) << np.uint64(9)) | (nodes.key & DECISION), return_inverse=True)
+        node.append(key.astype(np.int32))
+        for out, x in ((zeros, nodes.zeros), (ones, nodes.ones), (below, nodes.weighted)):
+            out.append(np.bincount(at.ravel(), x, len(key)))
+    node, zeros, ones, below = (np.concatenate(x) for x in (node, zeros, ones, below))
+    n = len(node)
+    return pa.table([pa.nulls(n, pa.string()), pa.array(np.full(n, PART, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(node, pa.int32()), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(below.astype(np.float64))], names=["block", "kind", "bucket", "body", "node", "zeros", "ones", "below"])
+
+
+def gathered(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct keys of blocks, and their summed counts."""
+    while len(parts) > 1:  # in pairs, so that repeated keys go early
+        parts = [summed(*(np.concatenate(x) for x in zip(*parts[i : i + 2]))) for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, training (whether the row was learnt from), n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of docs.
 
     training is an expression over the columns of docs. Null texts count as empty: they have only their end. Null and repeated ids are kept, a row each. Without
-    any training text nothing is known, and the model gives each decision one half. An empty table gives an empty result.
+    any training text nothing is known, and the model gives each decision one half. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    model, leaves, vocabulary, ends = train(docs, training, text_col)
-    by_size = vocabulary.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("size")).collect()  # 64 rows at most
-    total, distinct = sum(r["n"] for r in by_size) + ends, sum(r["words"] for r in by_size) + (ends > 0)
-    least, held = 64, 0
-    for r in by_size:
-        if (held := held + r["words"]) > 1 << FREQUENT:
-            break
-        least = r["size"]
-    frequent = vocabulary.where(F.col("n") >= 2**least if least < 64 else F.lit(False)).toArrow()  # 2^FREQUENT rows at most
-    order = np.argsort(frequent.column("word").to_numpy().view(np.uint64))
-    known = (frequent.column("word").to_numpy().view(np.uint64)[order], frequent.column("n").to_numpy()[order])
-    given = spark.sparkContext.broadcast((model, known))
-    denominator = float(total + (distinct + 1))
-    end_log = float(np.log10((ends + 1) / denominator))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    small_batches(spark)
+    learnt = F.coalesce(training, F.lit(False))
+    total = docs.agg(F.sum(F.octet_length(text_col)), F.sum(learnt.cast("long"))).first()
+    ends, buckets, tasks = total[1] or 0, int(max(8, -(-(total[0] or 0) // PARTITION))), int(max(8, -(-(total[0] or 0) // (2 * BLOCK))))
+    store = Store(shared_path(spark, "blocks"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    asked = docs.select(F.col(id_col).alias("id"), learnt.alias("training"), F.col(text_col).alias("text"))
 
-        model, (names, counts) = given.value
-        number = TaskContext.get().partitionId() << 36
-        logs = np.log10((counts + 1) / denominator)
-        for batch in slices(batches, "text", AT_ONCE):
-            body, begins = text_bytes(batch, 2)
-            n = len(begins) - 1
-            text, h = words(body, begins)
-            at = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
-            hit = names[at] == h if len(names) else np.zeros(len(h), bool)
-            own = np.bincount(text[hit], logs[at[hit]], n) if len(names) else np.zeros(n)
-            score, deep, grams = log10_of(model, body, begins)
-            lists = lambda texts, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(texts, minlength=n)))), pa.int32()), pa.array(values))
-            columns = [
-                pa.array(np.arange(n) + number), batch.column(0), batch.column(1), pa.array(np.diff(begins)), pa.array(np.bincount(text, minlength=n) + 1), pa.array(np.bincount(text[hit], minlength=n) + (ends > 0)),
-                pa.array(own + end_log), pa.array(score), lists(text[~hit], h[~hit].view(np.int64)), lists(deep, grams.view(np.int32)),
-            ]
-            number += n
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "training", "n_bytes", "n_tokens", "n_known", "base", "score", "rare", "grams"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    asked = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
-    scored = materialise(asked.mapInArrow(run, f"row long, id {kind}, training boolean, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<long>, grams array<int>"), "scored")
-    # all other words are joined to their counts, and all other contexts to their probabilities
-    rare = scored.select("row", F.explode("rare").alias("word"))
-    rare = rare.join(vocabulary, "word", "left").select("row", F.col("n").isNotNull().cast("long").alias("known"), F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(denominator)).alias("log"), F.lit(0.0).alias("deep"))
-    grams = scored.select("row", F.explode("grams").alias("gram")).select("row", F.shiftright("gram", BITS).cast("long").alias("context"), F.col("gram").bitwiseAND(SYMBOLS - 1).alias("symbol"))
-    grams = grams.join(leaves, "context").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), F.get("logs", "symbol").cast("double").alias("deep"))
-    joined = rare.union(grams).groupBy("row").agg(F.sum("known").alias("known"), F.sum("log").alias("log"), F.sum("deep").alias("deep"))
-    out = scored.drop("rare", "grams").join(joined, "row", "left").withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
-    bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes"))
-    return out.select(
-        F.col("id").alias(id_col), "training", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("log", F.lit(0.0))).alias("base_score"), "score", bits.alias("bits_per_byte"),
-    )
+        part = TaskContext.get().partitionId()
+        for number, block in enumerate(blocks(batches, "text", BLOCK)):
+            name = f"{part}-{number}"
+            block = store.write(block, name)
+            low, learns = lowered(block.column("text")), np.array(block.column("training").to_pylist(), bool)
+            keys, of = ngrams(low.cast(pa.binary()).to_pylist())
+            keys, counts = distinct_ngrams(keys, learns[of])
+            by, runs = dealt(keys, buckets)
+            keys, counts = keys[by], counts[by]
+            rows = [(b, GRAM, grams_packed(keys[x:y], counts[x:y])) for b, x, y in runs]
+            of, word, words = words_of(low)
+            counts = np.bincount(word[learns[of]], minlength=len(words))
+            by, runs = by_word(words, buckets)
+            words = words.cast(pa.binary()).take(pa.array(by)).to_pylist()
+            rows += [(b, WORD, packed(np.array([y - x, *counts[by[x:y]]], np.int64).tobytes() + b"\n".join(words[x:y]))) for b, x, y in runs]
+            to, kinds, bodies = zip(*rows)
+            yield from pa.table({"bucket": pa.array(to, pa.int32()), "kind": pa.array(kinds, pa.int32()), "block": [name] * len(rows), "body": pa.array(bodies, pa.binary())}).to_batches()
+        tidy()
+
+    def count(group: pa.Table) -> pa.Table:
+        bucket, block = group.column("bucket")[0].as_py(), group.column("block").to_pylist()
+        if group.column("kind")[0].as_py() == GRAM:
+            keys, counts = gathered([grams_unpacked(x.as_buffer()) for x in group.column("body")])
+            seen = counts > 0
+            found = parts_of(subtrees(keys[seen], counts[seen]))
+            store.write(group, f"bucket-{bucket}")
+            tidy()
+            return pa.concat_tables([rows_of([""], [GRAM], [bucket], [b""]), found])
+        sums: dict[bytes, int] = {}
+        asks = []
+        for x in group.column("body"):
+            raw = bytes(unpacked(x.as_buffer()))
+            n = int.from_bytes(raw[:8], "little")
+            words = raw[8 * (n + 1) :].split(b"\n")
+            for w, c in zip(words, np.frombuffer(raw, np.int64, n, 8).tolist()):
+                sums[w] = sums.get(w, 0) + c
+            asks.append(words)
+        tokens = packed(np.array([sum(sums.values()), sum(c > 0 for c in sums.values())], np.int64).tobytes())
+        return rows_of([*block, ""], [WORD] * len(block) + [TOTAL], [bucket] * (len(block) + 1), [*(packed(np.array([sums[w] for w in words], np.int64).tobytes()) for words in asks), tokens])
+
+    sent = asked.mapInArrow(ask, SENT).repartition(buckets, "bucket")
+    counted = materialise(sent.groupBy("bucket", "kind").applyInArrow(count, COUNTED), "counted")
+    nodes = counted.where(F.col("kind") == PART).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()  # 256 * DECISIONS rows at most
+    sums = np.zeros((3, 256 * DECISIONS))
+    for row, c in zip(sums, ("zeros", "ones", "below")):
+        row[nodes.column("node").to_numpy()] = nodes.column(c).to_numpy()
+    given = spark.sparkContext.broadcast(crown_of(*sums.reshape(3, 256, DECISIONS)))
+    totals = counted.where(F.col("kind") == TOTAL).select("body").toArrow().column(0)
+    totals = np.array([np.frombuffer(unpacked(x.as_buffer()), np.int64) for x in totals], np.int64).reshape(-1, 2).sum(0)
+    tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
+    denominator = float(tokens + (distinct + 1))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                asked = store.read(f"bucket-{bucket}")
+                asks = [grams_unpacked(x.as_buffer()) for x in asked.column("body")]
+                keys, counts = gathered(asks)
+                seen = counts > 0
+                logs = log10_of(subtrees(keys[seen], counts[seen]), given.value, keys).astype(np.float32)
+                bodies = [packed(logs[np.searchsorted(keys, k)].tobytes()) for k, _ in asks]
+                yield from rows_of(asked.column("block").to_pylist(), [GRAM] * len(bodies), [bucket] * len(bodies), bodies).select(["block", "kind", "bucket", "body"]).to_batches()
+            tidy()
+
+    def sum_up(group: pa.Table) -> pa.Table:
+        block = store.read(group.column("block")[0].as_py())
+        low = lowered(block.column("text"))
+        texts = len(low)
+        keys, of = ngrams(low.cast(pa.binary()).to_pylist())
+        coded = pa.array(keys).dictionary_encode()
+        own, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(own)
+        by, runs = dealt(own[order], buckets)
+        answers, logs = answers_of(group, GRAM), np.empty(len(own), np.float64)
+        logs[order[by]] = np.concatenate([np.frombuffer(answers[b], np.float32) for b, _, _ in runs])
+        scores = np.bincount(of, logs[place], texts)
+        del keys, own, place, of, coded, logs
+        of, word, words = words_of(low)
+        by, runs = by_word(words, buckets)
+        answers, counts = answers_of(group, WORD), np.zeros(len(words), np.int64)
+        if runs:
+            counts[by] = np.concatenate([np.frombuffer(answers[b], np.int64) for b, _, _ in runs])
+        value = np.log10((counts + 1) / denominator)
+        n_tokens = np.bincount(of, minlength=texts) + 1
+        n_known = np.bincount(of, counts[word] > 0, texts).astype(np.int64) + (ends > 0)
+        base = np.bincount(of, value[word], texts) + float(np.log10((ends + 1) / denominator))
+        size = pc.binary_length(low).to_numpy()
+        bits = pa.array(-scores / np.log10(2.0) / np.maximum(size, 1), mask=size == 0)
+        tidy()
+        columns = [block.column("id"), block.column("training"), *(pa.array(x) for x in (n_tokens, n_known, np.full(texts, tokens), base, scores)), bits]
+        return pa.table(columns, names=["id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    reducers = counted.where(F.col("kind") == GRAM).select("bucket").repartition(buckets, "bucket")
+    answers = reducers.mapInArrow(answer, "block string, kind int, bucket int, body binary").unionByName(counted.where(F.col("kind") == WORD).select("block", "kind", "bucket", "body"))
+    schema = f"id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return answers.repartition(tasks, "block").groupBy("block").applyInArrow(sum_up, schema).withColumnRenamed("id", id_col)
