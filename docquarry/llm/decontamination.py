@@ -1,24 +1,25 @@
 """Benchmark decontamination by a positional inverted index, with DataFrame operations alone.
 
-The index is partitioned by document: a posting (term, document, position) lives in the task that reads the document,
-beside the other postings of that document, so lists are intersected without moving them. A pass over all documents
-counts how often each term of the test items occurs. Each window of an item is then looked up by its rarest term:
-only the postings of these terms are joined to the windows; a posting is shifted by the term's offset to the start that the window would
-have, the list of the window's second rarest term is intersected at its own offset, and what is left is compared whole.
+The index is a stored table of postings (term, id, key, at), a row for each word of each document, in files by document as they are read: building it shuffles
+nothing, and every later set of test items is looked up in it without a look at the texts. A posting with an empty term closes each document and gives its
+number of words.
+
+Each window of an item is looked up by its rarest term, by the counts of all postings: a posting, shifted by the term's offset, says where the window would begin.
+The list of these places is intersected with the second rarest term's postings at its own offset, and then with those of all other terms; a place at which
+every term of the window has its posting is a match.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, exists, materialise, shared_path
 
 #: Everything below U+0080 that is no digit or lower-case letter separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many bytes of test texts the window table is broadcast; beyond, postings are shuffled to it.
-BROADCAST_TEXT_BYTES = 2 << 20
+#: Up to so many bytes of test texts, their terms are broadcast to the postings, and up to so many places are; beyond, postings and they meet in a shuffle.
+BROADCAST_TEXT_BYTES, BROADCAST_PLACES = 2 << 20, 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -33,104 +34,107 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, width: int) -> Da
     return words.select("item", "words", F.explode(starts).alias("start")).select("item", F.slice("words", F.col("start"), F.lit(width)).alias("phrase")).distinct()
 
 
-def by_rarest(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The windows with their rarest and second rarest terms and these terms' offsets, by the counts of all documents.
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the postings (term, id, key, at) of documents to a new path, unless it is there, and read them; key: a hash of the text, which tells documents with equal ids apart.
 
-    Windows with a term that occurs nowhere are dropped: they can't be found."""
-    terms = windows.select("item", "phrase", F.posexplode("phrase").alias("offset", "term")).join(counts, "term")
-    ranked = terms.groupBy("item", "phrase").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
-    ranked = ranked.where(F.size("by") == F.size("phrase")).withColumn("next", F.when(F.size("by") > 1, F.element_at("by", 2)).otherwise(F.element_at("by", 1)))
-    first = F.element_at("by", 1)
-    return ranked.select("item", "phrase", first["term"].alias("term"), first["offset"].alias("offset"), F.col("next")["term"].alias("second"), (F.col("next")["offset"] - first["offset"]).alias("apart"))
+    at counts words from 0. Null texts have no words: only the closing posting with an empty term. Null ids are ids like others; rows that repeat id and text
+    are one document. Other columns are ignored, whatever their names. An empty table gives an index without postings."""
+    spark = docs.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("words"))
+        rows = words.select("id", "key", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "term")).select("term", "id", "key", "at")
+        # terms repeat: a larger dictionary keeps them as numbers, and delta encoding makes next to nothing of places in order
+        rows.write.option("compression", "zstd").option("parquet.dictionary.page.size", 16 << 20).option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return spark.read.schema(f"term string, id {kind}, key long, at int").parquet(path)
 
 
 def small(items: DataFrame, text_col: str) -> bool:
-    """Whether the texts of the items are few enough bytes for their windows to be broadcast."""
+    """Whether the texts of the items are few enough bytes for their terms to be broadcast."""
     return (items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) <= BROADCAST_TEXT_BYTES
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A posting (term, position) for each word of each document, beside all its words, and one more with an empty term at its end.
-
-    key: a hash of the text, which tells documents with equal ids apart."""
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("words"))
-    return words.select("id", "key", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "term"))
+def ranked(phrases: DataFrame, index: DataFrame, broadcast: bool) -> DataFrame:
+    """(w, by): for each (w, phrase), its (n, offset, term) from the rarest term on, by the counts of all postings. Those with a term that occurs nowhere are left out: they can't be found."""
+    wanted = phrases.select(F.explode("phrase").alias("term")).distinct()
+    counts = index.select("term").join(F.broadcast(wanted) if broadcast else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = phrases.select("w", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term")).join(counts, "term")
+    by = terms.groupBy("w", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
+    return materialise(by.where(F.size("by") == F.col("size")).select("w", "by"), "ranked")
 
 
-def counts_of(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, broadcast: bool) -> DataFrame:
-    """(term, n): how often each of the terms occurs in all documents."""
-    found = postings(docs, id_col, text_col).select("term")
-    terms = F.broadcast(terms) if broadcast else terms
-    return found.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def at_places(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted (w, id, key, begin, term, at) whose term has a posting there. wanted is broadcast where it is short, else joined in a shuffle."""
+    wanted = materialise(wanted, "places")
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_PLACES else wanted
+    i, p = index.alias("i"), near.alias("p")
+    met = (F.col("i.term") == F.col("p.term")) & (F.col("i.at") == F.col("p.at")) & (F.col("i.key") == F.col("p.key")) & F.col("i.id").eqNullSafe(F.col("p.id"))
+    return i.join(p, met).select("p.*")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id, key, n_words, item, begin, end: the places of all documents where a window of an item stands, as word positions
-    from begin (0 is the first) to before end; and for each document one row more, with null item, begin and end.
+def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """id, key, item, begin, end: the places of all documents of an index where a window of an item stands, as word positions from begin (0 is the first) to before end.
 
-    Null texts have no words. Null and repeated ids are kept apart by key, a hash of the text; rows that repeat both id and
-    text count as one document. Empty tables give no matches. Other columns of either table are ignored.
+    A window is width consecutive words of an item, or all of them where there are fewer; items without words have none. Items with null or repeated ids are
+    items like others. Empty tables give no matches. Other columns of items are ignored.
     """
     broadcast = small(items, item_text_col)
     windows = windows_of(items, item_col, item_text_col, width)
-    terms = windows.select(F.explode("phrase").alias("term")).distinct()
-    looked_up = by_rarest(windows, counts_of(docs, terms, id_col, text_col, broadcast))
-    looked_up = looked_up.select("item", "phrase", "term", "offset", "second", "apart")
-    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in looked_up.schema])
-    looked_up = looked_up.unionByName(docs.sparkSession.createDataFrame([(None, None, "", 0, "", 0)], nullable))
-    found = postings(docs, id_col, text_col)
-    if broadcast:
-        near, at = F.col("words"), F.col("at")
-        looked_up = F.broadcast(looked_up)
-    else:  # each posting takes along the words that a window can reach from it
-        low = F.greatest(F.col("at") - (width - 1), F.lit(0))
-        found = found.select("id", "key", "term", "at", (F.col("at") - low).alias("inner"), F.slice("words", low + 1, F.lit(2 * width - 1)).alias("near"))
-        near, at = F.col("near"), F.col("inner")
-    found, looked_up = found.alias("f"), looked_up.alias("w")
-    begin = at - F.col("offset")
-    fits = F.col("phrase").isNull() | (
-        (begin >= 0) & (F.get(near, at + F.col("apart")) == F.col("second")) & (F.slice(near, F.greatest(begin, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
-    )
-    begin = F.col("f.at") - F.col("offset")
-    return found.join(looked_up, (F.col("f.term") == F.col("w.term")) & fits).select(
-        "id",
-        "key",
-        F.when(F.col("phrase").isNull(), F.col("f.at")).alias("n_words"),
-        "item",
-        F.when(F.col("phrase").isNotNull(), begin).alias("begin"),
-        (begin + F.size("phrase")).alias("end"),
-    )
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, span: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    phrases = materialise(windows.select("phrase").distinct().withColumn("w", F.monotonically_increasing_id()), "phrases")
+    by = ranked(phrases, index, broadcast)
+    first = by.select("w", F.col("by")[0]["term"].alias("term"), F.col("by")[0]["offset"].alias("offset"))
+    found = index.where("term <> ''").join(F.broadcast(first) if broadcast else first, "term").where("at >= offset").select("w", "id", "key", (F.col("at") - F.col("offset")).alias("begin"))
+    found = found.distinct()
+    for low, high in ((1, 1), (2, width - 2)):  # the second rarest term, then all others
+        if low + high > width:
+            continue
+        rest = by.select("w", F.slice("by", low + 1, high).alias("rest"))
+        found = materialise(found.join(F.broadcast(rest) if broadcast else rest, "w"), "found")
+        asked = found.select("w", "id", "key", "begin", F.inline("rest")).select("w", "id", "key", "begin", "term", (F.col("begin") + F.col("offset")).alias("at"))
+        held = at_places(index, asked).groupBy("w", "id", "key", "begin").agg(F.countDistinct("at").alias("held"))
+        full = found.where(F.size("rest") > 0).select("w", F.size("rest").alias("size")).distinct()
+        held = held.join(F.broadcast(full) if broadcast else full, "w").where(F.col("held") == F.col("size"))
+        found = held.select("w", "id", "key", "begin").unionByName(found.where(F.size("rest") == 0).select("w", "id", "key", "begin"))
+    named = windows.join(phrases, "phrase").select("w", "item", F.size("phrase").alias("size")).distinct()
+    return found.join(F.broadcast(named) if broadcast else named, "w").select("id", "key", "item", "begin", (F.col("begin") + F.col("size")).alias("end"))
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, span: int, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, key, item, at: the positions of an item's rarest term in a document from which all its other terms are less than span words away.
 
     Nulls, repeated rows and empty tables as for phrase_matches; an item without words matches nothing.
     """
     broadcast = small(items, item_text_col)
-    phrases = items.select(F.col(item_col).alias("item"), F.array_sort(F.array_distinct(words_of(F.col(item_text_col)))).alias("phrase")).where(F.size("phrase") > 0)
-    counts = counts_of(docs, phrases.select(F.explode("phrase").alias("term")).distinct(), id_col, text_col, broadcast)
-    looked_up = by_rarest(phrases, counts).select("item", "phrase", "term")
-    looked_up = F.broadcast(looked_up) if broadcast else looked_up
-    low = F.greatest(F.col("at") - (span - 1), F.lit(0))
-    near = F.slice("words", low + 1, F.col("at") - low + span)
-    found = postings(docs, id_col, text_col).where(F.col("term") != "")
-    found = found.select("id", "key", "at", "term", near.alias("near")) if not broadcast else found
-    held = F.size(F.array_except("phrase", near if broadcast else F.col("near"))) == 0
-    return found.join(looked_up, "term").where(held).select("id", "key", "item", "at").distinct()
-
-
-def hits(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """For each document: id, key, n_words, n_hit (words inside any match), items (those that match, in the order of strings)."""
-    spans = F.array_sort(F.collect_set(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))))
-    found = matches.groupBy("id", "key").agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    words = items.select(F.col(item_col).alias("item"), F.array_sort(F.array_distinct(words_of(F.col(item_text_col)))).alias("phrase")).where(F.size("phrase") > 0).distinct()
+    phrases = materialise(words.select("phrase").distinct().withColumn("w", F.monotonically_increasing_id()), "phrases")
+    by = ranked(phrases, index, broadcast)
+    first = by.select("w", F.col("by")[0]["term"].alias("term"), F.slice("by", 2, F.greatest(F.size("by") - 1, F.lit(1))).alias("rest"))
+    found = index.where("term <> ''").join(F.broadcast(first) if broadcast else first, "term").select("w", "id", "key", "at", "rest")
+    found = materialise(found, "found")
+    asked = materialise(found.select("w", "id", "key", "at", F.size("rest").alias("size"), F.inline("rest")).select("w", "id", "key", F.col("at").alias("place"), "size", "term"), "places")
+    near = F.broadcast(asked) if asked.count() <= BROADCAST_PLACES else asked
+    i, p = index.alias("i"), near.alias("p")
+    met = (F.col("i.term") == F.col("p.term")) & (F.col("i.key") == F.col("p.key")) & F.col("i.id").eqNullSafe(F.col("p.id")) & (F.abs(F.col("i.at") - F.col("p.place")) < span)
+    held = i.join(p, met).select("p.*").groupBy("w", "id", "key", "place", "size").agg(F.countDistinct("term").alias("held")).where("held = size")
+    alone = found.where(F.size("rest") == 0).select("w", "id", "key", "at")
+    named = words.join(phrases, "phrase").select("w", "item")
+    return held.select("w", "id", "key", F.col("place").alias("at")).unionByName(alone).join(named, "w").select("id", "key", "item", "at").distinct()
+
+
+def hits(index: DataFrame, matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """For each document of an index: id, key, n_words, n_hit (words inside any match), items (those that match, in the order of strings)."""
+    spans = F.array_sort(F.collect_set(F.struct("begin", "end")))
+    found = matches.groupBy("id", "key").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     start = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("reach"))
     covered = F.aggregate("spans", start, lambda a, x: F.struct((a["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["begin"], a["reach"]))).alias("hit"), F.greatest(a["reach"], x["end"]).alias("reach")))
-    return found.select(F.col("id").alias(id_col), "key", "n_words", covered["hit"].cast("long").alias("n_hit"), "items")
+    found = found.select(F.col("id").alias("of"), F.col("key").alias("of_key"), covered["hit"].cast("long").alias("n_hit"), "items")
+    every = index.where("term = ''").select("id", "key", F.col("at").cast("long").alias("n_words")).distinct()
+    joined = every.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    return joined.select(F.col("id").alias(id_col), "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """The rows of docs in which no window of an item stands."""
-    bad = hits(phrase_matches(docs, items, width, id_col, text_col, **names).where("begin is not null"), "id").select("id", "key")
-    mine = docs.withColumn("docquarry_key", F.xxhash64(text_col))
-    return mine.join(bad, mine[id_col].eqNullSafe(bad["id"]) & (F.col("docquarry_key") == F.col("key")), "left_anti").drop("docquarry_key")
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", index_path: str | None = None, **names: str) -> DataFrame:
+    """The rows of docs in which no window of an item stands, whatever their other columns are called; the index is made at index_path, or a new path, unless it is there."""
+    index = build_index(docs, index_path or shared_path(docs.sparkSession, "index"), id_col, text_col)
+    bad = phrase_matches(index, items, width, **names).select(F.col("id").alias("docquarry_id"), F.col("key").alias("docquarry_key")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("docquarry_id")) & (F.xxhash64(text_col) == F.col("docquarry_key")), "left_anti")

@@ -47,7 +47,8 @@ def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of each fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
-    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+    found = topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+    return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,9 @@ def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside windows of ten words of any benchmark item."""
-    matches = decontamination.phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontamination.hits(matches).select(
+    index = decontamination.build_index(table(spark, sf_dir, "documents"), shared_path(spark, "index"))
+    matches = decontamination.phrase_matches(index, table(spark, sf_dir, "benchmark"))
+    return decontamination.hits(index, matches).select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -77,11 +79,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as WARC records, indexed, and read back through the index."""
-    root = shared_path(spark, "archives")
-    places = warc.write(table(spark, sf_dir, "pages"), root)
-    directory = warc.build_index(places, root, max(8, spark.sparkContext.defaultParallelism))
-    return warc.read(spark, directory, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """All pages written as WARC records and indexed; then every page's URL is looked up in the index, and what it finds is read back."""
+    root, tasks, pages = shared_path(spark, "archives"), max(8, spark.sparkContext.defaultParallelism), table(spark, sf_dir, "pages")
+    directory = warc.build_index(warc.write(pages, root), root, tasks)
+    found = warc.find(spark, directory, root, warc.url_keys(pages), tasks)
+    return warc.read(spark, root, found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:

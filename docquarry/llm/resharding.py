@@ -1,6 +1,6 @@
 """Resharding by minimum-cost flow.
 
-Old shards are cut into blocks by a hash of the rows' ids. From the old shards' bytes and the new shards' capacities, a minimum-cost flow
+Old shards are cut into blocks by a hash of the rows' ids and texts, more of them as the input grows. From the old shards' bytes and the new shards' capacities, a minimum-cost flow
 (a byte that stays costs nothing, a byte that moves costs one) says how many bytes go from each old shard to each new one. An old shard's
 rows, in the order of its blocks, are then dealt out along these flows: whole blocks mostly, and the rows of a few blocks that a flow's end cuts. Around
 each cut, a bounded number of rows is dealt out again, largest first to the emptiest shard, so that sizes end up as near as rows allow.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shared_path
 
-#: Blocks of an old shard.
-BLOCKS = 256
+#: Blocks of an old shard at least, and bytes of a block at most, about.
+BLOCKS, BLOCK_BYTES = 256, 1 << 30
 #: Rows on each side of a cut that are dealt out again.
 BESIDE = 48
 
@@ -128,21 +128,23 @@ def plan_moves(sizes: dict[tuple[int, int], int], capacity: list[int], old_shard
     return Plan(flows, pieces, offsets, affected)
 
 
-def reshard(docs: DataFrame, old_shard: Column, capacity: list[int] | int, old_shards: int, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> tuple[DataFrame, Plan]:
+def reshard(docs: DataFrame, old_shard: Column, capacity: list[int] | int, old_shards: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Plan]:
     """Every row of docs as (id, size, text_crc32, old_shard, shard, slot), and the plan. size: UTF-8 bytes of the text (null: none) plus 1.
 
     old_shard: the number of a row's old shard, from 0 to old_shards - 1. capacity: bytes of each new shard, or their number, for equal
     ones. Slots count the rows of a shard from 0 without gaps. The rows of affected blocks are written to a file set per new shard in the shared folder and
     what is returned of them is read from there; rows of other blocks stay where they are.
-    Rows with equal or null ids are separate rows; rows that repeat both id and text are interchangeable. An empty table gives empty shards.
+    A null old_shard counts as 0. Rows with equal or null ids are separate rows; rows that repeat both id and text are interchangeable. An empty table gives empty shards.
     Columns of docs other than id and text are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(F.col(id_col))
+    total = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
+    blocks = int(max(BLOCKS, -(-((total[0] or 0) + total[1]) // (BLOCK_BYTES * old_shards))))
+    key = F.xxhash64(F.col(id_col), F.xxhash64(text))  # rows with equal or null ids are spread by their texts
     rows = docs.select(
         F.col(id_col).alias("id"), text.alias("text"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"),
-        old_shard.cast("int").alias("old"), F.pmod(F.coalesce(key, F.lit(0)), F.lit(blocks)).cast("int").alias("block"), F.xxhash64(text).alias("hash"),
+        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.xxhash64(text).alias("hash"),
     )
     narrow = materialise(rows.drop("text"), "sized")
     sizes = {(r["old"], r["block"]): r["bytes"] for r in narrow.groupBy("old", "block").agg(F.sum("size").alias("bytes")).collect()}  # old_shards * blocks rows at most

@@ -1,15 +1,15 @@
 """Exact top-k search by inner product with a three-phase uniform threshold.
 
-The components are dealt to LISTS lists; a vector's score is the sum of its scores in the lists. For a block of queries:
+The components are dealt to LISTS lists; a vector's score is the sum of its scores in the lists. Queries are packed into blocks of bounded size, files in the
+shared folder; each task holds its partition of the vectors and takes one block of queries after another.
 
-1. Every partition of the vectors returns, for each query and list, the K vectors with the best scores in that list, with
-   their whole scores. The K-th best whole score of a query is a safe cutoff: its K best vectors reach it.
-2. The cutoffs are broadcast. A vector whose score in no list reaches cutoff / LISTS can't reach the cutoff, so each
-   partition collects the others only.
-3. Their remaining lists are looked up, which gives exact scores; the K best of a partition that reach the cutoff are returned and ranked.
+1. Gather: a task returns, for each query, the whole scores of the K vectors that lead each of its local lists. The K-th best of these scores of all tasks is a
+   safe cutoff: K vectors reach it. Cutoffs are written beside the query blocks.
+2. Collect: a vector whose score in no list reaches cutoff / LISTS can't reach the cutoff. All pairs are tested so at once; there is no selection for each query any more.
+3. Resolve: only the pairs that are left are summed over their lists, and of those that reach the cutoff the K best of a query and task are returned and ranked.
 
-Queries are handled in blocks of bounded size against all vectors, so what is broadcast doesn't grow with the data.
-Scores are integers and exact: 64-bit floats hold them while they stay below 2^53, which is checked, and Python's integers else.
+No query comes to the driver; it knows the names of the blocks, one for each BLOCK queries. Scores are integers and exact: 64-bit floats hold them while they
+stay below 2^53, which is checked, and Python's integers else.
 """
 
 from __future__ import annotations
@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Store, materialise, remove, shared_path, small_batches, tidy
 
 LISTS = 4
-#: Queries of a block, and bytes of its vectors: with 16 bytes a query for the cutoffs, all that is broadcast.
+#: Queries of a block, and bytes of its vectors.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Scores that are held at once.
 AT_ONCE = 1 << 21
 FOUND = "query_id long, vec_id long, score decimal(38,0)"
+#: Whole numbers in floats are exact below this.
+EXACT = 2.0**53
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -39,19 +41,20 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def blocks_of(queries: DataFrame) -> DataFrame:
-    """(block, size, ids, body): the queries packed into blocks of one dimension each, BLOCK rows and BLOCK_BYTES at most."""
+def blocks_of(queries: DataFrame, store: Store) -> DataFrame:
+    """(block, size, ids): the queries packed into files of one dimension each, BLOCK rows and BLOCK_BYTES at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, waiting = TaskContext.get().partitionId() << 32, {}
+        part, number, waiting = TaskContext.get().partitionId(), 0, {}
 
         def packed(size: int) -> pa.RecordBatch:
             nonlocal number
-            number += 1
-            rows = waiting.pop(size)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int32()), pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([np.array([v for _, v in rows], np.float64).tobytes()], pa.binary())], ["block", "size", "ids", "body"])
+            name, number, rows = f"{part}-{number}", number + 1, waiting.pop(size)
+            ids = [i for i, _ in rows]
+            store.write(pa.table({"ids": pa.array([ids], pa.list_(pa.int64())), "body": pa.array([np.array([v for _, v in rows], np.float64).tobytes()], pa.large_binary())}), name)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int32()), pa.array([ids], pa.list_(pa.int64()))], ["block", "size", "ids"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -62,140 +65,126 @@ def blocks_of(queries: DataFrame) -> DataFrame:
         for size in list(waiting):
             yield packed(size)
 
-    return queries.mapInArrow(run, "block long, size int, ids array<long>, body binary")
+    return materialise(queries.mapInArrow(run, "block string, size int, ids array<long>"), "query-blocks")
 
 
-def matrices(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of batches, a bounded number of rows at a time."""
+def matrices(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a partition, by dimension."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            v = part.column(1)
-            yield part.column(0).to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        sizes, ids, v = batch.column(1).value_lengths().to_numpy(), batch.column(0).to_numpy(), batch.column(1)
+        for size in np.flatnonzero(np.bincount(sizes)).tolist() if len(sizes) else []:
+            mine = np.flatnonzero(sizes == size)
+            found.setdefault(size, []).append((ids[mine], v.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)))
+    return {size: tuple(np.concatenate(x) for x in zip(*parts)) for size, parts in found.items()}
 
 
-def list_scores(x: np.ndarray, q: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-    """Exact scores in each list: doubles where whole scores are exact in them, else Python's integers."""
-    if x.size and q.size and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] >= 2.0**53:
+def list_scores(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
+    """Exact scores in each list, a row for each query: doubles where whole scores are exact in them, else Python's integers."""
+    cuts = np.linspace(0, x.shape[1], min(lists, max(1, x.shape[1])) + 1).astype(int)
+    if x.size and q.size and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] >= EXACT:
         x, q = (np.array([[int(c) for c in r] for r in m], object).reshape(m.shape) for m in (x, q))
-    return [x[:, a:b] @ q[:, a:b].T for a, b in zip(cuts, cuts[1:])]
+    return [q[:, a:b] @ x[:, a:b].T for a, b in zip(cuts, cuts[1:])]
+
+
+def leaders(parts: list[np.ndarray], other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places of the k best pairs of each query in each list; other: which pairs count."""
+    found = []
+    for part in parts:
+        if part.dtype == object:
+            found += [(j, i) for j in range(len(part)) for i in sorted(np.flatnonzero(other[j]).tolist(), key=lambda i: -part[j, i])[:k]]
+            continue
+        part = np.where(other, part, -np.inf)
+        n = min(k, part.shape[1])
+        at = np.argpartition(part, part.shape[1] - n, axis=1)[:, part.shape[1] - n :]
+        found += zip(np.repeat(np.arange(len(part)), n).tolist(), at.ravel().tolist())
+    pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+    pairs = pairs[other[pairs[:, 0], pairs[:, 1]]]
+    return pairs[:, 0], pairs[:, 1]
+
+
+def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best scores of each query, ties to the lesser id."""
+    if score.dtype == object:
+        order = np.array(sorted(range(len(score)), key=lambda p: (query[p], -score[p], ids[p])), np.int64)
+    else:
+        order = np.lexsort((ids, -score, query))
+    rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    return order[rank < k]
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k best scores, ties to the lesser id."""
-    if len(scores) > 4 * k and scores.dtype != object:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        places = np.flatnonzero(scores >= least)
-    else:
-        places = np.arange(len(scores))
-    order = sorted(places.tolist(), key=lambda p: (-scores[p], ids[p])) if len(places) <= 64 * k or scores.dtype == object else places[np.lexsort((ids[places], -scores[places]))].tolist()
-    return np.array(order[:k], np.int64)
+def rows_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    from decimal import Decimal
+
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array([Decimal(int(s)) for s in score], pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, lists: int = LISTS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row of queries the k vectors with the greatest inner product, or all if there are fewer; ties go to the lesser id.
+    """query_id, rank (from 1), vec_id, score (decimal(38,0)): for each row of queries the k vectors with the greatest inner product, or all if there are fewer; ties go to the lesser id.
 
     A query isn't compared with rows of its own id. Vectors or ids that are null, and vectors with null or non-finite components, take no part;
     vectors of another number of components than the query's don't either. Repeated rows of vectors stand for themselves; repeated rows of
-    queries count once. An empty table on either side gives an empty result. Other columns are ignored.
+    queries count once, and of queries that repeat an id with other vectors one is taken. An empty table on either side gives an empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
+    store = Store(shared_path(spark, "queries"))
     every = quantised(vectors, id_col, vector_col, scale)
-    asked = quantised(queries, id_col, vector_col, scale).distinct()
-    count = asked.count()
-    packed = materialise(blocks_of(asked.repartition(max(1, -(-count // BLOCK)))), "query-blocks")
-    found = None
-    for block, size in [tuple(r) for r in packed.select("block", "size").orderBy("block").collect()]:  # a row for each BLOCK queries
-        row = packed.where((F.col("block") == block) & (F.col("size") == size)).first()
-        part = search_block(spark, every.where(F.size("v") == size), np.array(row["ids"]), np.frombuffer(row["body"], np.float64).reshape(-1, size), k, min(lists, max(1, size)))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
+    asked = quantised(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
+    packed = blocks_of(asked.coalesce(max(1, -(-asked.count() // BLOCK))), store)
+    names = [(r["block"], r["size"]) for r in packed.select("block", "size").collect()]  # a row for each BLOCK queries
+
+    def run(batches: Iterator[pa.RecordBatch], phase: int) -> Iterator[pa.RecordBatch]:
+        held = matrices(batches)
+        for name, size in names:
+            if size not in held:
+                continue
+            ids, x = held[size]
+            block = store.read(name)
+            asked = np.array(block.column("ids")[0].as_py(), np.int64)
+            q = np.frombuffer(block.column("body")[0].as_buffer(), np.float64).reshape(len(asked), size)
+            cutoff = None
+            if phase > 1:
+                known = store.read(f"{name}.cutoffs")
+                cutoff = np.array([int(c) if c is not None else None for c in known.column("cutoff").to_pylist()], object)
+            step, found = max(256, AT_ONCE // len(asked)), []
+            for at in range(0, len(ids), step):
+                some = ids[at : at + step]
+                parts = list_scores(q, x[at : at + step], lists)
+                other = asked[:, None] != some[None, :]
+                if cutoff is None:
+                    j, i = leaders(parts, other, k)
+                else:
+                    exact = parts[0].dtype == object
+                    least = np.array([-float("inf") if c is None else c if exact else float(c) for c in cutoff], object if exact else np.float64)[:, None]
+                    enough = np.zeros(other.shape, bool)
+                    for part in parts:
+                        enough |= (part * len(parts) >= least).astype(bool)
+                    j, i = np.nonzero(enough & other)
+                whole = sum(part[j, i] for part in parts)
+                if cutoff is not None:
+                    reach = (whole >= least[j, 0]).astype(bool)
+                    j, i, whole = j[reach], i[reach], whole[reach]
+                top = best(j, some[i], whole, k)
+                found.append((j[top], some[i[top]], whole[top]))
+            j, some, whole = (np.concatenate(c) for c in zip(*found))
+            top = best(j, some, whole, k)
+            yield rows_of(asked[j[top]], some[top], whole[top])
+        tidy()
+
+    gathered = every.mapInArrow(lambda batches: run(batches, 1), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    last = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
+
+    def put(group: pa.Table) -> pa.Table:
+        name, by = group.column("block")[0].as_py(), dict(zip(group.column("query_id").to_pylist(), group.column("cutoff").to_pylist()))
+        ids = store.read(name).column("ids")[0].as_py()
+        store.write(pa.table({"cutoff": pa.array([by[i] for i in ids], pa.decimal128(38, 0))}), f"{name}.cutoffs")
+        return pa.table({"block": [name]})
+
+    placed = packed.select("block", F.explode("ids").alias("query_id")).join(last, "query_id", "left")
+    materialise(placed.groupBy("block").applyInArrow(put, "block string"), "cutoffs")
+    found = materialise(every.mapInArrow(lambda batches: run(batches, 2), FOUND), "found")
+    remove(spark, store.root)
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
-
-
-def rows_of(found: list[tuple[int, int, object]]) -> pa.RecordBatch:
-    from decimal import Decimal
-
-    ids, others, scores = zip(*found) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array([Decimal(int(s)) for s in scores], pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
-
-
-def search_block(spark, vectors: DataFrame, ids: np.ndarray, body: np.ndarray, k: int, lists: int) -> DataFrame:
-    """(query_id, vec_id, score) with the k best vectors of each query of a block, and others that reach its cutoff."""
-    size, n = body.shape[1], len(ids)
-    cuts = np.linspace(0, size, lists + 1).astype(int)
-    given = spark.sparkContext.broadcast((ids, body))
-    rows = max(256, AT_ONCE // max(1, n))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 1: the partition's best vectors of each query in each list, with whole scores."""
-        ids, q = given.value
-        kept: list[list[tuple]] = [[] for _ in range(n * lists)]
-        for names, x in matrices(batches, size, rows):
-            parts = list_scores(x, q, cuts)
-            whole = sum(parts)
-            for j in range(n):
-                others = np.flatnonzero(names != ids[j])
-                for i, part in enumerate(parts):
-                    at = others[best(part[others, j], names[others], k)]
-                    have = kept[j * lists + i]
-                    have += [(-part[p, j], int(names[p]), whole[p, j]) for p in at.tolist()]
-                    have.sort(key=lambda t: t[:2])
-                    del have[k:]
-        out = []
-        for j in range(n):
-            # a vector may lead several lists; repeated rows of one id stand for themselves only within a list, which keeps the cutoff safe
-            seen = {}
-            for i in range(lists):
-                counts: dict[tuple, int] = {}
-                for _, v, s in kept[j * lists + i]:
-                    counts[(v, s)] = counts.get((v, s), 0) + 1
-                for key, c in counts.items():
-                    seen[key] = max(seen.get(key, 0), c)
-            top = sorted(((s, v) for (v, s), c in seen.items() for _ in range(c)), key=lambda t: (-t[0], t[1]))[:k]
-            out += [(int(ids[j]), v, s) for s, v in top]
-        if out:
-            yield rows_of(out)
-
-    gathered = vectors.mapInArrow(gather, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    last = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").collect()  # a row for each query of the block at most
-    safe = {r["query_id"]: int(r["score"]) for r in last}
-    cutoffs = spark.sparkContext.broadcast(safe)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phases 2 and 3: the vectors that reach the cutoff's share in some list, their exact scores, and the partition's best that reach the cutoff."""
-        ids, q = given.value
-        bound = cutoffs.value
-        kept: list[list[tuple]] = [[] for _ in range(n)]
-        for names, x in matrices(batches, size, rows):
-            parts = list_scores(x, q, cuts)
-            greatest = parts[0]
-            for part in parts[1:]:
-                greatest = np.maximum(greatest, part)
-            for j in range(n):
-                least = bound.get(int(ids[j]))
-                enough = names != ids[j]
-                if least is not None:
-                    enough &= (greatest[:, j] * lists >= least).astype(bool)
-                at = np.flatnonzero(enough)
-                whole = parts[0][at, j]
-                for part in parts[1:]:
-                    whole = whole + part[at, j]
-                if least is not None:
-                    reach = np.flatnonzero((whole >= least).astype(bool))
-                    at, whole = at[reach], whole[reach]
-                if not len(at):
-                    continue
-                top = best(whole, names[at], k)
-                kept[j] += [(-whole[p], int(names[at[p]])) for p in top.tolist()]
-                kept[j].sort()
-                del kept[j][k:]
-        out = [(int(ids[j]), v, -s) for j in range(n) for s, v in kept[j]]
-        if out:
-            yield rows_of(out)
-
-    return vectors.mapInArrow(collect, FOUND)
+    return ranked.select("query_id", "rank", "vec_id", "score")

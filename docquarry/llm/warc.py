@@ -1,13 +1,15 @@
 """WARC archives with a two-level capture index.
 
 Writing: each payload of MIN_PAYLOAD bytes or more that several pages share is stored once, as the response of the page with the least
-id; the others become revisit records that refer to it. Every record is a gzip member of its own. A task writes its
+id; the others become revisit records that refer to it. One pass leaves the payloads in block files of the shared folder; only digests and places are
+shuffled, to find the roles, and tasks then write the records of whole blocks. Every record is a gzip member of its own. A task writes its
 archives to the shared folder under names of its own and returns the places of its records, so what a lost task has
 left behind is never referred to.
 
 Index: an entry for each record, sorted by the URL's key (host labels in reverse order, then port, path and query), in
-compressed blocks of ENTRIES entries; and a sparse directory with the first key and place of each block. A lookup binary-searches the directory,
-reads and unpacks one block or more, binary-searches it, and reads only the record's own range of an archive.
+compressed blocks of ENTRIES entries; and a sparse directory with the first key and place of each block, a sorted table. A lookup binary-searches the directory,
+reads and unpacks one block or more, binary-searches it, and reads only the record's own range of an archive. Many lookups are done in the order of their keys,
+a range of them in each task, which reads the part of the directory and the blocks that its range falls into.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_files, slices
+from .common import Store, blocks, materialise, remove, shared_files, shared_path, small_batches, tidy
 
 MIN_PAYLOAD = 100
 #: Entries of an index block, and bytes of an archive after which the next is begun.
 ENTRIES, ARCHIVE_BYTES = 2000, 256 << 20
+#: Bytes of payloads in a block, and of records that one task writes or reads, about.
+BLOCK, TASK_BYTES = 8 << 20, 16 << 20
 #: Gaps between records up to so many bytes are read along rather than skipped.
 READ_ALONG = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -80,46 +84,68 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, body.partition(b"\r\n\r\n")[2]
 
 
-def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """id, url, payload (bytes), digest and refers_to (null for responses)."""
+def stored(pages: DataFrame, store: Store, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """page_id, digest and size of each page's payload, and the block and row where page and payload are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for number, rows in enumerate(blocks(batches, "payload", BLOCK)):
+            block = f"{part}-{number}"
+            rows = store.write(rows, block)
+            raw = rows.column("payload").to_pylist()
+            columns = [rows.column("page_id"), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([len(x) for x in raw], pa.int64()), pa.array([block] * len(raw)), pa.array(range(len(raw)), pa.int32())]
+            yield from pa.table(columns, names=["page_id", "digest", "size", "block", "row"]).to_batches()
+        tidy()
+
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    long = rows.where(F.octet_length("payload") >= MIN_PAYLOAD)
-    # pages that share their payload with others: only these are joined on the digest
-    shared = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    return materialise(rows.mapInArrow(run, "page_id long, digest string, size long, block string, row int"), "warc-pages")
 
 
 def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write a record for each row of pages into archives below root; returns (key, page_id, file, offset, length).
 
     Null payloads are empty, null URLs an empty target. Rows that repeat an id are records of their own; a page with a null
-    id is a response, to which nothing refers. An empty table writes nothing. Other columns are ignored.
+    id is a response, to which nothing refers. Ids are whole numbers. An empty table writes nothing. Other columns are ignored.
     """
-    ready = with_roles(pages, id_col, url_col, payload_col)
+    spark = pages.sparkSession
+    small_batches(spark)
+    store = Store(shared_path(spark, "pages"))
+    rows = stored(pages, store, id_col, url_col, payload_col)
+    shared = rows.where(F.col("size") >= MIN_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    roles = rows.join(shared, "digest", "left").select("block", "row", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    tasks = int(max(8, -(-(rows.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = shared_files(root)
-        name, out, at = "", None, 0
+        name, out, at, block, pages = "", None, 0, None, None
         try:
-            for batch in slices(batches, "payload"):
+            for batch in batches:
                 places = []
-                for page, url, payload, digest, refers in zip(*[c.to_pylist() for c in batch.columns]):
+                for of, row, digest, refers in zip(*[c.to_pylist() for c in batch.columns]):
+                    if of != block:
+                        block, pages = of, store.read(of)
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = system.open_output_stream(f"{inner}/{name}", compression=None)
+                    page, url, payload = (pages.column(c)[row].as_py() for c in ("page_id", "url", "payload"))
                     raw = gzip.compress(record(page, url, payload, digest, refers), 6, mtime=0)
                     out.write(raw)
                     places.append((url_key(url), page, name, at, len(raw)))
                     at += len(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*places), [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()])], ["key", "page_id", "file", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*places)) or [()] * 5, [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()])], ["key", "page_id", "file", "offset", "length"])
         finally:
             if out is not None:
                 out.close()
+        tidy()
 
-    return materialise(ready.mapInArrow(run, PLACES), "warc-places")
+    places = materialise(roles.repartition(tasks, "block").sortWithinPartitions("block", "row").mapInArrow(run, PLACES), "warc-places")
+    remove(spark, store.root)
+    return places
 
 
 def build_index(places: DataFrame, root: str, partitions: int) -> DataFrame:
@@ -184,18 +210,54 @@ class Archive:
         return out
 
 
-def read(spark: SparkSession, directory: DataFrame, root: str) -> DataFrame:
-    """page_id, url, record_type, payload (null for revisits), payload_bytes, payload_digest and refers_to of all records that the index lists.
+def url_keys(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """(key): the distinct keys of the URLs of pages; null URLs have an empty one."""
 
-    Payloads of responses are read back and their digests made anew; a digest that differs from the record's raises an error.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+    return pages.select(F.col(url_col).alias("url")).mapInArrow(run, "key string").distinct()
+
+
+def find(spark: SparkSession, directory: DataFrame, root: str, keys: DataFrame, partitions: int) -> DataFrame:
+    """(file, offset, length) of all records of the given keys, by binary search in the directory and in the index blocks. Keys are taken in order, a range in each task."""
+    folders = sorted({f.rpartition("/")[0] for f in directory.inputFiles()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = shared_files(root)
+        tables = [ds.dataset(shared_files(f)[1], filesystem=shared_files(f)[0], format="parquet") for f in folders]
+        held: tuple = (None, [])
         for batch in batches:
-            for file, offset, length in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
-                rows = [x[2:] for x in entries(system, inner, file, offset, length)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.string(), pa.int64(), pa.int64()])], ["file", "offset", "length"])
+            wanted = batch.column(0).to_pylist()  # in order
+            if not wanted:
+                continue
+            near = [t.to_table(filter=(pc.field("first") <= wanted[-1]) & (pc.field("last") >= wanted[0])) for t in tables]
+            part = sorted((r["last"], r["first"], r["file"], r["offset"], r["length"]) for t in near for r in t.to_pylist())
+            found = []
+            for key in wanted:
+                for last, first, file, offset, length in part[bisect.bisect_left(part, key, key=lambda x: x[0]) :]:
+                    if first > key:
+                        break
+                    if held[0] != (file, offset):
+                        held = ((file, offset), entries(system, inner, file, offset, length))
+                    rows = held[1]
+                    found += [x[2:] for x in rows[bisect.bisect_left(rows, key, key=lambda x: x[0]) : bisect.bisect_right(rows, key, key=lambda x: x[0])]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [()] * 3, [pa.string(), pa.int64(), pa.int64()])], ["file", "offset", "length"])
+
+    ordered = keys.repartitionByRange(partitions, "key").sortWithinPartitions("key")
+    return materialise(ordered.mapInArrow(run, "file string, offset long, length long"), "warc-found")
+
+
+def read(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
+    """page_id, url, record_type, payload (null for revisits), payload_bytes, payload_digest and refers_to of the records at (file, offset, length).
+
+    Payloads of responses are read back and their digests made anew; a digest that differs from the record's raises an error.
+    """
+    tasks = int(max(8, -(-(found.agg(F.sum("length")).first()[0] or 0) // (TASK_BYTES // 4))))  # records are compressed
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = shared_files(root)
@@ -229,7 +291,6 @@ def read(spark: SparkSession, directory: DataFrame, root: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    listed = directory.mapInArrow(places, "file string, offset long, length long")
-    spread = listed.withColumn("part", F.expr("offset div 4194304"))  # ranges of a file go to several tasks
-    ordered = spread.repartition("file", "part").sortWithinPartitions("file", "offset").drop("part")
+    spread = found.withColumn("part", F.expr("offset div 1048576"))  # ranges of a file go to several tasks
+    ordered = spread.repartition(tasks, "file", "part").sortWithinPartitions("file", "offset").drop("part")
     return ordered.mapInArrow(records, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
