@@ -1,9 +1,10 @@
 """Token counts behind a digest cache.
 
-The cache is a table (version, digest, n_tokens) in a folder: version is a digest of the tokenizer's file and library
-version, digest that of the normalised content (null becomes empty; the tokenizer's own normaliser does the rest, so equal
-digests mean equal counts). Documents are reduced to distinct digests, joined to the cache, and only the text of one
-document of each missing digest is moved and encoded. The new counts are appended, and the documents joined to them.
+The cache is a table (digest, n_tokens) in a folder for each version, a digest of the tokenizer's file and library
+version; a digest is that of the normalised content (null becomes empty; the tokenizer's own normaliser does the rest, so equal
+digests mean equal counts). One pass over the texts makes digests and leaves the texts, each once a block, in block files of the shared folder. Only
+digests and places are shuffled: they are reduced to distinct ones and joined to the cache, and of each miss the text at one place is
+read back and encoded. The new counts are appended, and the documents joined to them.
 """
 
 from __future__ import annotations
@@ -11,18 +12,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, slices
+from .common import Store, blocks, drop_tables, exists, materialise, remove, resident, shared_path, small_batches, tidy
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 #: Units that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 LONGEST_REMEMBERED = 64
+#: Bytes of text in a block.
+BLOCK = 4 << 20
 #: A space between two such characters always begins a pre-token of the byte-level pattern, whatever stands further off.
 BETWEEN_WORDS = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
@@ -80,13 +82,12 @@ class Counter:
         return totals
 
 
-@cache
 def counter_for(definition: bytes) -> Counter:
     """The counter of a tokenizer, built once in each worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Counter(definition)
+    return resident("tokens", definition, lambda: Counter(definition))
 
 
 def version_of(definition: bytes) -> str:
@@ -96,6 +97,31 @@ def version_of(definition: bytes) -> str:
     return hashlib.sha256(definition + b"\0" + tokenizers.__version__.encode()).hexdigest()
 
 
+def placed(docs: DataFrame, store: Store, id_col: str, text_col: str) -> DataFrame:
+    """id, n_bytes, digest, block and row (where the text is stored; null for what the block already has) of every row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for number, rows in enumerate(blocks(batches, "text", BLOCK)):
+            block, sizes, digests, seen, at = f"{part}-{number}", [], [], {}, []
+            for text in rows.column(1).to_pylist():
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                digests.append(digest := hashlib.sha256(raw).digest())
+                sizes.append(len(raw))
+                at.append(None if digest in seen else len(seen))
+                seen.setdefault(digest, text or "")
+            store.write(pa.table({"text": pa.array(seen.values(), pa.string())}), block)
+            columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([block] * len(at)), pa.array(at, pa.int32())]
+            yield from pa.table(columns, names=["id", "n_bytes", "digest", "block", "row"]).to_batches()
+        tidy()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return materialise(asked.mapInArrow(run, f"id {kind}, n_bytes long, digest binary, block string, row int"), "digests")
+
+
 def count_tokens(docs: DataFrame, definition: bytes, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes (UTF-8) and n_tokens of every row of docs; counts that the cache lacks are added to it.
 
@@ -103,27 +129,29 @@ def count_tokens(docs: DataFrame, definition: bytes, cache_path: str, id_col: st
     Other columns of docs are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = f"{cache_path}/version={version_of(definition)}"
-    content = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(content, 256)).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
+    store = Store(shared_path(spark, "texts"))
+    keyed = placed(docs, store, id_col, text_col)
 
     def known() -> DataFrame:  # a batch that was appended twice, by two runs at a time, counts once
         found = spark.read.schema(CACHE_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE_SCHEMA)
         return found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    misses = keyed.groupBy("digest").agg(F.min("id").alias("id"))
+    misses = keyed.where("row is not null").groupBy("digest").agg(F.min(F.struct("block", "row")).alias("place")).select("digest", "place.*")
     if exists(spark, path):
         misses = misses.join(known(), "digest", "left_anti")
-    text = docs.select(F.col(id_col).alias("doc"), F.unhex(F.sha2(content, 256)).alias("of"), content.alias("content"))
-    text = text.join(misses, (F.col("of") == F.col("digest")) & F.col("doc").eqNullSafe(F.col("id"))).select("digest", "content")
+    misses = materialise(misses, "misses")
     given = spark.sparkContext.broadcast(definition)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = counter_for(given.value), set()  # rows that repeat id and text meet in one task
-        for batch in slices(batches, "content", 4 << 20):
-            new = [d not in seen and not seen.add(d) for d in batch.column(0).to_pylist()]
-            batch = batch.filter(pa.array(new, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(batch.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
+    def encode(group: pa.Table) -> pa.Table:
+        texts = store.read(group.column("block")[0].as_py()).column("text").take(group.column("row")).to_pylist()
+        counts = counter_for(given.value).count(texts)
+        tidy()
+        return pa.table({"digest": group.column("digest"), "n_tokens": pa.array(counts, pa.int64())})
 
-    text.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(path)
+    tasks = max(8, -(-misses.select("block").distinct().count() // 2))
+    misses.repartition(tasks, "block").groupBy("block").applyInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(path)
+    remove(spark, store.root)
+    drop_tables(misses)
     return keyed.join(known(), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
