@@ -18,18 +18,17 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import resident, slices, small_batches, tidy
 
 MARK = "▁"
 #: Words that a worker remembers in each of two generations; when the younger is full, the older is dropped.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Longer words are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 #: Up to so many characters, merging looks at all scores at each step.
@@ -219,10 +218,9 @@ class Codec:
         return out.decode("utf-8", "docquarry-each-byte")
 
 
-@cache
 def codec_for(model: bytes) -> Codec:
     """The codec of a model, built once in each worker."""
-    return Codec(model)
+    return resident("pieces", model, lambda: Codec(model))
 
 
 def roundtrip(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -231,6 +229,7 @@ def roundtrip(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: st
     Null texts count as empty: no ids, an empty decoded text. Columns of docs named like the results are replaced. Rows
     are kept as they are, repeated ones too; an empty table gives an empty table. There is no shuffle: one pass over the scan.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(ids_col, decoded_col)
     given = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded_col, T.StringType(), False)])
@@ -249,6 +248,7 @@ def roundtrip(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: st
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
             names = [*batch.schema.names, ids_col, decoded_col]
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(decoded, pa.string())], names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import resident, slices, small_batches, tidy
 
 WORD, SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 FEATURE_BITS = 18
 PREFIXES = (4, 5)
 #: Word weights that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 SAMPLE = 8000
 #: Features of fewer training documents are left out.
 LEAST_DOCS = 3
@@ -83,20 +83,22 @@ class Scorer:
         return [(b, e, float(-np.expm1(-np.logaddexp(0, sum(map(self.known.__getitem__, words)) + self.bias)))) for b, e, words in sentences(text)]
 
 
-@cache
 def scorer_for(model: Model) -> Scorer:
     """The scorer of a model, built once in each worker."""
-    return Scorer(model)
+    return resident("toxicity", model, lambda: Scorer(model))
 
 
-def fit_bags(bags: list[tuple[list[np.ndarray], int]], epochs: int = 100, rate: float = 0.3, decay: float = 1e-5) -> Model:
-    """The model of labelled bags of sentences, each an array of feature numbers, by full-batch gradient steps (Adam)."""
-    labels = np.array([y for _, y in bags], bool)
-    counts = np.array([len(s) for s, _ in bags], np.int64)
-    lengths = np.array([len(x) for s, _ in bags for x in s], np.int64)
-    flat = np.concatenate([x for s, _ in bags for x in s] or [np.empty(0, np.int32)]).astype(np.int64)
-    seen = [np.unique(np.concatenate(s)) for s, _ in bags if s]
-    often = np.bincount(np.concatenate(seen or [flat]), minlength=1 << FEATURE_BITS) >= min(LEAST_DOCS, len(bags))
+def fit_bags(bags: list[tuple[list[np.ndarray], int]], **how) -> Model:
+    """The model of labelled bags of sentences, each an array of feature numbers."""
+    counts, lengths = [len(s) for s, _ in bags], [len(x) for s, _ in bags for x in s]
+    return fit_flat(np.array([y for _, y in bags], bool), np.array(counts, np.int64), np.array(lengths, np.int64), np.concatenate([x for s, _ in bags for x in s] or [np.empty(0, np.int32)]), **how)
+
+
+def fit_flat(labels: np.ndarray, counts: np.ndarray, lengths: np.ndarray, flat: np.ndarray, epochs: int = 100, rate: float = 0.3, decay: float = 1e-5) -> Model:
+    """The model of labelled bags by full-batch gradient steps (Adam). counts: sentences of each bag; lengths: features of each sentence; flat: all feature numbers, one after another."""
+    of_bag = np.repeat(np.arange(len(counts)), np.bincount(np.repeat(np.arange(len(counts)), counts), lengths, len(counts)).astype(np.int64))
+    seen = np.unique((of_bag << FEATURE_BITS) | flat) & ((1 << FEATURE_BITS) - 1)
+    often = np.bincount(seen, minlength=1 << FEATURE_BITS) >= min(LEAST_DOCS, len(labels))
     kept = often[flat]
     lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
     used, flat = np.unique(flat[kept], return_inverse=True)
@@ -140,8 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column(1)], ["bag", "label"])
 
     # at most `sample` rows: the only rows that ever come to the driver
-    found = bags.mapInArrow(run, "bag array<array<int>>, label int").toArrow()
-    return fit_bags([([np.array(s, np.int32) for s in bag.as_py()], label.as_py()) for bag, label in zip(found.column(0), found.column(1))])
+    found = bags.mapInArrow(run, "bag array<array<int>>, label int").toArrow().combine_chunks()
+    if not len(found):
+        return fit_bags([])
+    bag, label = found.column(0).chunk(0), found.column(1).to_numpy()
+    sentence = bag.flatten()
+    return fit_flat(label.astype(bool), bag.value_lengths().to_numpy().astype(np.int64), sentence.value_lengths().to_numpy().astype(np.int64), sentence.flatten().to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -150,6 +156,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     Null and empty texts count as one empty sentence. Only the text is looked at; a column named like the score is replaced.
     Repeated rows are kept; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -158,6 +165,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for batch in slices(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer.score(x or "") for x in texts], pa.float64())], [*batch.schema.names, score_col])
+        tidy()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType(), False)]))
 
