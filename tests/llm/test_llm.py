@@ -170,6 +170,14 @@ def test_topk_large_numbers_and_blocks(spark, monkeypatch):
         assert [(x.vec_id, x.score) for x in r.x] == [(i, -s) for s, i in best]
 
 
+def test_topk_beyond_64_bits(spark):
+    rows = [(i, [float(np.float32(3e15 * (i + 1))), 1.0]) for i in range(6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.vec_id, int(r.score)) for r in topk.search(vectors, vectors.where("vec_id = 0"), 3).orderBy("rank").collect()]
+    whole = [[math.floor(256 * x) for x in v] for _, v in rows]
+    assert got == [(i, sum(a * b for a, b in zip(whole[0], whole[i]))) for i in (5, 4, 3)] and got[0][1] > 2**63
+
+
 # suffix arrays
 
 
@@ -191,10 +199,10 @@ def removed(rows):
     return {i: sorted(x) for i, x in out.items()}
 
 
-@pytest.mark.parametrize("block", [300, 20_000, 4 << 20])
-def test_suffix_dedup(spark, docs, monkeypatch, block):
+@pytest.mark.parametrize("block, hot", [(300, 4096), (300, 3), (20_000, 4096), (4 << 20, 4096)])
+def test_suffix_dedup(spark, docs, monkeypatch, block, hot):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     random.seed(block)
     passage = "".join(random.choices("abc ", k=120))
     extra = [(20 + i, "".join(random.choices("ab", k=random.randint(0, 80))) + passage[random.randint(0, 40) : random.randint(60, 120)] + "é" * random.randint(0, 60)) for i in range(60)]
@@ -210,9 +218,80 @@ def test_suffix_dedup(spark, docs, monkeypatch, block):
 
 
 def test_suffix_dedup_as_text_and_empty(spark, docs, none):
-    assert suffix_dedup.remove_repeats(none).count() == 0
+    assert suffix_dedup.remove_repeats(none).count() == 0 and suffix_dedup.repeat_groups(none).count() == 0
     rows = suffix_dedup.remove_repeats(docs, as_text=True).where("doc_id = 8").first()
     assert rows.kept == ""
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_pieces_meet(monkeypatch):
+    """Anchors don't depend on where a text is divided for hashing, and zeros in texts are bytes like any other."""
+    body = bytes(random.choices(b"ab\x00", k=5000))
+    whole = suffix_dedup.Texts([body, body[100:900]])
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    parts = suffix_dedup.Texts([body, body[100:900]])
+    assert (whole.at == parts.at).all() and (whole.hashes == parts.hashes).all()
+
+
+def test_maximal_repeats_equal_their_definition():
+    rng = random.Random(3)
+    side, width = suffix_dedup.SIDE, suffix_dedup.WIDTH
+    for _ in range(100):
+        n = rng.randint(2, 30)
+        base, rows = bytes(rng.choices(b"ab\x00", k=width)), []
+        for _ in range(n):
+            x = bytearray(base)
+            for _ in range(rng.randint(0, 2)):
+                x[rng.choice([*range(side), *range(suffix_dedup.LENGTH, width)])] = rng.choice(b"ab\x00")
+            rows.append(bytes(x))
+        contexts, owner = np.frombuffer(b"".join(rows), np.uint8).reshape(n, width), np.array([rng.randint(0, 6) for _ in range(n)])
+        want = set()
+        for left in range(side + 1):
+            for right in range(suffix_dedup.LENGTH - left, suffix_dedup.LENGTH + 1):
+                groups = {}
+                for i, r in enumerate(rows):
+                    groups.setdefault(r[side - left : side + right], []).append(i)
+                for m in groups.values():
+                    diverse = (left == side or len({rows[i][side - left - 1] for i in m}) > 1) and (right == suffix_dedup.LENGTH or len({rows[i][side + right] for i in m}) > 1)
+                    if diverse and len({owner[i] for i in m}) > 1:
+                        want |= {(i, left, right, bool(owner[i] > min(owner[j] for j in m))) for i in m}
+        sets = [set(zip(*[x.tolist() for x in suffix_dedup.maximal_repeats(contexts, owner, every)])) for every in (True, False)]
+        covers = [{(i, p) for i, a, b, later in s if later for p in range(side - a, side + b)} for s in sets]
+        assert sets[0] == want and sets[1] <= want and covers[0] == covers[1]
+
+
+def test_interval_tree():
+    depth, parent, leaf = suffix_dedup.interval_tree(np.array([0, 2, 3, 1, 0, 2, 2, 5, 0], np.uint8), 2)
+    nodes = {int(i): (int(depth[i]), int(depth[parent[i]])) for i in set(leaf.tolist())}
+    assert [nodes[i] for i in leaf.tolist()] == [(2, 0), (3, 2), (3, 2), (0, 0), (2, 0), (2, 0), (5, 2), (5, 2), (0, 0)]
+
+
+@pytest.mark.parametrize("block", [300, 4 << 20])
+def test_repeat_groups(spark, monkeypatch, block):
+    """All occurrences of each group, and a group for every maximal repeat that anchors see whole."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = [letters(56) for _ in range(4)]
+    rows = [(i, letters(rng.randint(0, 90)) + rng.choice(shared) + letters(rng.randint(0, 90)) + rng.choice(shared)[3:]) for i in range(40)] + [(50, None), (51, "")]
+    found = {}
+    for r in suffix_dedup.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        found.setdefault(r.group, []).append((r.doc_id, r.begin, r.end))
+    texts = dict(rows)
+    strings = set()
+    for name, places in found.items():
+        string, = {texts[i][b:e] for i, b, e in places}
+        assert hashlib.md5(string.encode()).hexdigest() == name and len(string) >= 50
+        every = {(i, b, b + len(string)) for i, t in rows for b in range(len(t or "")) if t.startswith(string, b)}
+        assert every == set(places) and len({i for i, _, _ in places}) > 1
+        strings.add(string)
+    windows = {}
+    for i, t in rows:
+        for p in range(len(t or "") - 49):
+            windows.setdefault(t[p : p + 50], set()).add(i)
+    shared = {w for w, i in windows.items() if len(i) > 1}
+    assert shared == {s[p : p + 50] for s in strings for p in range(len(s) - 49)} and any(len(s) > 50 for s in strings)
 
 
 # WARC
@@ -224,7 +303,8 @@ def test_warc(spark):
     pages = spark.createDataFrame([(i, u, h, "extra") for i, u, h in rows], "page_id long, url string, html string, digest string")
     root = shared_path(spark, "test-archives")
     directory = warc.build_index(warc.write(pages, root), root, 3)
-    got = Counter((r.page_id, r.record_type, r.payload_bytes, r.refers_to, r.payload_digest) for r in warc.read(spark, directory, root).collect())
+    found = warc.find(spark, directory, root, warc.url_keys(pages), 3)
+    got = Counter((r.page_id, r.record_type, r.payload_bytes, r.refers_to, r.payload_digest) for r in warc.read(spark, root, found).collect())
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == Counter([
         (1, "response", 208, None, digest(big)), (2, "revisit", 208, 1, digest(big)), (2, "revisit", 208, 1, digest(big)), (3, "response", 0, None, digest("")),
@@ -235,7 +315,22 @@ def test_warc(spark):
     assert payload.decode() == big and fields["warc-type"] == "response"
     assert len(archive.lookup("https://example.com/b")) == 2 and archive.lookup("http://absent.org/") == []
     empty = shared_path(spark, "test-archives")
-    assert warc.read(spark, warc.build_index(warc.write(pages.limit(0), empty), empty, 2), empty).count() == 0
+    none = warc.build_index(warc.write(pages.limit(0), empty), empty, 2)
+    assert warc.read(spark, empty, warc.find(spark, none, empty, warc.url_keys(pages), 2)).count() == 0
+
+
+@pytest.mark.parametrize("entries", [1, 2, 3, 2000])
+def test_lookups_across_index_blocks(spark, monkeypatch, entries):
+    """Each key finds all its records, wherever index blocks end, and absent keys find none."""
+    monkeypatch.setattr(warc, "ENTRIES", entries)
+    monkeypatch.setattr(warc, "BLOCK", 500)
+    urls = [f"http://h{i % 7}.org/{i % 5}" for i in range(60)]
+    pages = spark.createDataFrame([(i, u, "x" * (i * 9 % 200)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    root = shared_path(spark, "test-archives")
+    directory = warc.build_index(warc.write(pages, root), root, 4)
+    wanted = spark.createDataFrame([(u,) for u in [*urls[:9], "http://absent.org/", "http://h0.org/9", "http://zz/"]], "url string")
+    got = Counter((r.page_id, r.url) for r in warc.read(spark, root, warc.find(spark, directory, root, warc.url_keys(wanted), 3)).collect())
+    assert got == Counter((i, u) for i, u in enumerate(urls) if u in urls[:9])
 
 
 def test_url_keys():
@@ -273,92 +368,76 @@ def test_context_tree_scores(spark, docs, none):
     assert all(r.n_known == 0 for r in context_tree.score(docs, F.lit(False)).collect())
 
 
-def brute_tree(sequence, contexts):
-    """Context-tree weighting of one binary sequence, by its definition: log P_w of the tree, and the predictor."""
-    depth = len(contexts[0])
-
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def count(suffix):
-        n = [0, 0]
-        for s, c in zip(sequence, contexts):
-            if suffix == () or c[-len(suffix) :] == suffix:
-                n[s] += 1
-        return n
+def brute_tree(texts, learnt):
+    """Context-tree weighting by its definition: log10 of the probability of each text, by a model of those that are learnt."""
+    depth, end, pad = context_tree.DEPTH, 256, -1
+    counts, children = {}, {}
+
+    def steps(t):
+        line = [pad] * depth + list(t)
+        for p, symbol in enumerate([*t, end]):
+            context = tuple(reversed(line[p : p + depth]))
+            for level in range(9 if symbol < end else 1):
+                yield context, (level, symbol >> (9 - level)), (symbol >> (8 - level)) & 1
+
+    for t in learnt:
+        for context, which, bit in steps(t):
+            for d in range(depth + 1):
+                counts.setdefault((which, context[:d]), [0, 0])[bit] += 1
+                if d:
+                    children.setdefault((which, context[: d - 1]), set()).add((which, context[:d]))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weights = {}
+    for node in sorted(counts, key=lambda x: -len(x[1])):
+        own = kt(*counts[node])
+        weights[node] = own if len(node[1]) == depth else float(np.logaddexp(own, sum(weights[c] for c in children[node]))) - math.log(2)
+
+    def chance(which, context, d=0):
+        node = (which, context[:d])
+        a, b = counts.get(node, (0, 0))
+        own = (b + 0.5) / (a + b + 1)
+        if d == depth or (which, context[: d + 1]) not in counts:
+            return own
+        stop = math.exp(kt(a, b) - math.log(2) - weights[node])
+        return stop * own + (1 - stop) * chance(which, context, d + 1)
 
-    letters = sorted({x for c in contexts for x in c})
+    return [sum(math.log10(p if bit else 1 - p) for context, which, bit in steps(t) for p in [chance(which, context)]) for t in texts]
 
-    def weighted(suffix):
-        own = kt(*count(suffix))
-        if len(suffix) == depth:
-            return own
-        below = sum(weighted((x, *suffix)) for x in letters if sum(count((x, *suffix))))
-        return np.logaddexp(own, below) - math.log(2)
 
-    def predict(context, d=0):
-        suffix = tuple(context[len(context) - d :]) if d else ()
-        a, b = count(suffix)
-        own = (b + 0.5) / (a + b + 1)
-        if d == depth or not sum(count(tuple(context[len(context) - d - 1 :]))):
-            return own
-        stop = math.exp(kt(a, b) - math.log(2) - weighted(suffix))
-        return stop * own + (1 - stop) * predict(context, d + 1)
-
-    return predict
-
-
-def test_context_tree_equals_its_definition():
-    code = np.full(256, context_tree.ESCAPE, np.uint8)
-    code[[97, 98]] = [0, 32]  # they differ in the first decision
-    body = np.frombuffer(b"abbabaabbbabab", np.uint8)
-    begins = np.array([0, len(body)])
-    context, symbol, _ = context_tree.symbols(body, begins, code)
-    rows, at = np.unique(context, return_inverse=True)
-    counts = np.zeros((len(rows), 64))
-    np.add.at(counts, (at, symbol), 1)
-    model = context_tree.build(code, rows.astype(np.int64), np.zeros(len(rows), bool), counts, np.zeros(256))
-    names = [tuple((int(c) >> (6 * k)) & 63 for k in range(3, -1, -1)) for c in context]
-    predict = brute_tree([int(s) >> 5 for s in symbol], names)
-    for c in {*names, (0, 0, 0, 0), (32, 32, 32, 32)}:
-        row = model.row[sum(x << (6 * k) for x, k in zip(c, range(3, -1, -1)))]
-        first = math.log10(sum(10.0 ** float(x) for x in model.logs[row][32:]))
-        assert abs(10**first - predict(c)) < 1e-5, c
-        assert abs(sum(10.0 ** float(x) for x in model.logs[row]) - 1) < 1e-5
-
-
-def test_context_tree_with_shared_rests(spark, monkeypatch):
-    """With a coarse share, rare contexts are one child: the model stays a distribution and gets no better than the full one by much."""
-    rows = table(spark, "documents").select("doc_id", "text")
-    full = context_tree.score(rows, F.lit(True)).agg(F.sum("score")).first()[0]
-    monkeypatch.setattr(context_tree, "SHARE", 8)
-    monkeypatch.setattr(context_tree, "FREQUENT", 3)
-    coarse = context_tree.score(rows, F.lit(True)).agg(F.sum("score"), F.sum("base_score")).first()
-    assert coarse[0] < full < 0
-
-
-def test_context_tree_keeps_every_context(spark, monkeypatch):
-    """Contexts far below 2^-18 of the training symbols count by themselves, whether they are broadcast or joined."""
+@pytest.mark.parametrize("block", [2000, 8 << 20])
+def test_context_tree_equals_its_definition(spark, monkeypatch, block):
+    monkeypatch.setattr(context_tree, "BLOCK", block)
+    monkeypatch.setattr(context_tree, "PARTITION", block)
     rng = random.Random(3)
-    texts = ["the same line again. " * 5000] * 8 + ["".join(rng.choices("abcdefgh ", k=200)) for _ in range(40)] + [None, ""]
+    texts = ["The same line again. " * 300] * 3 + ["".join(rng.choices("abcdefgh ", k=200)) for _ in range(12)] + [None, "", "日本語 é\x00 é\x00", "never seen ÿ", "日本"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    body, begins = context_tree.text_bytes(pa.RecordBatch.from_pydict({"text": texts}), 0)
-    seen = np.bincount(body, minlength=256)
-    code = np.full(256, context_tree.ESCAPE, np.uint8)
-    often = sorted(np.flatnonzero(seen).tolist(), key=lambda b: (-seen[b], b))
-    code[often] = np.arange(len(often))
-    context, symbol, _ = context_tree.symbols(body, begins, code)
-    rows, at = np.unique(context, return_inverse=True)
-    counts = np.zeros((len(rows), 64))
-    np.add.at(counts, (at, symbol), 1)
-    assert (counts.sum(1) < len(context) / 2**18).sum() > 1000
-    whole = context_tree.build(code, rows.astype(np.int64), np.zeros(len(rows), bool), counts, np.zeros(256))
-    chances = whole.logs[whole.row[context], symbol]
-    want = np.bincount(np.repeat(np.arange(len(texts)), np.diff(begins) + 1), chances, len(texts))
-    for held in (18, 2, 40):
-        monkeypatch.setattr(context_tree, "HELD", held, raising=False)
-        got = {r.doc_id: r.score for r in context_tree.score(docs, F.lit(True)).collect()}
-        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-6)
+    got = {r.doc_id: (r.score, r.bits_per_byte) for r in context_tree.score(docs, F.col("doc_id") % 5 != 2).collect()}
+    raw = [(t or "").encode().lower() for t in texts]
+    want = brute_tree(raw, [t for i, t in enumerate(raw) if i % 5 != 2])
+    assert np.allclose([got[i][0] for i in range(len(texts))], want, rtol=1e-5)
+    assert all((got[i][1] is None) == (not t) for i, t in enumerate(raw))
+    none = {r.doc_id: r.score for r in context_tree.score(docs, F.lit(False)).collect()}
+    assert np.allclose([none[i] for i in range(len(texts))], brute_tree(raw, []), rtol=1e-5)
+
+
+def test_words_and_counts_of_blocks():
+    texts = [" A b\x0bc\x1f  ", "", None, "b É b", "\t\n", "a\x00 a\x00 a"]
+    of, word, words = context_tree.words_of(context_tree.lowered(pa.array(texts)))
+    names = words.cast(pa.binary()).to_pylist()
+    assert [(i, names[w]) for i, w in zip(of, word)] == [(i, w) for i, t in enumerate(texts) for w in (t or "").encode().lower().split()]
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64))
+    back = context_tree.grams_unpacked(context_tree.grams_packed(keys, np.arange(50)))
+    assert (back[0] == keys).all() and (back[1] == np.arange(50)).all()
+    n = np.array([0, 1, 5000, 70000])
+    want = [math.lgamma(a + 0.5) + math.lgamma(a // 3 + 0.5) - math.lgamma(a + a // 3 + 1) - math.log(math.pi) for a in n.tolist()]
+    assert np.allclose(context_tree.log_kt(n, n // 3), want)
+
+
+def test_context_tree_beats_the_words(spark):
+    """On texts that it hasn't seen, the model is better than word frequencies."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.1") + "/documents.parquet").select("doc_id", "text").where("doc_id < 3000")
+    held = context_tree.score(docs, F.col("doc_id") % 7 != 2).where("not training").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[1] < held[0] < 0
 
 
 # decontamination
@@ -384,21 +463,28 @@ def test_decontamination(spark, docs, none, monkeypatch):
         return len(w), len(hit), sorted(found)
 
     want = {(r.doc_id, *map(str, brute(r.text))) for r in rows}
+    path = shared_path(spark, "test-index")
+    index = decontamination.build_index(docs, path)
     for limit in (1 << 21, 0):
         monkeypatch.setattr(decontamination, "BROADCAST_TEXT_BYTES", limit)
-        got = decontamination.hits(decontamination.phrase_matches(docs, items)).collect()
+        monkeypatch.setattr(decontamination, "BROADCAST_PLACES", limit)
+        got = decontamination.hits(index, decontamination.phrase_matches(index, items)).collect()
         assert {(r.doc_id, str(r.n_words), str(r.n_hit), str(r["items"])) for r in got} == want
-        left = {r.doc_id for r in decontamination.decontaminate(docs, items).collect()}
+        left = {r.doc_id for r in decontamination.decontaminate(docs.withColumn("key", F.lit(1)).withColumn("w", F.lit(2)), items, index_path=path).collect()}
         assert left == {r.doc_id for r in rows} - {r.doc_id for r in rows if brute(r.text)[1]}
-        near = {(r.id, r["item"]) for r in decontamination.proximity_matches(docs, items, 6).collect()}
+        near = {(r.id, r["item"]) for r in decontamination.proximity_matches(index, items, 6).collect()}
         assert (1, 1) in near and (1, 6) in near and not any(i == 5 for _, i in near)
-    assert decontamination.phrase_matches(none, items).count() == 0
-    assert decontamination.hits(decontamination.phrase_matches(docs, items.limit(0))).where("n_hit > 0").count() == 0
+    empty = decontamination.build_index(none, shared_path(spark, "test-index"))
+    assert decontamination.phrase_matches(empty, items).count() == decontamination.hits(empty, decontamination.phrase_matches(empty, items)).count() == 0
+    assert decontamination.hits(index, decontamination.phrase_matches(index, items.limit(0))).where("n_hit > 0").count() == 0
+    files = sorted(decontamination.build_index(docs, path).inputFiles())
+    assert files == sorted(index.inputFiles())  # a second call reads what the first has written
 
 
 def test_items_without_an_id_contaminate(spark, docs):
     items = spark.createDataFrame([(None, "lazy dog the quick")], "item_id long, text string")
-    hit = {r.doc_id for r in decontamination.hits(decontamination.phrase_matches(docs, items)).where("n_hit > 0").collect()}
+    index = decontamination.build_index(docs, shared_path(spark, "test-index"))
+    hit = {r.doc_id for r in decontamination.hits(index, decontamination.phrase_matches(index, items)).where("n_hit > 0").collect()}
     left = {r.doc_id for r in decontamination.decontaminate(docs, items).collect()}
     assert hit == {1} and left == {i for i, _ in ROWS} - hit
 
@@ -478,6 +564,42 @@ def test_near_duplicates(spark, docs, none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [600, 1 << 22])
+def test_large_sets_and_many_chunks(spark, monkeypatch, size):
+    """True links between sets of several hundred shingles, and buckets that are divided into many chunks."""
+    monkeypatch.setattr(near_duplicates, "CHUNK_BYTES", size * 8)
+    monkeypatch.setattr(near_duplicates, "EDGES", 3)
+    rng = random.Random(21)
+    rows = []
+    for family in range(3):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(500)}" for _ in range(400)]
+        for k in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(2, 16)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            rows.append((1000 * family + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)
+
+
+def test_recall_of_the_bands():
+    """Of pairs at the least similarity, all share a bucket."""
+    rng, least = np.random.default_rng(4), 1.0
+    for _ in range(1500):
+        n = int(rng.integers(40, 600))
+        common = rng.integers(0, 1 << 64, 3 * n, dtype=np.uint64)
+        x, y = (np.sort(np.concatenate((common, rng.integers(0, 1 << 64, n // 2, dtype=np.uint64)))) for _ in range(2))
+        least = min(least, 3 * n / (3 * n + 2 * (n // 2)))
+        assert set(near_duplicates.bands(x).tolist()) & set(near_duplicates.bands(y).tolist())
+    assert 0.74 < least < 0.78
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError):
+        near_duplicates.near_duplicates(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
+
+
 def test_row_without_an_id_takes_no_links(spark):
     """A row with a null id stands before one with the same set, in the same slice, that is near another."""
     words = [f"w{i}" for i in range(100)]
