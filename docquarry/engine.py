@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .models import Embedder, HashingEmbedder, Synthesizer, VerbatimSynthesizer, document_vectors
 from .operators import answer, chunking, locate, matching
+from .schemas import CHUNKS, PAGES
 from .sources import sinks
 
 log = logging.getLogger(__name__)
@@ -21,6 +22,27 @@ SHOWN = 5
 DEGRADED = "Could not generate synthesis. Raw context retrieved.\n\nError: {}"
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Where an engine's tables are; read from the session's configuration. Nothing secret is needed."""
+
+    chunks: str | None = None
+    pages: str | None = None
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Settings:
+        return cls(*(spark.conf.get(f"spark.docquarry.{f}", None) or None for f in cls.__dataclass_fields__))
+
+    def missing(self) -> list[str]:
+        return [f"spark.docquarry.{f}" for f in self.__dataclass_fields__ if getattr(self, f) is None]
+
+    def require(self) -> Settings:
+        """These settings; raises ValueError naming those that a batch job misses."""
+        if self.missing():
+            raise ValueError(f"not configured: {', '.join(self.missing())}")
+        return self
+
+
 @dataclass
 class Engine:
     """An engine over a chunk table and a page table; either may be missing, which health() tells."""
@@ -31,6 +53,13 @@ class Engine:
     embedder: Embedder = field(default_factory=HashingEmbedder)
     synthesizer: Synthesizer = field(default_factory=VerbatimSynthesizer)
 
+    @classmethod
+    def configured(cls, spark: SparkSession, settings: Settings | None = None, **models) -> Engine:
+        """An engine over the configured tables; one that isn't configured is missing, and the service runs without it."""
+        settings = settings or Settings.of(spark)
+        tables = [None if path is None else spark.read.schema(schema).parquet(path) for path, schema in ((settings.chunks, CHUNKS), (settings.pages, PAGES))]
+        return cls(spark, *tables, **models)
+
     def health(self) -> dict[str, Any]:
         return {"status": "ok", "db_connected": self.chunks is not None}
 

@@ -39,17 +39,17 @@ def wanted(language: Column, kind: Column, words: str = KIND) -> Column:
     return (F.lower(F.coalesce(language, F.lit(LANGUAGE))) == LANGUAGE) & t.has(F.coalesce(kind, F.lit("Unknown")), words)
 
 
-def product_documents(products: DataFrame, base_url: str = "") -> DataFrame:
-    """(product_no, name, gtin, title, link): each product with its wanted documents, or with null title if it has none.
+def product_documents(products: DataFrame, base_url: str = "", *columns: str) -> DataFrame:
+    """(columns, product_id, name, gtin, title, link): each product with its wanted documents, or with null title if it has none.
 
     products: rows of the product answer's content. Links are made for documents with a file id only.
     """
     rows = products.select(
-        F.col("id").alias("product_id"), F.coalesce("name", F.lit("Unknown Product")).alias("name"), F.coalesce("gtin", F.lit("N/A")).alias("gtin"),
+        *columns, F.col("id").alias("product_id"), F.coalesce("name", F.lit("Unknown Product")).alias("name"), F.coalesce("gtin", F.lit("N/A")).alias("gtin"),
         F.explode_outer(F.filter("documents", lambda d: wanted(d["language"]["isoCode"], d["documentType"]["name"]))).alias("d"),
     )
     link = F.concat(F.lit(base_url), F.lit("/products/"), t.shown(F.col("product_id")), F.lit("/documents/"), t.shown(F.col("d.id")), F.lit("/file?language=en&country=US&audience=HCP"))
-    return rows.select("product_id", "name", "gtin", F.col("d.title").alias("title"), F.when(t.filled(F.col("d.fileUuid")), link).alias("link"))
+    return rows.select(*columns, "product_id", "name", "gtin", F.col("d.title").alias("title"), F.when(t.filled(F.col("d.fileUuid")), link).alias("link"))
 
 
 def nested(rows: DataFrame, keep: Column, items: str = "items", *columns: str) -> DataFrame:

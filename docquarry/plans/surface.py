@@ -7,7 +7,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from ..engine import Engine
+from .. import jobs
+from ..engine import Engine, Settings
 from ..functions import text as t
 from ..models import plain_pages
 from ..operators import answer, catalog, chunking, feeds, locate, matching
@@ -436,8 +437,79 @@ def file_listing(spark, sf_dir):
 SQL["file_listing"] = """
 SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS file_name"""
 
+def job_catalog_load(spark, sf_dir):
+    """Two loads of parts as catalogue files, the second onto the first's version: names are replaced, rows counted."""
+    lines = lambda rows, name: rows.select(F.concat_ws("|", F.col("p_partkey").cast("string"), name, "p_brand", "p_type").alias("value"))
+    head = spark.createDataFrame([("PrimaryDI|brandName|companyName|catalogNumber",)], "value string")
+    parts, root, table, counts = read(spark, sf_dir, "part"), scratch(spark, "devices"), None, []
+    for version, made in enumerate((lines(parts.where("p_partkey % 3 <> 0"), F.col("p_name")), lines(parts.where("p_partkey % 2 = 0"), F.upper("p_name"))), 1):
+        path = scratch(spark, "catalog")
+        head.unionByName(made).coalesce(1).orderBy(F.col("value").startswith("Primary").desc()).write.text(path)
+        table, _, n = jobs.load_catalog(spark, path, root, version, table)
+        counts.append(n)
+    return table.select("primary_di", "brand_name", "company_name", F.lit(counts[0]).alias("first"), F.lit(counts[1]).alias("second"))
+
+
+SQL["job_catalog_load"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS primary_di, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS brand_name, p_brand AS company_name,
+       CAST((SELECT count(*) FROM part WHERE p_partkey % 3 <> 0) AS INTEGER) AS first, CAST((SELECT count(*) FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0) AS INTEGER) AS second
+FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0"""
+
+
+def job_work_list(spark, sf_dir):
+    """The queries for one brand's parts whose files aren't stored."""
+    devices = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("primary_di"), F.col("p_brand").alias("company_name"), F.col("p_name").alias("brand_name"), F.col("p_type").alias("catalog_number"))
+    stored = read(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.concat(F.col("p_partkey").cast("string"), F.lit("_"), "p_type", F.lit(".pdf")).alias("file_name"))
+    return jobs.work_list(devices, "brand#1", stored).select("primary_di", "file_name", F.col("template_no").cast("long").alias("template_no"), "q")
+
+
+SQL["job_work_list"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS primary_di, p_partkey || '_' || p_type || '.pdf' AS file_name, CAST(n AS BIGINT) AS template_no, CASE n
+  WHEN 1 THEN p_brand || ' ' || p_type || ' "Instructions for use" filetype:pdf' WHEN 2 THEN p_brand || ' ' || p_name || ' ' || p_type || ' IFU filetype:pdf' ELSE p_brand || ' ' || p_type || ' manual filetype:pdf' END AS q
+FROM part, (VALUES (1), (2), (3)) v(n) WHERE lower(p_brand) LIKE '%brand#1%' AND p_type <> '' AND p_partkey % 4 <> 0"""
+
+
+def job_ingest(spark, sf_dir):
+    """A folder of regions' files, one of them broken, taken into a configured engine's tables: chunks and rejected files, and what the engine then knows of itself."""
+    folder, path = scratch(spark, "folder"), scratch(spark, "chunks")
+    rows = read(spark, sf_dir, "region").select(F.concat("r_name", F.lit(".pdf")).alias("file_name"), F.when(F.col("r_regionkey") == 2, F.unhex(F.lit("FF"))).otherwise(F.encode(F.concat("r_name", F.lit("\f"), "r_name"), "utf-8")).alias("content"))
+    sinks.files(rows, folder).write.format("noop").mode("overwrite").save()
+    table, odd = jobs.ingest_folder(Engine(spark), folder, path)
+    known = Engine.configured(spark, Settings(chunks=path))
+    try:
+        Settings(chunks=path).require()
+        needs = ""
+    except ValueError as e:
+        needs = str(e)
+    made = table.select(answer.source_of(F.col("metadata")).alias("source"), F.regexp_replace("content", "\n", " ").alias("content")).unionByName(odd.select("source", F.lit("rejected").alias("content")))
+    return made.withColumns({"connected": F.lit(known.health()["db_connected"]), "bare": F.lit(Engine.configured(spark, Settings.of(spark)).health()["db_connected"]), "needs": F.lit(needs)})
+
+
+SQL["job_ingest"] = """
+SELECT r_name || '.pdf' AS source, CASE WHEN r_regionkey = 2 THEN 'rejected' ELSE r_name || ' ' || r_name || ' ' END AS content, true AS connected, false AS bare, 'not configured: spark.docquarry.pages' AS needs FROM region"""
+
+
+def job_product_search(spark, sf_dir):
+    """Products by a service that fails for one query."""
+    import json
+
+    def ask(request: dict) -> str:
+        name = request["body"]["attributes"][0]["value"]
+        if name.endswith("3"):
+            raise OSError("down")
+        doc = {"id": "d", "title": name.lower(), "fileUuid": "u", "documentType": {"name": "Instructions for use"}, "language": {"isoCode": "en"}}
+        return json.dumps({"totalElements": 1, "content": [{"id": "p", "name": name, "documents": [doc, doc | {"language": {"isoCode": "fr"}}]}]})
+
+    names = [r["n_name"] for r in read(spark, sf_dir, "nation").select("n_name").collect()]  # a work list
+    return jobs.product_search(spark, ask, names, "https://example.com").select("query", "product_id", "title", "link")
+
+
+SQL["job_product_search"] = """
+SELECT n_name AS query, 'p' AS product_id, lower(n_name) AS title, 'https://example.com/products/p/documents/d/file?language=en&country=US&audience=HCP' AS link FROM nation WHERE n_name NOT LIKE '%3'"""
+
+
 ALL = [
     health, service_search, service_search_batch, service_locate, service_ask, service_failures, json_response, highlight_spans, highlighted_first, result_documents, device_upsert, device_lookup,
     catalog_file, device_feed, product_documents, product_totals, product_requests, web_hits, document_flags, number_formats, data_uris, filled_fields, appended_rows, json_targets, stored_files,
-    archive_members, file_audit, file_listing,
+    archive_members, file_audit, file_listing, job_catalog_load, job_work_list, job_ingest, job_product_search,
 ]
