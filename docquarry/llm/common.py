@@ -181,16 +181,3 @@ def tidy() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of DataFrames that are no longer referred to, before the next large step.
-
-    The bridge to the JVM drops its references, and Spark's cleaner its files, a moment after their owners are gone."""
-    import gc
-    import time
-
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1.5)
