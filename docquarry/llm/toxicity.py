@@ -32,6 +32,8 @@ REMEMBERED = 250_000
 SAMPLE = 8000
 #: Features of fewer training documents are left out.
 LEAST_DOCS = 3
+#: Features that a step of the fit handles at once.
+AT_ONCE = 1 << 20
 
 
 def features(word: str) -> list[int]:
@@ -96,24 +98,33 @@ def fit_bags(bags: list[tuple[list[np.ndarray], int]], **how) -> Model:
 
 def fit_flat(labels: np.ndarray, counts: np.ndarray, lengths: np.ndarray, flat: np.ndarray, epochs: int = 100, rate: float = 0.3, decay: float = 1e-5) -> Model:
     """The model of labelled bags by full-batch gradient steps (Adam). counts: sentences of each bag; lengths: features of each sentence; flat: all feature numbers, one after another."""
-    of_bag = np.repeat(np.arange(len(counts)), np.bincount(np.repeat(np.arange(len(counts)), counts), lengths, len(counts)).astype(np.int64))
-    seen = np.unique((of_bag << FEATURE_BITS) | flat) & ((1 << FEATURE_BITS) - 1)
+    sizes = np.bincount(np.repeat(np.arange(len(counts)), counts), lengths, len(counts)).astype(np.int64)
+    seen = (np.repeat(np.arange(len(counts)), sizes) << FEATURE_BITS) | flat
+    seen.sort()
+    seen = seen[np.concatenate(([True], seen[1:] != seen[:-1]))[: len(seen)]] & ((1 << FEATURE_BITS) - 1)
     often = np.bincount(seen, minlength=1 << FEATURE_BITS) >= min(LEAST_DOCS, len(labels))
-    kept = often[flat]
-    lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
-    used, flat = np.unique(flat[kept], return_inverse=True)
+    del seen
+    of_sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    kept, number = often[flat], (np.cumsum(often) - 1).astype(np.int32)
+    of_sentence, flat, used = of_sentence[kept], number[flat[kept]], np.flatnonzero(often)
+    del kept
     w, bias = np.zeros(len(used)), -4.0
     if labels.any() and not labels.all():
-        of_sentence, of_doc = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(len(counts)), counts)
+        of_doc = np.repeat(np.arange(len(counts)), counts)
+        parts = [slice(k, k + AT_ONCE) for k in range(0, len(flat), AT_ONCE)]  # what a step makes of all features is made of a part of them at a time
         weight = np.where(labels, 0.5 / labels.mean(), 1.0)  # the rarer class counts more
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for step in range(1, epochs + 1):
-            z = np.bincount(of_sentence, w[flat], len(lengths)) + bias
+            z, grad = np.full(len(lengths), bias), decay * w
+            for x in parts:
+                z += np.bincount(of_sentence[x], w[flat[x]], len(lengths))
             p = np.exp(-np.logaddexp(0, -z))
             stay = np.bincount(of_doc, np.logaddexp(0, z), len(counts))  # -log of prod(1 - p)
             blame = np.where(labels, -np.exp(-stay) / np.maximum(-np.expm1(-stay), 1e-9), 1.0) * weight
             g = p * blame[of_doc] / len(counts)
-            grad, grad_b = np.bincount(flat, g[of_sentence], len(used)) + decay * w, g.sum()
+            for x in parts:
+                grad += np.bincount(flat[x], g[of_sentence[x]], len(used))
+            grad_b = g.sum()
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b**2
             a, c = rate / (1 - 0.9**step), 1 - 0.99**step
