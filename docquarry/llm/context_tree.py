@@ -55,7 +55,7 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begins = n - np.cumsum(sizes + DEPTH + 1)
     real = np.ones(n, bool)
     real[(begins[:, None] + (sizes + 1)[:, None] + np.arange(DEPTH)).ravel()] = False
-    return key[real], np.repeat(np.arange(len(texts))[::-1], sizes[::-1] + 1)
+    return key[real], np.repeat(np.arange(len(texts), dtype=np.int32)[::-1], sizes[::-1] + 1)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -275,14 +275,21 @@ def bucket_of_gram(buckets: int) -> np.ndarray:
 
 
 def distinct_ngrams(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how many of each are of training texts."""
-    low = np.uint64(0xFFFF)
-    marked = np.sort((keys & ~low) | ((keys & low) << np.uint64(1)) | training.astype(np.uint64))
-    whole = marked >> np.uint64(1)
-    first = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(whole) else np.empty(0, np.int64)
-    counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first) if len(first) else first
-    own = marked[first]
-    return (own & ~low) | ((own & low) >> np.uint64(1)), counts
+    """Distinct keys in order, and how many of each are of training texts; keys is used up."""
+    low, one = np.uint64(0xFFFF), np.uint64(1)
+    symbol = keys & low
+    symbol <<= one
+    keys &= ~low
+    keys |= symbol
+    del symbol
+    keys |= training
+    keys.sort()  # a place for the mark is left below the symbol
+    learnt = (keys & one).astype(bool)
+    keys >>= one
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    counts = np.add.reduceat(learnt, first, dtype=np.int64) if len(first) else first
+    own = keys[first] << one
+    return (own & ~low) | ((own & low) >> one), counts
 
 
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -345,7 +352,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             block = store.write(block, name)
             low, learns = lowered(block.column("text")), np.array(block.column("training").to_pylist(), bool)
             keys, of = ngrams(low.cast(pa.binary()).to_pylist())
-            keys, counts = distinct_ngrams(keys, learns[of])
+            of = learns[of]
+            keys, counts = distinct_ngrams(keys, of)
             by, runs = dealt(keys, buckets)
             keys, counts = keys[by], counts[by]
             rows = [(b, GRAM, grams_packed(keys[x:y], counts[x:y])) for b, x, y in runs]
