@@ -8,11 +8,10 @@ no bucket with probability (1 - 0.75^4)^48 < 2e-8.
 
 In a bucket, all others are tied to one centre only, so that candidates grow with the rows of the buckets, not with their
 squares. Candidates are confirmed on full sets, which are made again from the texts of candidates alone: the first pass leaves texts in block files, and
-only (block, row) places move. Buckets that are then in more than one component are divided at random into parts of PART classes, about, each with a centre of
-its own: that joins most of what belongs together. So that the star shape loses no link, the classes of buckets that are still in more than
-one component are dealt into chunks by the largest such bucket of each, apart by whether they are in that bucket's largest component, and chunks that share a
-bucket, but not a single component, are compared as wholes: a class is sent once for each chunk that its own is compared with, however many buckets and pairs
-they share, and only links come out. Centres with many edges are split, and chunks are bounded by the bytes of their sets.
+only (block, row) places move. So that the star shape loses no link, the classes of buckets that are then in more than
+one component are dealt into chunks by the largest such bucket that they or their neighbours are in, apart by whether they are in its component, if one has half of them.
+Chunks that share a bucket, but are not of a single component, are compared as wholes: a class is sent once for each chunk that its own is compared with, however
+many buckets and pairs they share, and only links come out. Centres with many edges are split, and chunks are bounded by the bytes of their sets.
 """
 
 from __future__ import annotations
@@ -35,8 +34,6 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 REMEMBERED = 200_000
 #: Bytes of text in a block, bytes of the sets of a chunk, about, and edges of a centre that one task gets.
 BLOCK, CHUNK_BYTES, EDGES = 4 << 20, 4 << 20, 1024
-#: Classes of a part of a bucket, about.
-PART = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -230,15 +227,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def star_links(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The confirmed links (a, b) between the least class of each bucket and those others that aren't in one component with it."""
-    centre = buckets.groupBy("bucket").agg(F.min(F.struct("class", "n", "component")).alias("c"))
-    star = buckets.join(centre, "bucket").where(f"component <> c.component and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+    """The confirmed links (a, b) between the least class of each bucket and the others."""
+    centre = buckets.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("c"))
+    star = buckets.join(centre, "bucket").where(f"class <> c.class and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
     return materialise(confirm(star.select(F.col("c.class").alias("a"), F.col("class").alias("b")).distinct(), full, percent), "star-links")
 
 
 def mixed_buckets(buckets: DataFrame, member: DataFrame) -> DataFrame:
     """(bucket, class, n, component, rows) of the buckets whose classes are in more than one component of member; rows: how many a bucket has."""
-    named = buckets.drop("component").join(member.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = buckets.join(member.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
     return materialise(named.join(mixed.select("bucket", "rows"), "bucket"), "open")
 
@@ -277,11 +274,14 @@ def compare(group: pa.Table, percent: int) -> pa.Table:
 
 def chunk_links(named: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The links between classes that share a bucket and are in different components, from the rows of mixed_buckets()."""
-    home = named.groupBy("class").agg(F.max(F.struct("rows", "bucket")).alias("home"), F.first("n").alias("n"), F.first("component").alias("component"))
-    own = home.groupBy("home", "component").agg(F.sum("n").alias("hashes"), F.count(F.lit(1)).alias("members"))
-    main = own.groupBy("home").agg(F.max(F.struct("members", "component")).alias("m"), F.sum("hashes").alias("hashes")).select("home", F.col("m.component").alias("main"), "hashes")
+    own = named.groupBy("class").agg(F.max(F.struct("rows", "bucket")).alias("own"))
+    top = named.join(own, "class").groupBy("bucket").agg(F.max("own").alias("top"))  # the largest bucket that a neighbour is in
+    home = named.join(top, "bucket").groupBy("class").agg(F.max("top").alias("home"), F.first("n").alias("n"), F.first("component").alias("component"))
+    sizes = home.groupBy("home", "component").agg(F.sum("n").alias("hashes"), F.count(F.lit(1)).alias("members"))
+    sizes = sizes.groupBy("home").agg(F.max(F.struct("members", "component")).alias("m"), F.sum("hashes").alias("hashes"), F.sum("members").alias("members"))
+    main = sizes.select("home", F.when(2 * F.col("m.members") >= F.col("members"), F.col("m.component")).alias("main"), "hashes")
     part = F.pmod(F.xxhash64("class"), F.ceil(F.col("hashes") * 8 / CHUNK_BYTES))
-    home = home.join(main, "home").select("class", "n", "component", F.xxhash64("home.bucket", F.col("component") == F.col("main"), part).alias("chunk"))
+    home = home.join(main, "home").select("class", "n", "component", F.xxhash64("home.bucket", F.col("component").eqNullSafe(F.col("main")), part).alias("chunk"))
     home = materialise(home, "chunks")
     bounds = home.groupBy("chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = named.select("bucket", "class").join(home.select("class", "chunk"), "class").select("bucket", "chunk").distinct().join(bounds, "chunk")
@@ -297,17 +297,11 @@ def chunk_links(named: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 def linked(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """(id, component) of all classes with a confirmed link, from the (bucket, class, n) rows of buckets and the full sets."""
-    links = star_links(buckets.withColumn("component", F.col("class")), full, percent)
+    links = star_links(buckets, full, percent)
     member = components(links)
     named = mixed_buckets(buckets, member)
     if named.isEmpty():
         return member
-    parts = named.withColumn("bucket", F.xxhash64("bucket", F.pmod(F.xxhash64("class"), F.ceil(F.col("rows") / PART))))
-    more = star_links(parts.drop("rows"), full, percent)
-    if not more.isEmpty():
-        links = links.union(more)
-        member = components(links)
-        named = mixed_buckets(named.drop("rows"), member)
     more = materialise(chunk_links(named, full, percent), "chunk-links")
     return member if more.isEmpty() else components(links.union(more))
 
