@@ -19,7 +19,7 @@ from .common import ascii_lower, exists, materialise, shared_path
 #: Everything below U+0080 that is no digit or lower-case letter separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to so many bytes of test texts, their terms are broadcast to the postings, and up to so many places are; beyond, postings and they meet in a shuffle.
-BROADCAST_TEXT_BYTES, BROADCAST_PLACES = 2 << 20, 200_000
+BROADCAST_TEXT_BYTES, BROADCAST_PLACES = 2 << 20, 400_000
 
 
 def words_of(text: Column) -> Column:
@@ -63,13 +63,20 @@ def ranked(phrases: DataFrame, index: DataFrame, broadcast: bool) -> DataFrame:
     return materialise(by.where(F.size("by") == F.col("size")).select("w", "by"), "ranked")
 
 
-def at_places(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of wanted (w, id, key, begin, term, at) whose term has a posting there. wanted is broadcast where it is short, else joined in a shuffle."""
-    wanted = materialise(wanted, "places")
-    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_PLACES else wanted
-    i, p = index.alias("i"), near.alias("p")
-    met = (F.col("i.term") == F.col("p.term")) & (F.col("i.at") == F.col("p.at")) & (F.col("i.key") == F.col("p.key")) & F.col("i.id").eqNullSafe(F.col("p.id"))
-    return i.join(p, met).select("p.*")
+def at_places(index: DataFrame, wanted: DataFrame, broadcast: bool) -> DataFrame:
+    """The rows of wanted (with id, key, term and at, among others) whose term has a posting there. Each place is looked up once, however many rows ask for it: broadcast where
+    places are few, else joined in a shuffle, to which only postings of the asked terms are sent."""
+    wanted = materialise(wanted, "asked")
+    places = materialise(wanted.select("id", "key", "at", "term").distinct(), "places")
+    near, postings = places, index
+    if places.count() <= BROADCAST_PLACES:
+        near = F.broadcast(places)
+    elif broadcast:
+        postings = index.join(F.broadcast(places.select("term").distinct()), "term", "left_semi")
+    i, p = postings.alias("i"), near.alias("p")
+    same = lambda x, y: (F.col(f"{x}.term") == F.col(f"{y}.term")) & (F.col(f"{x}.at") == F.col(f"{y}.at")) & (F.col(f"{x}.key") == F.col(f"{y}.key")) & F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id"))
+    there = materialise(i.join(p, same("i", "p"), "left_semi").distinct(), "there")
+    return wanted.alias("w").join(there.alias("t"), same("w", "t"), "left_semi")
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -91,7 +98,7 @@ def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, item_col
         rest = by.select("w", F.slice("by", low + 1, high).alias("rest"))
         found = materialise(found.join(F.broadcast(rest) if broadcast else rest, "w"), "found")
         asked = found.select("w", "id", "key", "begin", F.inline("rest")).select("w", "id", "key", "begin", "term", (F.col("begin") + F.col("offset")).alias("at"))
-        held = at_places(index, asked).groupBy("w", "id", "key", "begin").agg(F.countDistinct("at").alias("held"))
+        held = at_places(index, asked, broadcast).groupBy("w", "id", "key", "begin").agg(F.countDistinct("at").alias("held"))
         full = found.where(F.size("rest") > 0).select("w", F.size("rest").alias("size")).distinct()
         held = held.join(F.broadcast(full) if broadcast else full, "w").where(F.col("held") == F.col("size"))
         found = held.select("w", "id", "key", "begin").unionByName(found.where(F.size("rest") == 0).select("w", "id", "key", "begin"))
