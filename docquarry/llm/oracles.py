@@ -48,3 +48,59 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM p JOIN f USING (payload_digest)
 """
+
+
+def _framed(expression: str) -> str:
+    """A value's encoding in the manifest."""
+    return f"CASE WHEN {expression} IS NULL THEN '-' ELSE strlen(CAST({expression} AS VARCHAR)) || ':' || {expression} END"
+
+
+def _levels(name: str, leaves: str, most: int = 8) -> str:
+    """CTEs of the trees over leaves (g, pos, d): name_0, name_1, ... with a node's digest d; a group's single node stays as it is. Enough for 8 ** most leaves."""
+    found = [f"{name}_0 AS ({leaves})"]
+    for k in range(most):
+        many = f"(SELECT *, count(*) OVER (PARTITION BY g) > 1 AS many FROM {name}_{k})"
+        found.append(
+            f"{name}_{k + 1} AS (SELECT g, pos // 8 AS pos, CASE WHEN bool_or(many) THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE min(d) END AS d FROM {many} GROUP BY g, pos // 8)"
+        )
+    return ",\n".join(found)
+
+
+def _paths(name: str, rows: str, most: int = 8) -> str:
+    """CTEs name_path_k for rows (doc_id, g, pos): siblings so far (path) and the digest that `claimed` leads to (led) below height k."""
+    found = [f"{name}_path_0 AS (SELECT doc_id, g, pos AS leaf, '' AS path, claimed AS led FROM {rows})"]
+    for k in range(most):
+        at = f"p.leaf // {8**k}"
+        run = f"SELECT g, pos // 8 AS run, count(*) AS n, list(d ORDER BY pos) AS ds FROM {name}_{k} GROUP BY g, pos // 8"
+        size = f"SELECT g, count(*) AS nodes FROM {name}_{k} GROUP BY g"
+        own = f"CAST({at} % 8 AS BIGINT) + 1"
+        others = f"array_to_string(list_concat(list_slice(ds, 1, {own} - 1), list_slice(ds, {own} + 1, n)), '')"
+        led = f"sha256(array_to_string(list_concat(list_concat(list_slice(ds, 1, {own} - 1), [p.led]), list_slice(ds, {own} + 1, n)), ''))"
+        found.append(
+            f"{name}_path_{k + 1} AS (SELECT p.doc_id, p.g, p.leaf, CASE WHEN nodes > 1 THEN p.path || {others} ELSE p.path END AS path, CASE WHEN nodes > 1 THEN {led} ELSE p.led END AS led\n"
+            f"  FROM {name}_path_{k} p JOIN ({run}) r ON r.g = p.g AND r.run = p.leaf // {8 ** (k + 1)} JOIN ({size}) s ON s.g = p.g)"
+        )
+    return ",\n".join(found)
+
+
+_CRC = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, y: "
+    "list_reduce(list_prepend(xor(x, y), range(8)), lambda u, v: CASE WHEN u & 1 = 1 THEN xor(u >> 1, CAST(3988292384 AS BIGINT)) ELSE u >> 1 END)), CAST(4294967295 AS BIGINT))"
+)
+_HEAD = " || ".join(_framed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+SQL["op11_merkle_manifest"] = f"""
+WITH docs AS (SELECT doc_id, coalesce('+' || lang, '') AS g, sha256({_HEAD} || {_framed("text")}) AS leaf,
+  sha256({_HEAD} || {_framed(f"CASE WHEN {_CRC} % 3 = 0 THEN {LOWER.format('text')} ELSE text END")}) AS claimed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos FROM docs),
+{_levels("t", "SELECT g, pos, leaf AS d FROM placed")},
+{_paths("t", "placed")},
+subs AS (SELECT g, d AS subroot FROM t_8),
+tops AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, g AS lang_g, subroot FROM subs),
+{_levels("u", "SELECT g, pos, subroot AS d FROM tops", 4)},
+up AS (SELECT p.doc_id, '' AS g, t.pos, p.led AS claimed, p.path AS below, p.g AS lang_g, p.leaf FROM t_path_8 p JOIN tops t ON t.lang_g = p.g),
+keyed AS (SELECT *, row_number() OVER () AS k FROM up),
+{_paths("u", "(SELECT k AS doc_id, g, pos, claimed FROM keyed)", 4)}
+SELECT y.doc_id, x.leaf, s.subroot, (SELECT d FROM u_4) AS root, sha256(y.below || v.path) AS proof_sha256, v.led AS folded_root, v.led = (SELECT d FROM u_4) AS verified
+FROM keyed y JOIN u_path_4 v ON v.doc_id = y.k JOIN placed x ON x.g = y.lang_g AND x.pos = y.leaf JOIN subs s ON s.g = y.lang_g
+"""

@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontamination, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity, warc
-from .common import doc_crc, shared_path, table
+from . import context_tree, decontamination, merkle, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity, warc
+from .common import ascii_lower, doc_crc, shared_path, table
 
 #: Old and new shards of the resharding.
 OLD_SHARDS, NEW_SHARDS = 6, 8
@@ -103,8 +103,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents by language, and the root that each document's proof leads to after a third of them was changed."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = F.when(doc_crc(F.col("doc_id")) % 3 == 0, merkle.leaf(*fields[:-1], ascii_lower(F.col("text"))))
+    leaves = docs.select("doc_id", F.col("lang").alias("group"), merkle.leaf(*fields).alias("digest"), changed.alias("changed"))
+    made = merkle.manifest(leaves, [F.col("doc_id").asc_nulls_first()]).withColumn("claimed", F.coalesce("changed", "digest"))
+    shown = [merkle.as_text(F.col(c)).alias(n) for c, n in (("digest", "leaf"), ("subroot", "subroot"), ("root", "root"))]
+    proof = F.sha2(merkle.as_text(F.col("siblings")), 256).alias("proof_sha256")
+    return merkle.folded(made, "claimed", "led_to").select("doc_id", *shown, proof, merkle.as_text(F.col("led_to")).alias("folded_root"), (F.col("led_to") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op6_warc, op7_context_tree, op8_decontamination, op9_toxicity, op10_near_duplicates]
+    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op6_warc, op7_context_tree, op8_decontamination, op9_toxicity, op10_near_duplicates, op11_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
