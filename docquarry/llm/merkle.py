@@ -55,24 +55,24 @@ def widths(n: int) -> list[int]:
     return found
 
 
-def walk(leaves: list[bytes], first: int, n: int) -> tuple[bytes, list[bytes]]:
+def walk(leaves: list[bytes], first: int, n: int, height: int = HEIGHT) -> tuple[bytes, list[bytes]]:
     """The root of a block, and each leaf's siblings, one after another. The block's leaves are those from `first` on, of n; it is aligned, and whole or the last one."""
     width, end = widths(n), first + len(leaves)
     paths = [bytearray() for _ in leaves]
 
-    def subtree(height: int, index: int) -> bytes:
-        if height == 0:
+    def subtree(level: int, index: int) -> bytes:
+        if level == 0:
             return leaves[index - first]
-        children = range(index * ARITY, min((index + 1) * ARITY, width[height - 1]))
-        digests = [subtree(height - 1, c) for c in children]
-        span = ARITY ** (height - 1)
+        children = range(index * ARITY, min((index + 1) * ARITY, width[level - 1]))
+        digests = [subtree(level - 1, c) for c in children]
+        span = ARITY ** (level - 1)
         for c in children:
             others = b"".join(d for k, d in zip(children, digests) if k != c)
             for i in range(max(c * span, first), min((c + 1) * span, end)):
                 paths[i - first] += others
         return joined(digests)
 
-    top = min(HEIGHT, len(width) - 1)
+    top = min(height, len(width) - 1)
     return subtree(top, first // ARITY**top), [bytes(p) for p in paths]
 
 
@@ -103,17 +103,17 @@ def _placed(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 def _walked(rows: DataFrame) -> DataFrame:
     """Rows (group, place, n, digest, and others) with `siblings` inside their block and the block's root `top`."""
-    schema = rows.withColumns({"siblings": F.lit(b""), "top": F.lit(b"")}).schema
+    schema, height = rows.withColumns({"siblings": F.lit(b""), "top": F.lit(b"")}).schema, HEIGHT
 
     def run(table: pa.Table) -> pa.Table:
         table = table.drop_columns("block").sort_by("place")
         first, n = table["place"][0].as_py(), table["n"][0].as_py()
-        top, paths = walk(table["digest"].to_pylist(), first, n)
+        top, paths = walk(table["digest"].to_pylist(), first, n, height)
         for name, values in (("siblings", paths), ("top", [top] * len(paths))):
             table = table.append_column(name, pa.array(values, pa.binary()))
         return table
 
-    blocked = rows.withColumn("block", F.floor(F.col("place") / ARITY**HEIGHT))
+    blocked = rows.withColumn("block", F.floor(F.col("place") / ARITY**height))
     return blocked.groupBy("group", "block").applyInArrow(run, schema)
 
 
