@@ -104,3 +104,18 @@ keyed AS (SELECT *, row_number() OVER () AS k FROM up),
 SELECT y.doc_id, x.leaf, s.subroot, (SELECT d FROM u_4) AS root, sha256(y.below || v.path) AS proof_sha256, v.led AS folded_root, v.led = (SELECT d FROM u_4) AS verified
 FROM keyed y JOIN u_path_4 v ON v.doc_id = y.k JOIN placed x ON x.g = y.lang_g AND x.pos = y.leaf JOIN subs s ON s.g = y.lang_g
 """
+
+SQL["op12_collocations"] = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT lang, k AS words, array_to_string(list_slice(ws, s, s + k - 1), ' ') AS phrase, count(*) AS a
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(ws) >= k) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM g WHERE words = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE words > 1 AND a >= 30),
+cuts AS (SELECT c.lang, c.words, c.phrase, c.a, c.k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS BIGINT) AS score
+         FROM (SELECT *, unnest(range(1, words)) AS k, string_split(phrase, ' ') AS ws FROM c) c
+         JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.ws, 1, c.k), ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.ws, c.k + 1, c.words), ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM cuts) WHERE i = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.words > b.words AND 100 * c.a >= 80 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
+"""

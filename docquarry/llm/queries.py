@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontamination, merkle, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity, warc
+from . import collocations, context_tree, decontamination, language_id, merkle, near_duplicates, oracles, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity, warc
 from .common import ascii_lower, doc_crc, shared_path, table
 
 #: Old and new shards of the resharding.
@@ -115,8 +115,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.folded(made, "claimed", "led_to").select("doc_id", *shown, proof, merkle.as_text(F.col("led_to")).alias("folded_root"), (F.col("led_to") == F.col("root")).alias("verified"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), F.col("lang")).withColumnRenamed("group", "lang")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by a model of those whose ids aren't in the held-out fold, a third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = doc_crc(F.col("doc_id")) % 3 == 1
+    model = language_id.fit(docs.where(~held_out).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_off", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op6_warc, op7_context_tree, op8_decontamination, op9_toxicity, op10_near_duplicates, op11_merkle_manifest]
+    found = [op1_token_counts, op2_sentencepiece, op3_resharding, op4_topk, op5_suffix_dedup, op6_warc, op7_context_tree, op8_decontamination, op9_toxicity, op10_near_duplicates, op11_merkle_manifest, op12_collocations, op13_language_id]
     return {f.__name__: f for f in found}
 
 
