@@ -146,6 +146,13 @@ class Store:
         system.move(part, f"{inner}/{name}")
         return table
 
+    def write_new(self, table: pa.Table, name: str) -> str:
+        """Write a table under a name of this attempt's own, and return that. Where the rows that a task returns carry the name, those of the attempt that counts lead to
+        its own file, even if another attempt of the task had its rows in another order."""
+        name = f"{name}-{uuid.uuid4().hex}"
+        self.write(table, name)
+        return name
+
     def read(self, name: str) -> pa.Table:
         system, inner = shared_files(self.root)
         with system.open_input_file(f"{inner}/{name}") as f:

@@ -174,17 +174,15 @@ def fit(docs: DataFrame) -> Model:
     """
     small_batches(docs.sparkSession)
     docs = docs.where("lang is not null")
-    shares = _shares(docs).where("mass > 0")
-    languages = [r[0] for r in shares.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
+    if docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages.sort(key=lambda x: x.encode())
+    rows = _shares(docs).where("mass > 0").toArrow()
+    languages = sorted(set(rows["lang"].to_pylist()), key=lambda x: x.encode())
     code = codewords(len(languages))
     model = Model(languages, code, np.zeros((code.shape[1], 1 << SLOTS), np.float32))
     if len(languages) < 2:
         return model
     mass = np.zeros((len(languages), 1 << SLOTS))
-    rows = shares.toArrow()
     at = {x: i for i, x in enumerate(languages)}
     mass[[at[x] for x in rows["lang"].to_pylist()], rows["slot"].to_numpy()] = rows["mass"].to_numpy()
     mass /= mass.sum(1, keepdims=True)

@@ -149,12 +149,11 @@ def sets_of(docs: DataFrame, store: Store, id_col: str, text_col: str) -> DataFr
                 if first:
                     seen.add(name)
                     kept.append(text)
-            if kept:
-                store.write(pa.table({"text": pa.array(kept, pa.string())}), f"{part}-{block}")
+            file = store.write_new(pa.table({"text": pa.array(kept, pa.string())}), f"{part}-{block}") if kept else ""
             n = len(sizes)
             places = pa.array(np.arange(place, place + n) + (part << 36))
             place += n
-            columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), places, pa.array([f"{part}-{block}"] * n), pa.array(at, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), places, pa.array([file] * n), pa.array(at, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield from pa.table(columns, names=["id", "n", "name", "place", "block", "row", "bands"]).to_batches()
         tidy()
 

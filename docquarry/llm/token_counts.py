@@ -105,14 +105,14 @@ def placed(docs: DataFrame, store: Store, id_col: str, text_col: str) -> DataFra
 
         part = TaskContext.get().partitionId()
         for number, rows in enumerate(blocks(batches, "text", BLOCK)):
-            block, sizes, digests, seen, at = f"{part}-{number}", [], [], {}, []
+            sizes, digests, seen, at = [], [], {}, []
             for text in rows.column(1).to_pylist():
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 digests.append(digest := hashlib.sha256(raw).digest())
                 sizes.append(len(raw))
                 at.append(None if digest in seen else len(seen))
                 seen.setdefault(digest, text or "")
-            store.write(pa.table({"text": pa.array(seen.values(), pa.string())}), block)
+            block = store.write_new(pa.table({"text": pa.array(seen.values(), pa.string())}), f"{part}-{number}")
             columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([block] * len(at)), pa.array(at, pa.int32())]
             yield from pa.table(columns, names=["id", "n_bytes", "digest", "block", "row"]).to_batches()
         tidy()
@@ -146,6 +146,8 @@ def count_tokens(docs: DataFrame, definition: bytes, cache_path: str, id_col: st
 
     def encode(group: pa.Table) -> pa.Table:
         texts = store.read(group.column("block")[0].as_py()).column("text").take(group.column("row")).to_pylist()
+        if any(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() != d.as_py() for t, d in zip(texts, group.column("digest"))):
+            raise ValueError("a stored text isn't the one of its digest")
         counts = counter_for(given.value).count(texts)
         tidy()
         return pa.table({"digest": group.column("digest"), "n_tokens": pa.array(counts, pa.int64())})

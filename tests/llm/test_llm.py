@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import context_tree, decontamination, near_duplicates, resharding, sentencepiece_codec, suffix_dedup, token_counts, topk, toxicity, warc
 from docquarry.llm import queries as q
-from docquarry.llm.common import shared_path
+from docquarry.llm.common import Store, shared_path
 
 from ..conftest import SF
 
@@ -618,3 +618,16 @@ def test_components(spark):
         for a, b in edges:
             group[a] = group[b] = min(group[a], group[b])
     assert got == {x: g for x, g in group.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_attempts_have_files_of_their_own(spark):
+    """Two attempts of a task, with their rows in another order: what each one's name leads to is its own."""
+    store = Store(shared_path(spark, "attempts"))
+    rows = [["a", "b", "c"], ["c", "a", "b"]]
+    names = [store.write_new(pa.table({"text": pa.array(r)}), "0-0") for r in rows]
+    assert [store.read(n).column("text").to_pylist() for n in names] == rows
+
+
+def test_token_counts_and_groups_over_shuffled_input(spark, docs):
+    for run in (near_duplicates.near_duplicates, lambda d: token_counts.count_tokens(d, q.tokenizer_file("byte_bpe_50k.json"), shared_path(spark, "shuffled"))):
+        assert sorted(map(repr, run(docs.repartition(5, "text")).collect())) == sorted(map(repr, run(docs).collect()))
