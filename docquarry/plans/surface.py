@@ -12,6 +12,7 @@ from ..engine import Engine, Settings
 from ..functions import text as t
 from ..models import plain_pages
 from ..operators import answer, catalog, chunking, feeds, locate, matching
+from ..operators.vector_index import VectorIndex
 from ..schemas import DEVICES, PRODUCT_FEED, create_tables, readable, refresh
 from ..session import scratch
 from ..sources import answers, files, sinks
@@ -508,8 +509,38 @@ SQL["job_product_search"] = """
 SELECT n_name AS query, 'p' AS product_id, lower(n_name) AS title, 'https://example.com/products/p/documents/d/file?language=en&country=US&audience=HCP' AS link FROM nation WHERE n_name NOT LIKE '%3'"""
 
 
+def vector_index_exact(spark, sf_dir):
+    """The five nearest rows of each hundredth one, itself included, by cosine and by inner product, each from a stored index with pruning."""
+    rows, found = read(spark, sf_dir, "embeddings"), None
+    for metric in ("cosine", "inner"):
+        index = VectorIndex.build(rows, scratch(spark, "index"), "vec_id", metric=metric)
+        best = index.search(rows.where("vec_id % 100 = 0"), TOP, None, "vec_id").select(F.lit(metric).alias("metric"), "q_id", F.col("rk").cast("long").alias("rk"), F.col("id").alias("vec_id"))
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+SQL["vector_index_exact"] = f"""
+SELECT metric, q_id, rk, vec_id FROM (SELECT m.metric, q.vec_id AS q_id, e.vec_id, row_number() OVER (PARTITION BY m.metric, q.vec_id ORDER BY
+  CASE m.metric WHEN 'cosine' THEN list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) ELSE -list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) END, e.vec_id) AS rk
+  FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q, (VALUES ('cosine'), ('inner')) m(metric)) WHERE rk <= {TOP}"""
+
+
+def vector_index_recall(spark, sf_dir):
+    """The approximate search over three quarters of the lists, held against the exact one: queries, whether nine tenths of the nearest rows are found, and whether a part of the rows is left unread."""
+    rows = read(spark, sf_dir, "embeddings")
+    index, asked = VectorIndex.build(rows, scratch(spark, "index"), "vec_id"), rows.where("vec_id % 100 = 0")
+    probes = -(-3 * len(index.centroids) // 4)
+    exact, near = (index.search(asked, TOP, p, "vec_id").select("q_id", "id") for p in (None, probes))
+    counts = exact.join(near.withColumn("hit", F.lit(1)), ["q_id", "id"], "left").agg(F.countDistinct("q_id").alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("reached"))
+    read_rows = index.reads(asked, probes, "vec_id").agg((F.avg("rows") < int(index.rows.sum())).alias("pruned"))
+    return counts.crossJoin(read_rows)  # a row each
+
+
+SQL["vector_index_recall"] = "SELECT count(*) AS n_queries, true AS reached, true AS pruned FROM embeddings WHERE vec_id % 100 = 0"
+
+
 ALL = [
     health, service_search, service_search_batch, service_locate, service_ask, service_failures, json_response, highlight_spans, highlighted_first, result_documents, device_upsert, device_lookup,
     catalog_file, device_feed, product_documents, product_totals, product_requests, web_hits, document_flags, number_formats, data_uris, filled_fields, appended_rows, json_targets, stored_files,
-    archive_members, file_audit, file_listing, job_catalog_load, job_work_list, job_ingest, job_product_search,
+    archive_members, file_audit, file_listing, job_catalog_load, job_work_list, job_ingest, job_product_search, vector_index_exact, vector_index_recall,
 ]
