@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +50,7 @@ def ingest_folder(engine: Engine, folder: str, path: str, parse: Callable[[bytes
     return engine.ingest(files.page_texts(docs, parse), path), files.page_rejects(docs, parse)
 
 
-def product_search(spark: SparkSession, ask: Callable[[dict], str], queries: Iterable[str], base_url: str = "") -> DataFrame:
-    """(query, product_id, name, gtin, title, link): the wanted documents of the products that a service finds, for a few queries; one that fails has none and doesn't stop the others."""
-    found = []
-    for query in queries:
-        try:
-            found.append((query, ask(answers.product_request(query))))
-        except Exception as e:  # noqa: BLE001
-            log.warning("search failed for %r: %s", query, e)
-    parsed = spark.createDataFrame(found, "query string, json string").select("query", F.from_json("json", PRODUCT_FEED).alias("a"))
+def product_search(queries: DataFrame, ask: Callable[[dict], str], base_url: str = "") -> DataFrame:
+    """(query, product_id, name, gtin, title, link): the wanted documents of the products that a service finds for queries (a column `query`), asked in tasks; a query that fails has none and doesn't stop the others."""
+    parsed = answers.product_answers(queries, ask).select("query", F.from_json("json", PRODUCT_FEED).alias("a"))
     return feeds.product_documents(parsed.select("query", F.inline("a.content")), base_url, "query")

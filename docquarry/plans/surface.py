@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
 
 from .. import jobs
 from ..engine import Engine, Settings
+from ..functions import sqlapi
 from ..functions import text as t
 from ..models import plain_pages
-from ..operators import answer, catalog, chunking, feeds, locate, matching
+from ..operators import answer, catalog, chunking, feeds, locate, matching, metadata_index, substring_index
 from ..operators.vector_index import VectorIndex
 from ..schemas import DEVICES, PRODUCT_FEED, create_tables, readable, refresh
 from ..session import scratch
@@ -286,17 +288,12 @@ SQL["product_totals"] = "SELECT count(DISTINCT conv_id) AS n_answers, count(*) A
 
 def product_requests(spark, sf_dir):
     """Bodies and parameters of product searches, as JSON."""
-    import json
-
-    rows = []
-    for r in read(spark, sf_dir, "region").collect():  # a work list
-        made = answers.product_request(r["r_name"], current_date="2026-01-01")
-        rows.append((r["r_name"], json.dumps(made["body"]["attributes"]), made["body"]["country"], made["params"]["page"], made["params"]["size"]))
-    return spark.createDataFrame(rows, "query string, attributes string, country string, page int, size int")
+    made = answers.product_requests(read(spark, sf_dir, "region").select(F.col("r_name").alias("query")), current_date="2026-01-01")
+    return made.select("query", F.to_json("body.attributes").alias("attributes"), "body.country", "params.page", "params.size")
 
 
 SQL["product_requests"] = """
-SELECT r_name AS query, '[{"name": "cross-field-search", "value": "' || r_name || '"}]' AS attributes, 'US' AS country, CAST(0 AS INTEGER) AS page, CAST(5 AS INTEGER) AS size FROM region"""
+SELECT r_name AS query, '[{"name":"cross-field-search","value":"' || r_name || '"}]' AS attributes, 'US' AS country, CAST(0 AS INTEGER) AS page, CAST(5 AS INTEGER) AS size FROM region"""
 
 
 def web_hits(spark, sf_dir):
@@ -309,7 +306,7 @@ def web_hits(spark, sf_dir):
         return [f"http://example.com/{number}/{i}{'.PDF' if i >= number % 4 else '.html'}" for i in range(5)]
 
     asked = feeds.templates(read(spark, sf_dir, "nation"), "n_name", "n_name", "n_regionkey", F.col("n_nationkey").cast("string").alias("query_id"))
-    found = answers.hits(spark, provider, [(r["query_id"], r["template_no"], r["q"]) for r in asked.collect()])  # a work list
+    found = answers.hits(asked, provider)
     return feeds.first_url(found, "query_id").withColumnRenamed("href", "url").withColumn("flagged", feeds.is_document(F.lit("text/html"), F.col("url")))
 
 
@@ -491,8 +488,7 @@ SELECT r_name || '.pdf' AS source, CASE WHEN r_regionkey = 2 THEN 'rejected' ELS
 
 
 def job_product_search(spark, sf_dir):
-    """Products by a service that fails for one query."""
-    import json
+    """Products by a service that fails for some queries."""
 
     def ask(request: dict) -> str:
         name = request["body"]["attributes"][0]["value"]
@@ -501,8 +497,7 @@ def job_product_search(spark, sf_dir):
         doc = {"id": "d", "title": name.lower(), "fileUuid": "u", "documentType": {"name": "Instructions for use"}, "language": {"isoCode": "en"}}
         return json.dumps({"totalElements": 1, "content": [{"id": "p", "name": name, "documents": [doc, doc | {"language": {"isoCode": "fr"}}]}]})
 
-    names = [r["n_name"] for r in read(spark, sf_dir, "nation").select("n_name").collect()]  # a work list
-    return jobs.product_search(spark, ask, names, "https://example.com").select("query", "product_id", "title", "link")
+    return jobs.product_search(read(spark, sf_dir, "nation").select(F.col("n_name").alias("query")), ask, "https://example.com").select("query", "product_id", "title", "link")
 
 
 SQL["job_product_search"] = """
@@ -539,8 +534,60 @@ def vector_index_recall(spark, sf_dir):
 SQL["vector_index_recall"] = "SELECT count(*) AS n_queries, true AS reached, true AS pruned FROM embeddings WHERE vec_id % 100 = 0"
 
 
+def match_documents_sql(spark, sf_dir):
+    """The search as SQL, with a filter and without."""
+    chunk_table(spark, sf_dir).createOrReplaceTempView("docquarry_chunks")
+    sqlapi.register(spark, "docquarry_chunks", "BIGINT", "docquarry_match")
+    query = "array(" + ",".join(f"CAST({x!r} AS DOUBLE)" for x in query_vector(read(spark, sf_dir, "embeddings"))) + ")"
+    return spark.sql(f"""
+SELECT 'all' AS asked, id, round(similarity, 6) AS similarity FROM docquarry_match({query}, {TOP})
+UNION ALL SELECT 'src1', id, round(similarity, 6) FROM docquarry_match({query}, {TOP}, '{{"source": "src1", "lang": "en"}}')""")
+
+
+SQL["match_documents_sql"] = f"""
+WITH {QUERY}, {NEAREST}, f AS (SELECT *, row_number() OVER (ORDER BY i) AS k FROM near WHERE lang = 'en' AND source = 'src1')
+SELECT 'all' AS asked, vec_id AS id, round(similarity, 6) AS similarity FROM near WHERE i <= {TOP} UNION ALL SELECT 'src1', vec_id, round(similarity, 6) FROM f WHERE k <= {TOP}"""
+
+
+def containment_indexed(spark, sf_dir):
+    """Events whose metadata contains a value, from a table that is shredded at its path."""
+    rows = metadata_index.write(read(spark, sf_dir, "events").select("event_id", "props"), scratch(spark, "shredded"), ["k"], "props")
+    return metadata_index.containing(rows, {"k": 69}, ["k"], "props")
+
+
+SQL["containment_indexed"] = "SELECT event_id, props FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 69"
+
+
+def substring_indexed(spark, sf_dir):
+    """Parts whose name holds a term, from the files that its trigrams choose."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return substring_index.build(rows, scratch(spark, "substrings"), "p_name", 250).search("COLD wid")
+
+
+SQL["substring_indexed"] = "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%COLD wid%'"
+
+
+def device_requests(spark, sf_dir):
+    """Devices of each brand by a service that is asked in tasks and fails at times; only the brands that a filter leaves are asked."""
+
+    def search(company: str) -> str:
+        if company.endswith("1"):
+            raise OSError("down")
+        return json.dumps({"search-result": {"device": [{"catalogNumber": f"{company}-{i}", "brandName": company} for i in range(3)] + [{"catalogNumber": ""}]}})
+
+    brands = read(spark, sf_dir, "part").select(F.col("p_brand").alias("company")).distinct()
+    found = answers.device_answers(brands, search).where(F.col("company").isin("Brand#11", "Brand#12", "Brand#13"))
+    return feeds.devices(found).select("catalog_number", "brand", "description")
+
+
+SQL["device_requests"] = """
+SELECT b || '-' || i AS catalog_number, b AS brand, 'No description' AS description
+FROM (SELECT DISTINCT p_brand AS b FROM part WHERE p_brand IN ('Brand#12', 'Brand#13')), (VALUES (0), (1), (2)) v(i)"""
+
+
 ALL = [
     health, service_search, service_search_batch, service_locate, service_ask, service_failures, json_response, highlight_spans, highlighted_first, result_documents, device_upsert, device_lookup,
     catalog_file, device_feed, product_documents, product_totals, product_requests, web_hits, document_flags, number_formats, data_uris, filled_fields, appended_rows, json_targets, stored_files,
-    archive_members, file_audit, file_listing, job_catalog_load, job_work_list, job_ingest, job_product_search, vector_index_exact, vector_index_recall,
+    archive_members, file_audit, file_listing, job_catalog_load, job_work_list, job_ingest, job_product_search, vector_index_exact, vector_index_recall, match_documents_sql, containment_indexed, substring_indexed,
+    device_requests,
 ]
