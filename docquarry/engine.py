@@ -61,7 +61,14 @@ class Engine:
         return cls(spark, *tables, **models)
 
     def health(self) -> dict[str, Any]:
-        return {"status": "ok", "db_connected": self.chunks is not None}
+        """{status, db_connected}: whether there is a chunk table that can be read just now."""
+        connected = self.chunks is not None
+        try:
+            connected and self.chunks.limit(1).collect()
+        except Exception as e:  # noqa: BLE001
+            log.warning("the chunk table can't be read: %s", e)
+            connected = False
+        return {"status": "ok", "db_connected": connected}
 
     def _need(self, table: DataFrame | None, name: str) -> DataFrame:
         if table is None:
@@ -72,7 +79,14 @@ class Engine:
         """{answer, results}: the chunks nearest to a query and an answer from them. If synthesis fails, the results stay and the answer says so."""
         chunks = self._need(self.chunks, "chunk")
         vector = self.embedder.embed([query], "query")[0]
-        rows = [r.asDict() for r in matching.match_documents(chunks, vector, limit, where).collect()]  # `limit` rows
+        found = matching.match(chunks.drop("content"), vector, limit, where).select("id", "metadata", "similarity")  # texts don't go through the ranking
+        rows = [r.asDict() for r in found.collect()]  # `limit` rows
+        keys = list({r["id"] for r in rows})
+        contents = chunks.select("id", "metadata", "content") if limit is None else chunks.where(F.col("id").isin(keys)).select("id", "metadata", "content")
+        texts: dict[tuple, list] = {}
+        for r in contents.collect() if rows else []:
+            texts.setdefault((r["id"], r["metadata"]), []).append(r["content"])
+        rows = [{"id": r["id"], "content": texts[r["id"], r["metadata"]].pop(), **r} for r in rows]
         if not rows:
             return {"answer": answer.NOTHING_FOUND, "results": []}
         matches = self.spark.createDataFrame([(i, r["content"], r["metadata"]) for i, r in enumerate(rows, 1)], "rank int, content string, metadata string")

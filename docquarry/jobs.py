@@ -12,7 +12,7 @@ from .engine import Engine
 from .functions import text as t
 from .models import plain_pages
 from .operators import catalog, feeds
-from .schemas import DEVICES, PRODUCT_FEED
+from .schemas import DEVICES
 from .sources import answers, files, sinks
 
 log = logging.getLogger(__name__)
@@ -52,5 +52,4 @@ def ingest_folder(engine: Engine, folder: str, path: str, parse: Callable[[bytes
 
 def product_search(queries: DataFrame, ask: Callable[[dict], str], base_url: str = "") -> DataFrame:
     """(query, product_id, name, gtin, title, link): the wanted documents of the products that a service finds for queries (a column `query`), asked in tasks; a query that fails has none and doesn't stop the others."""
-    parsed = answers.product_answers(queries, ask).select("query", F.from_json("json", PRODUCT_FEED).alias("a"))
-    return feeds.product_documents(parsed.select("query", F.inline("a.content")), base_url, "query")
+    return feeds.product_documents_json(answers.product_answers(queries, ask), base_url, "json", "query")

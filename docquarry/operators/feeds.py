@@ -52,6 +52,24 @@ def product_documents(products: DataFrame, base_url: str = "", *columns: str) ->
     return rows.select(*columns, "product_id", "name", "gtin", F.col("d.title").alias("title"), F.when(t.filled(F.col("d.fileUuid")), link).alias("link"))
 
 
+def product_documents_json(answers: DataFrame, base_url: str = "", raw: str = "json", *columns: str) -> DataFrame:
+    """product_documents() of raw JSON answers, in which a null name or gtin can be told from a missing one: the missing one gets its default, a null one stays null."""
+    content = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$.content", "array<variant>"), F.array().cast("array<variant>"))
+    rows = answers.select(*columns, F.explode(content).alias("p"))
+
+    def member(v: Column, path: str, default: str | None = None) -> Column:
+        found = F.try_variant_get(v, path, "string")
+        return found if default is None else F.when(F.try_variant_get(v, path, "variant").isNull(), F.lit(default)).otherwise(found)
+
+    listed = F.coalesce(F.try_variant_get("p", "$.documents", "array<variant>"), F.array().cast("array<variant>"))
+    rows = rows.select(
+        *columns, member(F.col("p"), "$.id").alias("product_id"), member(F.col("p"), "$.name", "Unknown Product").alias("name"), member(F.col("p"), "$.gtin", "N/A").alias("gtin"),
+        F.explode_outer(F.filter(listed, lambda d: wanted(member(d, "$.language.isoCode"), member(d, "$.documentType.name")))).alias("d"),
+    )
+    link = F.concat(F.lit(base_url), F.lit("/products/"), t.shown(F.col("product_id")), F.lit("/documents/"), t.shown(member(F.col("d"), "$.id")), F.lit("/file?language=en&country=US&audience=HCP"))
+    return rows.select(*columns, "product_id", "name", "gtin", member(F.col("d"), "$.title").alias("title"), F.when(t.filled(member(F.col("d"), "$.fileUuid")), link).alias("link"))
+
+
 def nested(rows: DataFrame, keep: Column, items: str = "items", *columns: str) -> DataFrame:
     """The elements of an array of structs for which an expression over `item` holds, a row each, their fields as columns."""
     exploded = rows.select(*columns, F.explode_outer(items).alias("item")).where(keep)

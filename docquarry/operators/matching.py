@@ -36,6 +36,14 @@ def match_documents(chunks: DataFrame, query_embedding, match_count: int | None
     return match(chunks, query_embedding, match_count, filter).select("id", "content", "metadata", "similarity")
 
 
+def with_contents(found: DataFrame, contents: DataFrame, key: str = "id") -> DataFrame:
+    """The few rows that a search has found, in their order, with the other columns of contents. The search runs now; its keys become a filter of the contents' scan, which skips the row groups without them."""
+    rows = found.collect()  # a search's limit
+    keys = [r[key] for r in rows]
+    ranked = found.sparkSession.createDataFrame(rows, found.schema)
+    return F.broadcast(ranked).join(contents.where(F.col(key).isin(keys)), key)
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "vec_id") -> DataFrame:
     """(q_id, key, distance, rk): the k rows of chunks nearest to each row of queries by cosine distance, ties by key; keys are distinct whole numbers.
 

@@ -40,11 +40,11 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_documents(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
-    """The rows nearest to the query vector, with their texts: ids are ranked first, and only the texts of those are joined."""
+    """The rows nearest to the query vector, with their texts: ids are ranked first, and the texts' scan gets those that are found as a filter."""
     docs, rows = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
     about = docs.select(F.col("doc_id").alias("id"), F.to_json(F.struct("source", "lang")).alias("metadata"), "lang", "source")
     found = matching.match(rows.withColumnRenamed("vec_id", "id").join(about, "id"), query_vector(rows), TOP, where)
-    return F.broadcast(found).join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")  # TOP rows
+    return matching.with_contents(found, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
 
 def match_documents_topk(spark, sf_dir):

@@ -8,16 +8,17 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from .. import jobs
+from .. import jobs, policies
 from ..engine import Engine, Settings
 from ..functions import sqlapi
 from ..functions import text as t
-from ..models import plain_pages
-from ..operators import answer, catalog, chunking, feeds, locate, matching, metadata_index, substring_index
+from ..models import HashingEmbedder, plain_pages
+from ..operators import answer, catalog, chunking, feeds, locate, matching, metadata_index, substring_index, vector_store
 from ..operators.vector_index import VectorIndex
 from ..schemas import DEVICES, PRODUCT_FEED, create_tables, readable, refresh
 from ..session import scratch
 from ..sources import answers, files, sinks
+from ..sources.versioned import VersionedTable
 from .queries import PAGE, QUERY_ID, TOP, chunk_table, query_vector, read
 
 SQL: dict[str, str] = {}
@@ -63,11 +64,20 @@ def _engine(spark, sf_dir):
 
 
 def health(spark, sf_dir):
-    states = [Engine(spark, chunk_table(spark, sf_dir)).health(), Engine(spark).health()]
-    return spark.createDataFrame([(s["status"], s["db_connected"]) for s in states], "status string, db_connected boolean")
+    """An engine over a table that is there, one over a table whose files are gone, and one without; with the rows that the first one has."""
+    path = scratch(spark, "gone")
+    read(spark, sf_dir, "region").write.parquet(path)
+    gone = spark.read.parquet(path)
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(system, True)
+    chunks = chunk_table(spark, sf_dir)
+    states = [(k, *Engine(spark, table).health().values()) for k, table in (("there", chunks), ("gone", gone), ("none", None))]
+    return spark.createDataFrame(states, "chunks string, status string, db_connected boolean").crossJoin(chunks.agg(F.count(F.lit(1)).alias("n_rows")))  # a row
 
 
-SQL["health"] = "SELECT * FROM (VALUES ('ok', true), ('ok', false)) v(status, db_connected)"
+SQL["health"] = """
+SELECT chunks, 'ok' AS status, connected AND n_rows > 0 AS db_connected, n_rows FROM (VALUES ('there', true), ('gone', false), ('none', false)) v(chunks, connected),
+  (SELECT count(*) AS n_rows FROM embeddings JOIN documents ON doc_id = vec_id)"""
 
 
 def service_search(spark, sf_dir):
@@ -81,13 +91,27 @@ WITH {QUERY}, {NEAREST}, r AS (SELECT *, row_number() OVER (ORDER BY i) AS k FRO
 SELECT vec_id AS id, CAST(k AS INTEGER) AS i, round(similarity, 6) AS similarity, (SELECT count(*) FROM r WHERE k <= {TOP}) || ' excerpts' AS answer FROM r WHERE k <= {TOP}"""
 
 
+class LengthEmbedder:
+    """A unit vector along the axis that a text's length chooses: requests differ, and SQL can tell the vector."""
+
+    dimension = 64
+
+    def embed(self, texts: list[str], task: str = "document") -> list[list[float]]:
+        return [[float(i == len(text) % self.dimension) for i in range(self.dimension)] for text in texts]
+
+
 def service_search_batch(spark, sf_dir):
-    """Many requests in one search."""
+    """Many requests, each with a vector of its own, in one search."""
     requests = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return _engine(spark, sf_dir).search_batch(requests, TOP).select("query_id", "rk", "id", F.round("similarity", 6).alias("similarity"))
+    engine = Engine(spark, chunk_table(spark, sf_dir), embedder=LengthEmbedder())
+    return engine.search_batch(requests, TOP).select("query_id", "rk", "id", F.round("similarity", 6).alias("similarity"))
 
 
-SQL["service_search_batch"] = f"WITH {QUERY}, {NEAREST} SELECT item_id AS query_id, i AS rk, vec_id AS id, round(similarity, 6) AS similarity FROM benchmark, near WHERE i <= {TOP}"
+SQL["service_search_batch"] = f"""
+WITH b AS (SELECT item_id, list_transform(range({LengthEmbedder.dimension}), lambda i: CASE WHEN i = length(text) % {LengthEmbedder.dimension} THEN 1.0 ELSE 0.0 END)::DOUBLE[] AS qe FROM benchmark),
+r AS (SELECT item_id, vec_id, list_cosine_similarity(e.embedding::DOUBLE[], qe) AS s, row_number() OVER (PARTITION BY item_id ORDER BY list_cosine_distance(e.embedding::DOUBLE[], qe), vec_id) AS rk
+      FROM b, embeddings e JOIN documents ON doc_id = vec_id)
+SELECT item_id AS query_id, rk, vec_id AS id, round(s, 6) AS similarity FROM r WHERE rk <= {TOP}"""
 
 
 def service_locate(spark, sf_dir):
@@ -428,12 +452,15 @@ SQL["file_audit"] = "SELECT r_name || '.pem' AS file_name FROM region UNION ALL
 
 
 def file_listing(spark, sf_dir):
-    """Names of the test tables' files that hold something."""
-    return files.listing(spark, sf_dir, "*.parquet").where("length > 0").select("file_name")
+    """The text files of a folder that holds one for each nation, and others, with their sizes."""
+    folder = scratch(spark, "listed")
+    name = F.concat("n_name", F.when(F.col("n_regionkey") == 0, F.lit(".csv")).otherwise(F.lit(".txt")))
+    sinks.files(read(spark, sf_dir, "nation").select(name.alias("file_name"), F.encode(F.repeat("n_name", F.col("n_nationkey").cast("int")), "utf-8").alias("content")), folder).write.format("noop").mode("overwrite").save()
+    return files.listing(spark, folder, "*.txt").select("file_name", "length")
+
 
+SQL["file_listing"] = "SELECT n_name || '.txt' AS file_name, CAST(length(n_name) * n_nationkey AS BIGINT) AS length FROM nation WHERE n_regionkey <> 0"
 
-SQL["file_listing"] = """
-SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS file_name"""
 
 def job_catalog_load(spark, sf_dir):
     """Two loads of parts as catalogue files, the second onto the first's version: names are replaced, rows counted."""
@@ -585,9 +612,49 @@ SELECT b || '-' || i AS catalog_number, b AS brand, 'No description' AS descript
 FROM (SELECT DISTINCT p_brand AS b FROM part WHERE p_brand IN ('Brand#12', 'Brand#13')), (VALUES (0), (1), (2)) v(i)"""
 
 
+def bucketed_upsert(spark, sf_dir):
+    """device_upsert's two loads into a table in buckets with a manifest for each version."""
+    first = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("primary_di"), F.col("c_name").alias("brand_name"), F.col("c_mktsegment").alias("description"), F.lit(0).alias("seq"))
+    load = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("primary_di"), F.col("o_orderstatus").alias("catalog_number"), F.col("o_orderpriority").alias("description"), F.col("o_orderkey").alias("seq"))
+    table = VersionedTable(spark, scratch(spark, "devices"), buckets=8)
+    table.upsert(first)
+    table.upsert(load)
+    return table.read().select("primary_di", "brand_name", "catalog_number", "description", F.col("created_at").isNotNull().alias("dated"), (F.col("id") == t.natural_id(F.col("primary_di"))).alias("named"))
+
+
+SQL["bucketed_upsert"] = SQL["device_upsert"]
+
+
+def embedded_once(spark, sf_dir):
+    """Two ingestions of all texts' beginnings into one vector store: the texts that each embedded, and the rows that have a vector."""
+    rows, root, counts = read(spark, sf_dir, "documents").select(F.substring("text", 1, 200).alias("content")), scratch(spark, "vectors"), []
+    for _ in range(2):
+        found, n = vector_store.embedded(rows, HashingEmbedder(64), root, "hashing-64")
+        counts.append(n)
+    return found.agg(F.count("embedding").alias("n_vectors")).withColumns({"first": F.lit(counts[0]), "second": F.lit(counts[1])})
+
+
+SQL["embedded_once"] = "SELECT count(text) AS n_vectors, CAST(count(DISTINCT substring(text, 1, 200)) AS INTEGER) AS first, CAST(0 AS INTEGER) AS second FROM documents"
+
+
+def row_policies(spark, sf_dir):
+    """What each of two users, and one without a policy, reads of one table by SQL."""
+    policies.protect(spark, read(spark, sf_dir, "documents"), "docquarry_documents", {"ann": "lang = 'en'", "ben": "source = 'src1' OR lang IS NULL"})
+    found = spark.createDataFrame([], "user string, doc_id long")
+    for user in ("ann", "ben", "cy"):
+        policies.act_as(spark, user)
+        path = scratch(spark, "read-rows")
+        spark.sql("SELECT doc_id FROM docquarry_documents").write.parquet(path)  # as that user
+        found = found.unionByName(spark.read.schema("doc_id long").parquet(path).select(F.lit(user).alias("user"), "doc_id"))
+    return found
+
+
+SQL["row_policies"] = "SELECT 'ann' AS user, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'ben', doc_id FROM documents WHERE source = 'src1' OR lang IS NULL"
+
+
 ALL = [
     health, service_search, service_search_batch, service_locate, service_ask, service_failures, json_response, highlight_spans, highlighted_first, result_documents, device_upsert, device_lookup,
     catalog_file, device_feed, product_documents, product_totals, product_requests, web_hits, document_flags, number_formats, data_uris, filled_fields, appended_rows, json_targets, stored_files,
     archive_members, file_audit, file_listing, job_catalog_load, job_work_list, job_ingest, job_product_search, vector_index_exact, vector_index_recall, match_documents_sql, containment_indexed, substring_indexed,
-    device_requests,
+    device_requests, bucketed_upsert, embedded_once, row_policies,
 ]

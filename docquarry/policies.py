@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: The session variable that names the user.
 VARIABLE = "docquarry_user"
 _NAME = re.compile(r"\w+")
+#: Set in a session once the variable is declared.
+_DECLARED = "spark.docquarry.user.declared"
 
 
 def act_as(spark: SparkSession, user: str) -> None:
     """Name the session's user."""
     spark.sql(f"DECLARE OR REPLACE VARIABLE {VARIABLE} STRING")
     spark.sql(f"SET VAR {VARIABLE} = :user", args={"user": user})
+    spark.conf.set(_DECLARED, "true")
 
 
 def protect(spark: SparkSession, rows: DataFrame, view: str, policies: dict[str, str], variable: bool = True) -> None:
@@ -34,14 +37,7 @@ def protect(spark: SparkSession, rows: DataFrame, view: str, policies: dict[str,
     cases = " ".join(f"WHEN {user} = {quoted(u)} THEN ({condition})" for u, condition in policies.items() if u != "*")
     rest = f"({policies['*']})" if "*" in policies else "false"
     allowed = f"CASE {cases} ELSE {rest} END" if cases else rest
-    if variable:
-        spark.sql(f"DECLARE OR REPLACE VARIABLE {VARIABLE} STRING") if not _declared(spark) else None
+    if variable and not spark.conf.get(_DECLARED, None):
+        act_as(spark, "")
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {view} AS SELECT * FROM {view}_rows WHERE {allowed}")
 
-
-def _declared(spark: SparkSession) -> bool:
-    try:
-        spark.sql(f"SELECT {VARIABLE}").schema  # noqa: B018  resolves the name
-        return True
-    except Exception:  # noqa: BLE001
-        return False

@@ -2,6 +2,7 @@
 
 import pytest
 
+from docquarry.operators import matching
 from docquarry.plans import queries as q
 
 from .conftest import SF
@@ -28,5 +29,8 @@ def test_pushdown(spark):
     """Filters and columns reach the scans, and top-k needs no full sort."""
     plan = q.queries()["catalog_search"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Not(EqualTo(p_type,))" in plan and "p_size" not in plan.split("ReadSchema")[1]
-    plan = q.queries()["match_documents_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    plan = matching.match(rows, [0.5] * 64, 5, metadata=None)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+    plan = q.queries()["match_documents_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id" in plan and "embedding" not in plan.split("FileScan")[1]

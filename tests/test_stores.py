@@ -90,3 +90,12 @@ def test_two_users_of_one_table(spark):
     assert seen == {"o'ne": [1], "two": [2, 3], "all": [1, 2, 3], "nobody": [], "": []}
     policies.protect(spark, rows, "guarded", {"*": "id = 2"}, variable=False)
     assert [r.id for r in spark.table("guarded").collect()] == [2]
+
+
+def test_null_members_stay_null(spark):
+    """A missing name has a default, a null one is null."""
+    from docquarry.operators import feeds
+
+    raw = '{"content": [{"id": "1", "documents": []}, {"id": "2", "name": null, "gtin": null}, {"id": "3", "name": "n", "gtin": "g", "documents": [{"id": "d", "title": "t", "fileUuid": "", "documentType": {"name": "Instructions for use"}}]}]}'
+    rows = feeds.product_documents_json(spark.createDataFrame([(raw,), ("not json",), (None,)], "json string"), "u").collect()
+    assert [tuple(r) for r in rows] == [("1", "Unknown Product", "N/A", None, None), ("2", None, None, None, None), ("3", "n", "g", "t", None)]
