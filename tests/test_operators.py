@@ -157,7 +157,8 @@ def test_web_hits(spark):
             raise OSError
         return [f"http://x/{q}/1", f"http://x/{q}/2.PDF", "http://x/pdf/3", "http://x/4.pdf"]
 
-    rows = answers.hits(spark, provider, [("d", 1, "bad"), ("d", 2, "ok"), ("e", 1, "bad")])
+    asked = spark.createDataFrame([("d", 1, "bad"), ("d", 2, "ok"), ("e", 1, "bad")], "query_id string, template_no int, q string")
+    rows = answers.hits(asked, provider)
     assert rows.count() == 3
     assert [tuple(r) for r in feeds.first_url(rows, "query_id").collect()] == [("d", "http://x/ok/2.PDF")]
     device = spark.createDataFrame([("A, Inc", " b ", "1")], "c string, b string, n string")
