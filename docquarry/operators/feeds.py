@@ -48,6 +48,7 @@ def product_documents(products: DataFrame, base_url: str = "", *columns: str) ->
         *columns, F.col("id").alias("product_id"), F.coalesce("name", F.lit("Unknown Product")).alias("name"), F.coalesce("gtin", F.lit("N/A")).alias("gtin"),
         F.explode_outer(F.filter("documents", lambda d: wanted(d["language"]["isoCode"], d["documentType"]["name"]))).alias("d"),
     )
+    # fixed values: the parts of a document's address
     link = F.concat(F.lit(base_url), F.lit("/products/"), t.shown(F.col("product_id")), F.lit("/documents/"), t.shown(F.col("d.id")), F.lit("/file?language=en&country=US&audience=HCP"))
     return rows.select(*columns, "product_id", "name", "gtin", F.col("d.title").alias("title"), F.when(t.filled(F.col("d.fileUuid")), link).alias("link"))
 
@@ -66,6 +67,7 @@ def product_documents_json(answers: DataFrame, base_url: str = "", raw: str = "j
         *columns, member(F.col("p"), "$.id").alias("product_id"), member(F.col("p"), "$.name", "Unknown Product").alias("name"), member(F.col("p"), "$.gtin", "N/A").alias("gtin"),
         F.explode_outer(F.filter(listed, lambda d: wanted(member(d, "$.language.isoCode"), member(d, "$.documentType.name")))).alias("d"),
     )
+    # fixed values: the parts of a document's address
     link = F.concat(F.lit(base_url), F.lit("/products/"), t.shown(F.col("product_id")), F.lit("/documents/"), t.shown(member(F.col("d"), "$.id")), F.lit("/file?language=en&country=US&audience=HCP"))
     return rows.select(*columns, "product_id", "name", "gtin", member(F.col("d"), "$.title").alias("title"), F.when(t.filled(member(F.col("d"), "$.fileUuid")), link).alias("link"))
 
@@ -84,6 +86,7 @@ def total(answers: DataFrame) -> DataFrame:
 def queries_for(company: Column, brand: Column, number: Column) -> Column:
     """The web queries for a device from the most specific on: an array of (template_no, q)."""
     company, brand = t.first_part(company), t.strip(t.or_empty(brand))
+    # fixed values: the wording of the templates
     made = [
         F.concat(company, F.lit(" "), t.shown(number), F.lit(' "Instructions for use" filetype:pdf')),
         F.concat(company, F.lit(" "), brand, F.lit(" "), t.shown(number), F.lit(" IFU filetype:pdf")),
