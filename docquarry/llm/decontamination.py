@@ -129,7 +129,9 @@ def proximity_matches(index: DataFrame, items: DataFrame, span: int, item_col: s
 
 
 def hits(index: DataFrame, matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """For each document of an index: id, key, n_words, n_hit (words inside any match), items (those that match, in the order of strings)."""
+    """For each document of an index: id, key, n_words, n_hit (words inside any match), items (those that match, in the order of strings).
+
+    There is a row for each id and text, null ids among them; texts without words have no hits. An empty index gives no rows, and without matches no word is hit."""
     spans = F.array_sort(F.collect_set(F.struct("begin", "end")))
     found = matches.groupBy("id", "key").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     start = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("reach"))
@@ -141,7 +143,10 @@ def hits(index: DataFrame, matches: DataFrame, id_col: str = "doc_id") -> DataFr
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", index_path: str | None = None, **names: str) -> DataFrame:
-    """The rows of docs in which no window of an item stands, whatever their other columns are called; the index is made at index_path, or a new path, unless it is there."""
+    """The rows of docs in which no window of an item stands, whatever their other columns are called; the index is made at index_path, or a new path, unless it is there.
+
+    Texts without words, null ones too, stay; rows that repeat id and text stay or go together, and null ids are ids like others. Without items everything stays; an empty table stays empty.
+    The names docquarry_id and docquarry_key are reserved."""
     index = build_index(docs, index_path or shared_path(docs.sparkSession, "index"), id_col, text_col)
     bad = phrase_matches(index, items, width, **names).select(F.col("id").alias("docquarry_id"), F.col("key").alias("docquarry_key")).distinct()
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("docquarry_id")) & (F.xxhash64(text_col) == F.col("docquarry_key")), "left_anti")
