@@ -175,6 +175,40 @@ def test_locate(spark):
     assert marked["1"] == (2, [(3, 10), (14, 21)]) and marked["3"] == (None, [])
 
 
+def test_locate_in_shares(spark, monkeypatch):
+    """With the terms of a document in one automaton or in several, broadcast or joined, what is found is what a search of each page finds."""
+    import random
+
+    rng = random.Random(5)
+    words = ["Ab", "ba", "aab", "É", "x.y", "日本", "\\E", "a"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pages = [(d, n, text(rng.randrange(30))) for d in ("p", "q", None) for n in range(1, 12)] + [("p", 3, "ab AB"), ("p", None, "ab"), ("q", 4, None), ("z", 1, "ab")]
+    passages = [(str(i), rng.choice(["p", "q", "r", None]), text(rng.randrange(1, 4))) for i in range(60)] + [("60", "p", None), ("61", "p", " "), ("62", "p", "a a"), ("63", "q", "a")] * 2
+    p = spark.createDataFrame(pages, "source string, page_no int, page_text string").repartition(3)
+    q = spark.createDataFrame(passages, "id string, source string, content string").withColumn("term", F.lit(1))
+    brute = []
+    for i, source, content in passages:
+        term = (content or "")[:50].strip().lower()
+        for s, n, page in pages:
+            low, spans, at = (page or "").lower(), [], 0
+            while term and source is not None and s == source and (at := low.find(term, at)) >= 0:
+                spans.append((at, at + len(term)))
+                at += len(term)
+            if spans:
+                brute.append((i, s, n, spans))
+    for limits in ((1000, 16 << 20), (2, 16 << 20), (2, 0)):
+        for name, value in zip(("TERMS", "BROADCAST_BYTES"), limits, strict=True):
+            monkeypatch.setattr(locate, name, value)
+        got = [(r.id, r.source, r.page_no, [(s.begin, s.end) for s in r.spans]) for r in locate.all_pages(q, p).collect()]
+        assert sorted(got, key=repr) == sorted(brute, key=repr)
+        least = {i: min(n for j, _, n, _ in brute if j == i and n is not None) for i, _, n, _ in brute if n is not None}
+        assert {(r.id, r.found_page) for r in locate.first_page(q, p).collect()} == {(i, least.get(i)) for i, _, _ in passages}
+    assert locate.first_page(q, p.limit(0)).where("found_page is null").count() == len(passages)
+    assert locate.all_pages(q.limit(0), p).count() == 0
+    plan = locate.terms_on_pages(locate.asked_terms(q, "source", "content", None, 40, "id"), p)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Contains(lower" not in plan
+
+
 def test_answer(spark):
     rows = spark.createDataFrame([(2, "b", '{"source": null}'), (1, "a", '{"source": "f"}'), (3, None, "{}")], "rank int, content string, metadata string")
     assert answer.context(rows).first()[0] == "Source [1] (File: f):\na\n\nSource [2] (File: None):\nb\n\nSource [3] (File: Unknown):\nNone"
