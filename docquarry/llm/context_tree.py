@@ -269,9 +269,8 @@ def runs_of(to: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
 
 
 def bucket_of_gram(buckets: int) -> np.ndarray:
-    """The bucket of each pair of nearest bytes."""
-    pair = np.arange(1 << (8 * TOP), dtype=np.uint64)
-    return (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    """The bucket of each pair of nearest bytes: in a fixed random order, so that the pairs of one byte, of which some are frequent, spread, and up to 65,536 buckets all get as many pairs."""
+    return (np.random.default_rng(7).permutation(1 << (8 * TOP)) % buckets).astype(np.int32)
 
 
 def distinct_ngrams(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -406,8 +405,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 asks = [grams_unpacked(x.as_buffer()) for x in asked.column("body")]
                 keys, counts = gathered(asks)
                 seen = counts > 0
-                logs = log10_of(subtrees(keys[seen], counts[seen]), given.value, keys).astype(np.float32)
-                bodies = [packed(logs[np.searchsorted(keys, k)].tobytes()) for k, _ in asks]
+                logs = log10_of(subtrees(keys[seen], counts[seen]), given.value, keys)
+                bodies = [packed(columns(logs[np.searchsorted(keys, k)])) for k, _ in asks]
                 yield from rows_of(asked.column("block").to_pylist(), [GRAM] * len(bodies), [bucket] * len(bodies), bodies).select(["block", "kind", "bucket", "body"]).to_batches()
             tidy()
 
@@ -421,7 +420,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         order = np.argsort(own)
         by, runs = dealt(own[order], buckets)
         answers, logs = answers_of(group, GRAM), np.empty(len(own), np.float64)
-        logs[order[by]] = np.concatenate([np.frombuffer(answers[b], np.float32) for b, _, _ in runs])
+        logs[order[by]] = np.concatenate([uncolumns(memoryview(answers[b]), len(answers[b]) // 8, np.float64) for b, _, _ in runs])
         scores = np.bincount(of, logs[place], texts)
         del keys, own, place, of, coded, logs
         of, word, words = words_of(low)

@@ -414,10 +414,16 @@ def test_context_tree_equals_its_definition(spark, monkeypatch, block):
     got = {r.doc_id: (r.score, r.bits_per_byte) for r in context_tree.score(docs, F.col("doc_id") % 5 != 2).collect()}
     raw = [(t or "").encode().lower() for t in texts]
     want = brute_tree(raw, [t for i, t in enumerate(raw) if i % 5 != 2])
-    assert np.allclose([got[i][0] for i in range(len(texts))], want, rtol=1e-5)
+    assert np.allclose([got[i][0] for i in range(len(texts))], want, rtol=1e-9)
     assert all((got[i][1] is None) == (not t) for i, t in enumerate(raw))
     none = {r.doc_id: r.score for r in context_tree.score(docs, F.lit(False)).collect()}
-    assert np.allclose([none[i] for i in range(len(texts))], brute_tree(raw, []), rtol=1e-5)
+    assert np.allclose([none[i] for i in range(len(texts))], brute_tree(raw, []), rtol=1e-9)
+
+
+@pytest.mark.parametrize("buckets", [8, 1000, 1 << 16])
+def test_byte_pairs_reach_all_buckets(buckets):
+    pairs = np.bincount(context_tree.bucket_of_gram(buckets), minlength=buckets)
+    assert pairs.sum() == 1 << 16 and pairs.max() - pairs.min() <= 1
 
 
 def test_words_and_counts_of_blocks():

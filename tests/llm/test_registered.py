@@ -98,7 +98,7 @@ def test_op7_scores(spark, tmp_path):
     raw = [(t or "").encode().replace(b"T", b"t").replace(b"D", b"d") for _, t in rows]
     want = brute_tree(raw, [t for i, t in enumerate(raw) if zlib.crc32(str(i).encode()) % 7 != 2])
     got = {r.doc_id: r.score for r in q.op7_context_tree(spark, str(tmp_path)).collect()}
-    assert np.allclose([got[i] for i in range(len(rows))], want, rtol=1e-5)
+    assert np.allclose([got[i] for i in range(len(rows))], want, rtol=1e-9)
 
 
 def test_op9(spark):
