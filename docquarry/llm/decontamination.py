@@ -1,12 +1,13 @@
 """Benchmark decontamination by a positional inverted index, with DataFrame operations alone.
 
-The index is a stored table of postings (term, id, key, at), a row for each word of each document, in files by document as they are read: building it shuffles
-nothing, and every later set of test items is looked up in it without a look at the texts. A posting with an empty term closes each document and gives its
-number of words.
-
-Each window of an item is looked up by its rarest term, by the counts of all postings: a posting, shifted by the term's offset, says where the window would begin.
-The list of these places is intersected with the second rarest term's postings at its own offset, and then with those of all other terms; a place at which
-every term of the window has its posting is a match.
+The index is a stored table of postings (term, next, id, key, at), a row for each word of each document with the word after it, in files by document as they are
+read: building it shuffles nothing, and every later set of test items is looked up in it without a look at the texts. A posting with an empty term closes each
+document and gives its number of words.
+
+Each window of an item is looked up by its rarest term, by the counts of all postings, among those that another term of the window follows, together with that
+term: a posting, shifted by the term's offset, says where the window would begin. The pair leaves few places by chance, so that the lists which are intersected grow
+with what items and documents share and not with how common words are. The list of these places is intersected with the next rarest term's postings at its own
+offset, and then with those of all other terms; a place at which every term of the window has its posting is a match.
 """
 
 from __future__ import annotations
@@ -35,18 +36,19 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, width: int) -> Da
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the postings (term, id, key, at) of documents to a new path, unless it is there, and read them; key: a hash of the text, which tells documents with equal ids apart.
+    """Write the postings (term, next, id, key, at) of documents to a new path, unless it is there, and read them; key: a hash of the text, which tells documents with equal ids apart.
 
     at counts words from 0. Null texts have no words: only the closing posting with an empty term. Null ids are ids like others; rows that repeat id and text
     are one document. Other columns are ignored, whatever their names. An empty table gives an index without postings."""
     spark = docs.sparkSession
     if not exists(spark, f"{path}/_SUCCESS"):
         words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("words"))
-        rows = words.select("id", "key", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "term")).select("term", "id", "key", "at")
+        closed = words.select("id", "key", F.concat("words", F.array(F.lit(""))).alias("term")).withColumn("next", F.slice("term", F.lit(2), F.size("term")))
+        rows = closed.select("id", "key", F.posexplode(F.arrays_zip("term", "next")).alias("at", "word")).select("word.term", "word.next", "id", "key", "at")
         # terms repeat: a larger dictionary keeps them as numbers, and delta encoding makes next to nothing of places in order
         rows.write.option("compression", "zstd").option("parquet.dictionary.page.size", 16 << 20).option("parquet.writer.version", "PARQUET_2_0").parquet(path)
     kind = docs.schema[id_col].dataType.simpleString()
-    return spark.read.schema(f"term string, id {kind}, key long, at int").parquet(path)
+    return spark.read.schema(f"term string, next string, id {kind}, key long, at int").parquet(path)
 
 
 def small(items: DataFrame, text_col: str) -> bool:
@@ -79,6 +81,13 @@ def at_places(index: DataFrame, wanted: DataFrame, broadcast: bool) -> DataFrame
     return wanted.alias("w").join(there.alias("t"), same("w", "t"), "left_semi")
 
 
+def led(index: DataFrame, windows: DataFrame, terms: list[str], broadcast: bool) -> DataFrame:
+    """(w, id, key, begin): where windows (w, offset, and the terms to look up) would begin, by the postings of those terms."""
+    asked = windows.select("w", "offset", *terms)
+    postings = index.where("term <> ''").select("id", "key", "at", *terms)
+    return postings.join(F.broadcast(asked) if broadcast else asked, terms).where("at >= offset").select("w", "id", "key", (F.col("at") - F.col("offset")).alias("begin"))
+
+
 def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, key, item, begin, end: the places of all documents of an index where a window of an item stands, as word positions from begin (0 is the first) to before end.
 
@@ -89,13 +98,19 @@ def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, item_col
     windows = windows_of(items, item_col, item_text_col, width)
     phrases = materialise(windows.select("phrase").distinct().withColumn("w", F.monotonically_increasing_id()), "phrases")
     by = ranked(phrases, index, broadcast)
-    first = by.select("w", F.col("by")[0]["term"].alias("term"), F.col("by")[0]["offset"].alias("offset"))
-    found = index.where("term <> ''").join(F.broadcast(first) if broadcast else first, "term").where("at >= offset").select("w", "id", "key", (F.col("at") - F.col("offset")).alias("begin"))
+    lead = F.coalesce(F.get(F.filter("by", lambda x: x["offset"] < F.size("by") - 1), F.lit(0)), F.get("by", F.lit(0)))
+    by = by.select("w", "by", lead.alias("lead"))
+    after = F.get(F.filter("by", lambda x: x["offset"] == F.col("lead.offset") + 1), F.lit(0))["term"]
+    by = by.select("w", "lead.term", after.alias("next"), "lead.offset", F.filter("by", lambda x: ~(x["offset"] - F.col("lead.offset")).isin(0, 1)).alias("others"))
+    found = led(index, by.where("next is not null"), ["term", "next"], broadcast)
+    alone = by.where("next is null")  # windows of one word
+    if not alone.isEmpty():
+        found = found.unionByName(led(index, alone, ["term"], broadcast))
     found = found.distinct()
-    for low, high in ((1, 1), (2, width - 2)):  # the second rarest term, then all others
-        if low + high > width:
+    for low, high in ((1, 1), (2, width - 3)):  # the next rarest term, then all others
+        if high < 1 or low > width - 2:
             continue
-        rest = by.select("w", F.slice("by", low + 1, high).alias("rest"))
+        rest = by.select("w", F.slice("others", low, high).alias("rest"))
         found = materialise(found.join(F.broadcast(rest) if broadcast else rest, "w"), "found")
         asked = found.select("w", "id", "key", "begin", F.inline("rest")).select("w", "id", "key", "begin", "term", (F.col("begin") + F.col("offset")).alias("at"))
         held = at_places(index, asked, broadcast).groupBy("w", "id", "key", "begin").agg(F.countDistinct("at").alias("held"))

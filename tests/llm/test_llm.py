@@ -487,6 +487,28 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert files == sorted(index.inputFiles())  # a second call reads what the first has written
 
 
+def test_windows_of_few_words(spark, monkeypatch):
+    """Texts of three words that repeat everywhere, windows of all sizes, on both paths, against every place of every window."""
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(25))) for _ in range(40)]
+    tests = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(25)] + ["a", "a a", "c b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(tests)), "item_id long, text string")
+    index = decontamination.build_index(docs, shared_path(spark, "test-index"))
+    for width, limit in ((1, 1 << 21), (2, 0), (3, 1 << 21), (4, 1 << 21), (10, 0), (10, 1 << 21)):
+        monkeypatch.setattr(decontamination, "BROADCAST_TEXT_BYTES", limit)
+        monkeypatch.setattr(decontamination, "BROADCAST_PLACES", limit)
+        want = set()
+        for i, x in enumerate(tests):
+            x = x.split()
+            for p in {tuple(x[s : s + width]) for s in range(max(len(x) - width + 1, 1))}:
+                want |= {(d, i, at, at + len(p)) for d, t in enumerate(texts) for at in range(len(t.split()) - len(p) + 1) if tuple(t.split()[at : at + len(p)]) == p}
+        got = [(r.id, r["item"], r.begin, r.end) for r in decontamination.phrase_matches(index, items, width).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_items_without_an_id_contaminate(spark, docs):
     items = spark.createDataFrame([(None, "lazy dog the quick")], "item_id long, text string")
     index = decontamination.build_index(docs, shared_path(spark, "test-index"))
