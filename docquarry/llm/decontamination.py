@@ -4,10 +4,11 @@ The index is a stored table of postings (term, next, id, key, at), a row for eac
 read: building it shuffles nothing, and every later set of test items is looked up in it without a look at the texts. A posting with an empty term closes each
 document and gives its number of words.
 
-Each window of an item is looked up by its rarest term, by the counts of all postings, among those that another term of the window follows, together with that
-term: a posting, shifted by the term's offset, says where the window would begin. The pair leaves few places by chance, so that the lists which are intersected grow
-with what items and documents share and not with how common words are. The list of these places is intersected with the next rarest term's postings at its own
-offset, and then with those of all other terms; a place at which every term of the window has its posting is a match.
+Each window of an item is a run of word pairs. It is looked up by its rarest pair, by the counts of all postings: a posting, shifted by the pair's offset, says where
+the window would begin. The list of these places is intersected with the postings of those other pairs that together hold all words, at their own offsets; a
+place at which each of them has its posting is a match. Pairs keep the lists short: they grow with what items and documents share, not with how common words are.
+
+Only what follows from the items is broadcast, after a check of their size; places and postings of the asked pairs meet in a shuffle.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import ascii_lower, exists, materialise, shared_path
 
 #: Everything below U+0080 that is no digit or lower-case letter separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many bytes of test texts, their terms are broadcast to the postings, and up to so many places are; beyond, postings and they meet in a shuffle.
-BROADCAST_TEXT_BYTES, BROADCAST_PLACES = 2 << 20, 400_000
+#: Up to so many bytes of test texts, what follows from them is broadcast; beyond, it meets postings in a shuffle.
+BROADCAST_TEXT_BYTES = 2 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -56,36 +57,23 @@ def small(items: DataFrame, text_col: str) -> bool:
     return (items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) <= BROADCAST_TEXT_BYTES
 
 
-def ranked(phrases: DataFrame, index: DataFrame, broadcast: bool) -> DataFrame:
-    """(w, by): for each (w, phrase), its (n, offset, term) from the rarest term on, by the counts of all postings. Those with a term that occurs nowhere are left out: they can't be found."""
-    wanted = phrases.select(F.explode("phrase").alias("term")).distinct()
-    counts = index.select("term").join(F.broadcast(wanted) if broadcast else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    terms = phrases.select("w", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term")).join(counts, "term")
-    by = terms.groupBy("w", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
-    return materialise(by.where(F.size("by") == F.col("size")).select("w", "by"), "ranked")
+def near(items: DataFrame, broadcast: bool) -> DataFrame:
+    """A table that follows from the items, marked for a broadcast if they are small."""
+    return F.broadcast(items) if broadcast else items
 
 
-def at_places(index: DataFrame, wanted: DataFrame, broadcast: bool) -> DataFrame:
-    """The rows of wanted (with id, key, term and at, among others) whose term has a posting there. Each place is looked up once, however many rows ask for it: broadcast where
-    places are few, else joined in a shuffle, to which only postings of the asked terms are sent."""
-    wanted = materialise(wanted, "asked")
-    places = materialise(wanted.select("id", "key", "at", "term").distinct(), "places")
-    near, postings = places, index
-    if places.count() <= BROADCAST_PLACES:
-        near = F.broadcast(places)
-    elif broadcast:
-        postings = index.join(F.broadcast(places.select("term").distinct()), "term", "left_semi")
-    i, p = postings.alias("i"), near.alias("p")
-    same = lambda x, y: (F.col(f"{x}.term") == F.col(f"{y}.term")) & (F.col(f"{x}.at") == F.col(f"{y}.at")) & (F.col(f"{x}.key") == F.col(f"{y}.key")) & F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id"))
-    there = materialise(i.join(p, same("i", "p"), "left_semi").distinct(), "there")
-    return wanted.alias("w").join(there.alias("t"), same("w", "t"), "left_semi")
+def ranked(parts: DataFrame, index: DataFrame, keys: list[str], broadcast: bool) -> DataFrame:
+    """(w, by): for each w of the parts (w, size, offset, keys), its (n, offset, keys) from the rarest on, by the counts of all postings. Those with a part that occurs nowhere are left out: they can't be found."""
+    wanted = parts.select(*keys).distinct()
+    counts = index.select(*keys).join(near(wanted, broadcast), keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    by = parts.join(counts, keys).groupBy("w", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", *keys))).alias("by"))
+    return materialise(by.where(F.size("by") == F.col("size")).select("w", "by"), "ranked")
 
 
-def led(index: DataFrame, windows: DataFrame, terms: list[str], broadcast: bool) -> DataFrame:
-    """(w, id, key, begin): where windows (w, offset, and the terms to look up) would begin, by the postings of those terms."""
-    asked = windows.select("w", "offset", *terms)
-    postings = index.where("term <> ''").select("id", "key", "at", *terms)
-    return postings.join(F.broadcast(asked) if broadcast else asked, terms).where("at >= offset").select("w", "id", "key", (F.col("at") - F.col("offset")).alias("begin"))
+def led(index: DataFrame, windows: DataFrame, keys: list[str], broadcast: bool) -> DataFrame:
+    """(w, id, key, begin): where windows (w, offset, keys) would begin, by the postings of their keys."""
+    postings = index.where("term <> ''").select("id", "key", "at", *keys)
+    return postings.join(near(windows.select("w", "offset", *keys), broadcast), keys).where("at >= offset").select("w", "id", "key", (F.col("at") - F.col("offset")).alias("begin"))
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -97,28 +85,25 @@ def phrase_matches(index: DataFrame, items: DataFrame, width: int = 10, item_col
     broadcast = small(items, item_text_col)
     windows = windows_of(items, item_col, item_text_col, width)
     phrases = materialise(windows.select("phrase").distinct().withColumn("w", F.monotonically_increasing_id()), "phrases")
-    by = ranked(phrases, index, broadcast)
-    lead = F.coalesce(F.get(F.filter("by", lambda x: x["offset"] < F.size("by") - 1), F.lit(0)), F.get("by", F.lit(0)))
-    by = by.select("w", "by", lead.alias("lead"))
-    after = F.get(F.filter("by", lambda x: x["offset"] == F.col("lead.offset") + 1), F.lit(0))["term"]
-    by = by.select("w", "lead.term", after.alias("next"), "lead.offset", F.filter("by", lambda x: ~(x["offset"] - F.col("lead.offset")).isin(0, 1)).alias("others"))
-    found = led(index, by.where("next is not null"), ["term", "next"], broadcast)
-    alone = by.where("next is null")  # windows of one word
+    pair = ["term", "next"]
+    pairs = phrases.select("w", (F.size("phrase") - 1).alias("size"), F.col("phrase").alias("term"), F.slice("phrase", F.lit(2), F.size("phrase")).alias("next"))
+    pairs = pairs.select("w", "size", F.posexplode(F.arrays_zip(*pair)).alias("offset", "pair")).select("w", "size", "offset", "pair.*").where("next is not null")
+    by = ranked(pairs, index, pair, broadcast).withColumn("lead", F.col("by")[0])
+    # every second pair and the last one hold all words of a window
+    others = F.filter("by", lambda x: ((x["offset"] % 2 == 0) | (x["offset"] == F.size("by") - 1)) & (x["offset"] != F.col("lead.offset")))
+    by = by.select("w", "lead.term", "lead.next", "lead.offset", others.alias("others"))
+    found = materialise(led(index, by, pair, broadcast).distinct().join(near(by.select("w", "others"), broadcast), "w"), "found")
+    asked = found.select("w", "id", "key", "begin", F.size("others").alias("size"), F.inline("others")).withColumn("at", F.col("begin") + F.col("offset"))
+    postings = index.join(near(by.select(F.inline("others")).select(*pair).distinct(), broadcast), pair, "left_semi")
+    a, i = asked.alias("a"), postings.alias("i")
+    same = [F.col(f"a.{c}") == F.col(f"i.{c}") for c in (*pair, "at", "key")] + [F.col("a.id").eqNullSafe(F.col("i.id"))]
+    held = a.join(i, same, "left_semi").groupBy("w", "id", "key", "begin", "size").agg(F.countDistinct("at").alias("held")).where("held = size")
+    found = held.select("w", "id", "key", "begin").unionByName(found.where(F.size("others") == 0).select("w", "id", "key", "begin"))
+    alone = phrases.where(F.size("phrase") == 1).select("w", F.col("phrase")[0].alias("term"), F.lit(0).alias("offset"))
     if not alone.isEmpty():
-        found = found.unionByName(led(index, alone, ["term"], broadcast))
-    found = found.distinct()
-    for low, high in ((1, 1), (2, width - 3)):  # the next rarest term, then all others
-        if high < 1 or low > width - 2:
-            continue
-        rest = by.select("w", F.slice("others", low, high).alias("rest"))
-        found = materialise(found.join(F.broadcast(rest) if broadcast else rest, "w"), "found")
-        asked = found.select("w", "id", "key", "begin", F.inline("rest")).select("w", "id", "key", "begin", "term", (F.col("begin") + F.col("offset")).alias("at"))
-        held = at_places(index, asked, broadcast).groupBy("w", "id", "key", "begin").agg(F.countDistinct("at").alias("held"))
-        full = found.where(F.size("rest") > 0).select("w", F.size("rest").alias("size")).distinct()
-        held = held.join(F.broadcast(full) if broadcast else full, "w").where(F.col("held") == F.col("size"))
-        found = held.select("w", "id", "key", "begin").unionByName(found.where(F.size("rest") == 0).select("w", "id", "key", "begin"))
+        found = found.unionByName(led(index, alone, ["term"], broadcast).distinct())
     named = windows.join(phrases, "phrase").select("w", "item", F.size("phrase").alias("size")).distinct()
-    return found.join(F.broadcast(named) if broadcast else named, "w").select("id", "key", "item", "begin", (F.col("begin") + F.col("size")).alias("end"))
+    return found.join(near(named, broadcast), "w").select("id", "key", "item", "begin", (F.col("begin") + F.col("size")).alias("end"))
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, span: int, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -129,13 +114,13 @@ def proximity_matches(index: DataFrame, items: DataFrame, span: int, item_col: s
     broadcast = small(items, item_text_col)
     words = items.select(F.col(item_col).alias("item"), F.array_sort(F.array_distinct(words_of(F.col(item_text_col)))).alias("phrase")).where(F.size("phrase") > 0).distinct()
     phrases = materialise(words.select("phrase").distinct().withColumn("w", F.monotonically_increasing_id()), "phrases")
-    by = ranked(phrases, index, broadcast)
+    terms = phrases.select("w", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term"))
+    by = ranked(terms, index, ["term"], broadcast)
     first = by.select("w", F.col("by")[0]["term"].alias("term"), F.slice("by", 2, F.greatest(F.size("by") - 1, F.lit(1))).alias("rest"))
-    found = index.where("term <> ''").join(F.broadcast(first) if broadcast else first, "term").select("w", "id", "key", "at", "rest")
+    found = index.where("term <> ''").join(near(first, broadcast), "term").select("w", "id", "key", "at", "rest")
     found = materialise(found, "found")
-    asked = materialise(found.select("w", "id", "key", "at", F.size("rest").alias("size"), F.inline("rest")).select("w", "id", "key", F.col("at").alias("place"), "size", "term"), "places")
-    near = F.broadcast(asked) if asked.count() <= BROADCAST_PLACES else asked
-    i, p = index.alias("i"), near.alias("p")
+    asked = found.select("w", "id", "key", "at", F.size("rest").alias("size"), F.inline("rest")).select("w", "id", "key", F.col("at").alias("place"), "size", "term")
+    i, p = index.join(near(first.select(F.inline("rest")).select("term").distinct(), broadcast), "term", "left_semi").alias("i"), asked.alias("p")
     met = (F.col("i.term") == F.col("p.term")) & (F.col("i.key") == F.col("p.key")) & F.col("i.id").eqNullSafe(F.col("p.id")) & (F.abs(F.col("i.at") - F.col("p.place")) < span)
     held = i.join(p, met).select("p.*").groupBy("w", "id", "key", "place", "size").agg(F.countDistinct("term").alias("held")).where("held = size")
     alone = found.where(F.size("rest") == 0).select("w", "id", "key", "at")

@@ -473,7 +473,6 @@ def test_decontamination(spark, docs, none, monkeypatch):
     index = decontamination.build_index(docs, path)
     for limit in (1 << 21, 0):
         monkeypatch.setattr(decontamination, "BROADCAST_TEXT_BYTES", limit)
-        monkeypatch.setattr(decontamination, "BROADCAST_PLACES", limit)
         got = decontamination.hits(index, decontamination.phrase_matches(index, items)).collect()
         assert {(r.doc_id, str(r.n_words), str(r.n_hit), str(r["items"])) for r in got} == want
         left = {r.doc_id for r in decontamination.decontaminate(docs.withColumn("key", F.lit(1)).withColumn("w", F.lit(2)), items, index_path=path).collect()}
@@ -499,7 +498,6 @@ def test_windows_of_few_words(spark, monkeypatch):
     index = decontamination.build_index(docs, shared_path(spark, "test-index"))
     for width, limit in ((1, 1 << 21), (2, 0), (3, 1 << 21), (4, 1 << 21), (10, 0), (10, 1 << 21)):
         monkeypatch.setattr(decontamination, "BROADCAST_TEXT_BYTES", limit)
-        monkeypatch.setattr(decontamination, "BROADCAST_PLACES", limit)
         want = set()
         for i, x in enumerate(tests):
             x = x.split()
