@@ -12,7 +12,7 @@ from .engine import Engine
 from .functions import text as t
 from .models import plain_pages
 from .operators import catalog, feeds
-from .schemas import DEVICES
+from .schemas import DEVICE_COLUMNS, DEVICES
 from .sources import answers, files, sinks
 
 log = logging.getLogger(__name__)
@@ -27,9 +27,9 @@ def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 def load_catalog(spark: SparkSession, path: str, root: str, version: int, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Merge a delimited catalogue file into the device table and write the result as its next version; returns the table, the rejected rows, and the number of rows written.
 
-    Of rows that repeat a key, the one with the greatest values wins, as a file's rows have no order across tasks."""
-    rows, odd = files.delimited(spark, path)
-    load = catalog.project(rows).withColumn("seq", F.lit(0))
+    Of rows that repeat a key, the last one of the file wins; of several files, that of the last one by name."""
+    rows, odd = files.delimited(spark, path, place="_place")
+    load = catalog.project(rows, DEVICE_COLUMNS | {"_place": "seq"})
     table, seen = observed(catalog.upsert(spark.createDataFrame([], DEVICES) if existing is None else existing, load), "devices")
     written = sinks.replace_version(table, root, version)
     log.info("%s rows of devices", seen.get["rows"])

@@ -463,13 +463,14 @@ SQL["file_listing"] = "SELECT n_name || '.txt' AS file_name, CAST(length(n_name)
 
 
 def job_catalog_load(spark, sf_dir):
-    """Two loads of parts as catalogue files, the second onto the first's version: names are replaced, rows counted."""
-    lines = lambda rows, name: rows.select(F.concat_ws("|", F.col("p_partkey").cast("string"), name, "p_brand", "p_type").alias("value"))
-    head = spark.createDataFrame([("PrimaryDI|brandName|companyName|catalogNumber",)], "value string")
+    """Two loads of parts as catalogue files, the second onto the first's version: names are replaced, rows counted. The second file has each part three times, the last of
+    them neither with the least nor with the greatest name."""
+    lines = lambda rows, *names: rows.select("p_partkey", "p_brand", "p_type", F.posexplode(F.array(*names)).alias("no", "name")).select("no", F.concat_ws("|", F.col("p_partkey").cast("string"), "name", "p_brand", "p_type").alias("value"))
+    head = spark.createDataFrame([(-1, "PrimaryDI|brandName|companyName|catalogNumber")], "no int, value string")
     parts, root, table, counts = read(spark, sf_dir, "part"), scratch(spark, "devices"), None, []
-    for version, made in enumerate((lines(parts.where("p_partkey % 3 <> 0"), F.col("p_name")), lines(parts.where("p_partkey % 2 = 0"), F.upper("p_name"))), 1):
+    for version, made in enumerate((lines(parts.where("p_partkey % 3 <> 0"), F.col("p_name")), lines(parts.where("p_partkey % 2 = 0"), F.lit("~"), F.lit("!"), F.upper("p_name"))), 1):
         path = scratch(spark, "catalog")
-        head.unionByName(made).coalesce(1).orderBy(F.col("value").startswith("Primary").desc()).write.text(path)
+        head.unionByName(made).coalesce(1).sortWithinPartitions("no").select("value").write.text(path)
         table, _, n = jobs.load_catalog(spark, path, root, version, table)
         counts.append(n)
     return table.select("primary_di", "brand_name", "company_name", F.lit(counts[0]).alias("first"), F.lit(counts[1]).alias("second"))

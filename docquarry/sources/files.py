@@ -106,30 +106,35 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(folder)
 
 
-def delimited(spark: SparkSession, path: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def delimited(spark: SparkSession, path: str, exact: bool = False, place: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of a pipe-delimited catalogue with a header, all columns text, and the rows that are too short or otherwise odd.
 
     The built-in reader gives empty fields as empty texts and can't tell them from missing ones; exact=True reads with Python's csv module, whose
     missing trailing fields are null, in one task a file, from any file system that Spark reads.
+
+    place: a further column of that name says where a row stands, as a struct (file, n) that grows from row to row of a file; a quoted field may hold line
+    ends, so a file is never split between tasks.
     """
     with_header = spark.read.option("sep", "|").option("quote", '"').option("escape", '"').option("multiLine", True).option("header", True)
     names = with_header.csv(path).columns
     if exact:
-        schema = ", ".join(f"`{c}` string" for c in [*names, "_odd"])
+        schema = ", ".join(f"`{c}` string" for c in [*names, "_odd"]) + ", _n long"
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for content in batch["content"]:
+                for file, content in zip(batch["path"], batch["content"]):
                     lines = csv.DictReader(io.StringIO(bytes(content).decode("utf-8"), newline=""), delimiter="|")
                     found = [(*(r.get(c) for c in names), "|".join([*(r[c] for c in names if r.get(c) is not None), *r.get(None, [])]) if None in r or None in r.values() else None) for r in lines]
-                    yield pd.DataFrame(found, columns=[*names, "_odd"], dtype=object)
+                    yield pd.DataFrame(found, columns=[*names, "_odd"], dtype=object).assign(_n=range(len(found)), _file=file)
 
-        rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-        return rows.select(*[F.col(f"`{c}`") for c in names]), rows.where(F.col("_odd").isNotNull())
+        rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema + ", _file string")
+        placed = [F.struct(F.col("_file").alias("file"), F.col("_n").alias("n")).alias(place)] if place else []
+        return rows.select(*[F.col(f"`{c}`") for c in names], *placed), rows.drop("_n", "_file").where(F.col("_odd").isNotNull())
     schema = ", ".join(f"`{c}` string" for c in [*names, "_odd"])
     # the reader gives an odd row's text only while columns are read, too, so it is kept beside them
     rows = with_header.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_odd").schema(schema).csv(path)
-    good = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
+    placed = [F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")).alias(place)] if place else []
+    good = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], *placed)
     return good, rows.where(F.col("_odd").isNotNull()).select(*[F.col(f"`{c}`") for c in names], "_odd")
 
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docquarry import jobs
 from docquarry.engine import Engine
 from docquarry.functions import text as t
 from docquarry.functions import vectors
@@ -131,6 +132,22 @@ def test_delimited(spark, tmp_path):
     assert catalog.project(rows).columns == ["primary_di", "brand_name", "company_name", "model_number", "catalog_number", "description"]
 
 
+def test_last_row_of_a_load_wins(spark, tmp_path):
+    """By the place in the file, whatever the values are; line ends in quotes don't shift it; rows without a key are all kept."""
+    head, n = "PrimaryDI|brandName|companyName|catalogNumber|x\n", 3000
+    body = "".join(f"{i % 1000}|{['zz', 'aa', 'mm'][i // 1000]}|\"two\nlines\"|{i}|\n" for i in range(n))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text(head + body, encoding="utf-8")
+    (tmp_path / "in" / "2.txt").write_text(head + "7|later|c|1|\n7|a|c|2|\n", encoding="utf-8")
+    table, odd, count = jobs.load_catalog(spark, str(tmp_path / "in"), str(tmp_path / "out"), 1)
+    found = {r.primary_di: (r.brand_name, r.catalog_number) for r in table.collect()}
+    assert found == {str(i): ("mm", str(2000 + i)) for i in range(1000)} | {"7": ("a", "2")} and count == 1000 and odd.collect() == []
+    for exact in (False, True):
+        rows, _ = files.delimited(spark, str(tmp_path / "in" / "1.txt"), exact=exact, place="at")
+        assert [int(r.catalogNumber) for r in rows.orderBy("at").collect()] == list(range(n))
+    assert "at" not in files.delimited(spark, str(tmp_path / "in"), exact=True)[0].columns
+
+
 def test_device_feed(spark):
     body = '{"search-result": {"device": [{"catalogNumber": "1", "brandName": null}, {"catalogNumber": ""}, {"catalogNumber": "3", "brandName": "b", "deviceDescription": "d"}, {"catalogNumber": "4"}]}}'
     rows = spark.createDataFrame([(body,), ("{}",)], "json string")
