@@ -12,8 +12,8 @@ from ..functions.jsonfilter import contains
 from ..session import scratch
 from .vector_index import VectorIndex
 
-#: Queries of a pack, about, and rows that are searched without an index.
-PACKED, TOGETHER = 2048, 50_000
+#: Queries of a pack, about, rows that are searched without an index, and distances that a task holds at once.
+PACKED, TOGETHER, DISTANCES = 2048, 50_000, 1 << 20
 
 
 def match(chunks: DataFrame, query, k: int | None = None, where: Any = None, vector: str = "embedding", metadata: str | None = "metadata", key: str = "id", inner: bool = False) -> DataFrame:
@@ -134,9 +134,12 @@ def _pack_search(group, k: int):
             if size != q_size or size < 0:
                 offer(q_ids, ids[mine], None)
                 continue
-            x, q = np.stack(batch["v"].to_numpy()[mine]), np.array([v for _, v in some])
-            length = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                offer(q_ids, ids[mine], np.round(1.0 - np.where(length == 0, np.nan, (x @ q.T) / length), 12) + 0.0)
+            x, step = np.stack(batch["v"].to_numpy()[mine]), max(1, DISTANCES // len(mine))
+            away = np.sqrt((x * x).sum(1))[:, None]
+            for part in (some[i : i + step] for i in range(0, len(some), step)):
+                q = np.array([v for _, v in part])
+                length = away * np.sqrt((q * q).sum(1))[None, :]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    offer([q_id for q_id, _ in part], ids[mine], np.round(1.0 - np.where(length == 0, np.nan, (x @ q.T) / length), 12) + 0.0)
     out = [pd.DataFrame({"q_id": q_id, "id": i, "distance": np.nan_to_num(d), "far": np.where(none, 2, np.isnan(d).astype(int))}) for q_id, (i, d, none) in best.items()]
     return pd.concat(out) if out else pd.DataFrame({"q_id": [], "id": [], "distance": [], "far": []})

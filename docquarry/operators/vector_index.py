@@ -5,11 +5,13 @@ these distances. Files are partitioned by list, so that a search reads the lists
 
 An approximate search scans the `probes` nearest lists of each query. An exact one takes the k-th best cost of these as a cutoff and then scans what the triangle inequality leaves: with D between query
 and centroid, no vector of a ring is nearer than D - far or near - D (cosine, on unit vectors); none has a product above that of the centroid plus far times the query's length (inner
-product). Lists are passed over as wholes first, then blocks; a query is sent to the blocks that are left, and a block to each pack of queries that asks for it.
+product). Lists are passed over as wholes first, then blocks. Queries go in packs of neighbours, each with a bit for every query and list that it asks for; a pack meets the blocks that are left in
+tiles of some BLOCK_BYTES, small lists together, and a tile gives each query's k best only, from COSTS costs at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +25,8 @@ from ..session import scratch
 
 #: Lists at most, and sampled vectors for each from which centroids are made on the driver; every vector is indexed.
 LISTS, SAMPLED = 1024, 32
-#: Bytes of a block, vectors that a task sorts, queries of a pack, about, and rounds of the clustering.
-BLOCK_BYTES, TASK_ROWS, PACKED, ROUNDS = 4 << 20, 200_000, 2048, 8
+#: Bytes of a block and of a pack's vectors, vectors that a task sorts, queries of a pack at most, costs that a task holds at once, and rounds of the clustering.
+BLOCK_BYTES, TASK_ROWS, PACKED, COSTS, ROUNDS = 4 << 20, 200_000, 8192, 1 << 20, 8
 #: Decimals of a cost: equal vectors tie. Bounds are slack by more than products are off.
 DECIMALS, SLACK = 12, 1e-9
 #: Lists that are scanned for the cutoff of an exact search.
@@ -35,11 +37,17 @@ def _length(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(-1))
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row."""
+    half, step = (centroids * centroids).sum(1) / 2, max(1, COSTS // len(centroids))
+    return np.concatenate([np.zeros(0, np.int64), *((x[i : i + step] @ centroids.T - half).argmax(1) for i in range(0, len(x), step))])
+
+
 def _centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """Means of a clustering of the sample, from rows that a fixed seed chooses."""
     found = sample[np.random.default_rng(7).choice(len(sample), lists, replace=False)].copy()
     for _ in range(ROUNDS):
-        nearest = (sample @ found.T - (found * found).sum(1) / 2).argmax(1)
+        nearest = _nearest(sample, found)
         order = np.argsort(nearest, kind="stable")
         have, begin = np.unique(nearest[order], return_index=True)
         sums = np.add.reduceat(sample[order], begin)
@@ -49,10 +57,10 @@ def _centroids(sample: np.ndarray, lists: int) -> np.ndarray:
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of an array<double> column as rows, zeros where there is none of this dimension; and which of them are whole and finite."""
-    out, good = np.zeros((len(column), dim)), np.zeros(len(column), bool)
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim and None not in v:
-            out[i], good[i] = v, True
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    out, found = np.zeros((len(column), dim)), column.filter(good)
+    good = good.to_numpy(zero_copy_only=False)
+    out[good] = found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), dim)  # a null is NaN here
     finite = np.isfinite(out).all(1)
     out[~finite] = 0
     return out, good & finite
@@ -104,11 +112,11 @@ class VectorIndex:
                 length = _length(x)
                 good &= (length > 0) | (not cosine)
                 u = x / np.where(length > 0, length, 1)[:, None] if cosine else x
-                own = (u @ centroids.T - (centroids * centroids).sum(1) / 2).argmax(1)
+                own = _nearest(u, centroids)
                 away = _length(u - centroids[own])
                 kept = x.astype("<f4" if single else "<f8")
                 columns = [batch.column(0), pa.array(np.where(good, own, -1).astype(np.int32)), pa.array(away), pa.array([r.tobytes() if g else None for r, g in zip(kept, good)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([None if v is None else len(v) for v in batch.column(1).to_pylist()], pa.int32())], names=["id", "list", "away", "body", "dim"])
+                yield pa.RecordBatch.from_arrays([*columns, pc.list_value_length(batch.column(1))], names=["id", "list", "away", "body", "dim"])
 
         kind = rows.schema["id"].dataType.simpleString()
         rows.mapInArrow(assign, f"id {kind}, list int, away double, body binary, dim int").write.parquet(f"{path}/assigned")
@@ -170,30 +178,88 @@ class VectorIndex:
         """(id, dim) of the rows that the index can't hold; dim is null for null vectors."""
         return self.spark.read.parquet(f"{self.path}/apart")
 
-    def asked(self, queries: DataFrame, probes: int, cutoffs: bool = False) -> DataFrame:
-        """(q_id, list, at, length, cutoff, q): for each query (q_id, v, and its cutoff), the lists to scan: the `probes` nearest, or with cutoffs all others that can hold a row within them.
+    def _takes(self, probes: int, cutoffs: bool):
+        """A function of queries and their limits, for tasks: it gives `at` of _bounds() and which lists each query scans."""
+        metric, centroids, radius, filled = self.metric, self.centroids, self.radius, self.rows > 0
+
+        def take(x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at, least = _bounds(metric, centroids, radius, x)
+            first = np.zeros(at.shape, bool)
+            if probes:
+                np.put_along_axis(first, np.argsort(np.where(filled, at, np.inf), 1, kind="stable")[:, :probes], True, 1)
+            return at, (~first & (least <= limit[:, None]) if cutoffs else first) & filled
 
-        Queries without a place in the index have none."""
-        metric, dim, centroids, radius, filled = self.metric, self.dim, self.centroids, self.radius, self.rows > 0
+        return take, max(1, COSTS // len(centroids))
+
+    def _placed(self, queries: DataFrame) -> DataFrame:
+        """(q_id, own, cutoff, q): queries (q_id, v, cutoff) with a place in the index, their nearest list and vector, of unit length by cosine."""
+        metric, dim, centroids = self.metric, self.dim, self.centroids
 
         def run(batches):
             for batch in batches:
                 x, good = _matrix(batch.column(1), dim)
                 length = _length(x)
                 good &= (length > 0) | (metric == "inner")
-                x = x / np.where(length > 0, length, 1)[:, None] if metric == "cosine" else x
-                at, least = _bounds(metric, centroids, radius, x)
-                at_first = np.zeros(at.shape, bool)
-                np.put_along_axis(at_first, np.argsort(np.where(filled, at, np.inf), 1, kind="stable")[:, :probes], True, 1)
-                limit = batch.column(2).to_numpy(zero_copy_only=False)
-                take = ~at_first & (least <= limit[:, None] + SLACK) if cutoffs else at_first
-                i, j = np.nonzero(take & good[:, None] & filled)
-                bodies = [r.tobytes() for r in x]
-                columns = [batch.column(0).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(at[i, j]), pa.array(length[i]), pa.array(limit[i]), pa.array([bodies[k] for k in i.tolist()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["q_id", "list", "at", "length", "cutoff", "q"])
+                x = (x / np.where(length > 0, length, 1)[:, None] if metric == "cosine" else x)[good]
+                some = pa.array(np.flatnonzero(good))
+                columns = [batch.column(0).take(some), pa.array(_nearest(x, centroids).astype(np.int32)), batch.column(2).take(some), pa.array([r.tobytes() for r in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["q_id", "own", "cutoff", "q"])
 
         kind = queries.schema["q_id"].dataType.simpleString()
-        return queries.select("q_id", "v", "cutoff").mapInArrow(run, f"q_id {kind}, list int, at double, length double, cutoff double, q binary")
+        return queries.select("q_id", "v", "cutoff").mapInArrow(run, f"q_id {kind}, own int, cutoff double, q binary")
+
+    def asked(self, queries: DataFrame, probes: int, cutoffs: bool = False) -> DataFrame:
+        """(pack, q_ids, cutoffs, q, lists): packs of queries (q_id, v, and its cutoff), neighbours together, with the lists to scan: the `probes` nearest of each query, or with cutoffs all others that can
+        hold a row within them. A list has a bit for each query of the pack, and from where to where the rings reach that hold rows for one of them.
+
+        Queries without a place in the index are in no pack, packs without a list are left out."""
+        dim, inner = self.dim, self.metric == "inner"
+        take, step = self._takes(probes, cutoffs)
+        most = max(1, min(PACKED, BLOCK_BYTES // max(1, 8 * dim)))
+
+        def made(parts):
+            t = pa.Table.from_batches(parts)
+            x = np.frombuffer(b"".join(t["q"].to_pylist()), np.float64).reshape(len(t), dim)
+            cutoff = t["cutoff"].to_numpy()
+            limit = cutoff + SLACK * np.maximum(1, np.abs(cutoff))
+            bits, low, high = [], np.inf, -np.inf
+            for i in range(0, len(x), step):
+                at, taken = take(x[i : i + step], limit[i : i + step])
+                some = limit[i : i + step, None]
+                if inner:
+                    length = _length(x[i : i + step])[:, None]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        least, greatest = np.where(length > 0, (at - some) / length, -np.inf), np.inf
+                else:
+                    reach = np.sqrt(2 * np.maximum(0, some))
+                    least, greatest = at - reach, at + reach
+                low, high = np.minimum(low, np.where(taken, least, np.inf).min(0)), np.maximum(high, np.where(taken, greatest, -np.inf).max(0))
+                bits.append(taken)
+            bits = np.concatenate(bits)
+            lists = [{"list": int(j), "mask": np.packbits(bits[:, j]).tobytes(), "low": float(low[j]) - SLACK, "high": float(high[j]) + SLACK} for j in np.flatnonzero(bits.any(0))]
+            if lists:
+                ids = pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t["q_id"].combine_chunks())
+                kind = pa.list_(pa.struct([("list", pa.int32()), ("mask", pa.binary()), ("low", pa.float64()), ("high", pa.float64())]))
+                columns = [pa.array([uuid.uuid4().hex]), ids, pa.array([cutoff.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([lists], kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["pack", "q_ids", "cutoffs", "q", "lists"])
+
+        def pack(batches):
+            waiting, n = [], 0
+            for batch in batches:
+                while batch.num_rows:
+                    part = batch.slice(0, most - n)
+                    batch, n = batch.slice(part.num_rows), n + part.num_rows
+                    waiting.append(part)
+                    if n == most:
+                        yield from made(waiting)
+                        waiting, n = [], 0
+            if waiting:
+                yield from made(waiting)
+
+        placed = self._kept(self._placed(queries), "placed")
+        dealt = placed.repartitionByRange(max(1, -(-placed.count() // most)), "own", "q_id").sortWithinPartitions("own", "q_id")
+        kind = placed.schema["q_id"].dataType.simpleString()
+        return dealt.mapInArrow(pack, f"pack string, q_ids array<{kind}>, cutoffs binary, q binary, lists array<struct<list int, mask binary, low double, high double>>")
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
         """The rows as a table in the shared folder."""
@@ -201,42 +267,71 @@ class VectorIndex:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def scan(self, asked: DataFrame, k: int, packs: int) -> DataFrame:
-        """(q_id, id, cost): the k best rows for each query of each block that its lists' rings leave."""
+    def scan(self, asked: DataFrame, k: int) -> DataFrame:
+        """(q_id, id, cost): for each query the k best rows of each tile, among those of the blocks that its lists' rings leave."""
         asked = self._kept(asked, "asked")
-        lists = [r[0] for r in asked.select("list").distinct().collect()]  # LISTS at most: other lists' files aren't opened
+        lists = [r[0] for r in asked.select(F.explode("lists.list")).distinct().collect()]  # LISTS at most: other lists' files aren't opened
         blocks = self.blocks_at(self.spark, self.path).where(F.col("list").isin(lists))
-        if self.metric == "inner":
-            able = -(F.col("length") * F.col("far") - F.col("at")) <= F.col("cutoff") + SLACK
-        else:
-            able = F.pow(F.greatest(F.lit(0.0), F.col("at") - F.col("far"), F.col("near") - F.col("at")), 2) / 2 <= F.col("cutoff") + SLACK
-        met = asked.join(blocks.select("list", "block", "near", "far"), "list").where(able)
-        met = met.select("q_id", "q", "block", F.pmod(F.xxhash64("q_id"), F.lit(packs)).cast("int").alias("pack"))
-        pairs = met.select(F.col("block").alias("of"), F.col("pack").alias("for_pack")).distinct()
-        bodies = blocks.select(F.col("block").alias("name"), "ids", "body").join(pairs, F.col("name") == F.col("of")).select("name", "for_pack", "ids", "body")
+        sizes = self.rows * max(1, self.dim) * 8
+        bundle = [None if n > BLOCK_BYTES else f"{i}" for n, i in zip(sizes, np.cumsum(np.where(sizes > BLOCK_BYTES, 0, sizes)) // BLOCK_BYTES)]
+        tile = F.coalesce(F.element_at(F.array(*[F.lit(x).cast("string") for x in bundle]), F.col("list") + 1), F.col("block")).alias("tile")
+        met = asked.select("pack", F.inline("lists")).join(blocks.select("list", "block", "near", "far"), "list").where("far >= low AND near <= high").select("pack", tile, "block", "mask")
+        packs = asked.select("pack", "q_ids", "cutoffs", "q").join(met.select("pack", "tile").distinct(), "pack")
+        bodies = blocks.select(F.col("block").alias("name"), "n", "ids", "body").join(met.select(F.col("pack").alias("of"), F.col("tile").alias("of_tile"), "block", "mask"), F.col("name") == F.col("block"))
+        bodies = bodies.select("of", "of_tile", "n", "ids", "body", "mask")
         dim, cosine = self.dim, self.metric == "cosine"
 
         def best(left: pa.Table, right: pa.Table) -> pa.Table:
-            ids = right["ids"].combine_chunks().flatten()
-            if not left.num_rows or not right.num_rows:
-                return pa.table({"q_id": left["q_id"].slice(0, 0), "id": ids.slice(0, 0), "cost": pa.array([], pa.float64())})
-            body = right["body"][0].as_py()
-            x = np.frombuffer(body, "<f4" if len(body) == 4 * dim * len(ids) else "<f8").reshape(-1, dim).astype(np.float64)
-            x = x / _length(x)[:, None] if cosine else x
-            cost = np.round((1.0 if cosine else 0.0) - np.frombuffer(b"".join(left["q"].to_pylist()), np.float64).reshape(-1, dim) @ x.T, DECIMALS) + 0.0  # no negative zeros
+            ids, q_ids = right["ids"].combine_chunks().flatten(), left["q_ids"].combine_chunks().flatten()
+            of, at, costs, held, begin = [], [], [], 0, 0
             place = np.empty(len(ids), np.int64)  # ties go to the lesser id
             place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-            of, at = [], []
-            for i, row in enumerate(cost):
-                some = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-                some = some[np.lexsort((place[some], row[some]))[:k]]
-                of.append(np.full(len(some), i))
-                at.append(some)
-            of, at = np.concatenate(of), np.concatenate(at)
-            return pa.table({"q_id": left["q_id"].take(pa.array(of)), "id": ids.take(pa.array(at)), "cost": pa.array(cost[of, at])})
-
-        kinds = asked.schema["q_id"].dataType.simpleString(), blocks.schema["ids"].dataType.elementType.simpleString()
-        return met.groupBy("block", "pack").cogroup(bodies.groupBy("name", "for_pack")).applyInArrow(best, f"q_id {kinds[0]}, id {kinds[1]}, cost double")
+            if left.num_rows and right.num_rows:
+                q = np.frombuffer(left["q"][0].as_py(), np.float64).reshape(len(q_ids), dim)
+                limit = np.frombuffer(left["cutoffs"][0].as_py(), np.float64)
+                limit = limit + SLACK * np.maximum(1, np.abs(limit))
+
+            def least() -> None:
+                """Keep the k best of what each query has; what comes must be as good."""
+                nonlocal of, at, costs, held
+                i, j, c = (np.concatenate(x) for x in (of, at, costs))
+                order = np.lexsort((place[j], c, i))
+                i, j, c = i[order], j[order], c[order]
+                starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+                rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+                last = rank == k - 1
+                limit[i[last]] = np.minimum(limit[i[last]], c[last] + SLACK * np.maximum(1, np.abs(c[last])))
+                of, at, costs = [i[rank < k]], [j[rank < k]], [c[rank < k]]
+                held = 0
+
+            for row in range(right.num_rows if left.num_rows else 0):
+                n, body = right["n"][row].as_py(), right["body"][row].as_py()
+                x = np.frombuffer(body, "<f4" if len(body) == 4 * dim * n else "<f8").reshape(n, dim).astype(np.float64)
+                x = x / _length(x)[:, None] if cosine else x
+                members = np.flatnonzero(np.unpackbits(np.frombuffer(right["mask"][row].as_py(), np.uint8), count=len(q_ids)))
+                step = max(1, COSTS // n)
+                for some in (members[i : i + step] for i in range(0, len(members), step)):
+                    cost = q[some] @ x.T
+                    np.subtract(1.0 if cosine else 0.0, cost, out=cost)
+                    most = limit[some]
+                    if n > k and np.isinf(most).any():
+                        kth = np.partition(cost, k - 1, 1)[:, k - 1]
+                        most = np.minimum(most, kth + SLACK * np.maximum(1, np.abs(kth)))
+                    i, j = np.nonzero(cost <= most[:, None])
+                    of.append(some[i])
+                    at.append(begin + j)
+                    costs.append(np.round(cost[i, j], DECIMALS) + 0.0)  # no negative zeros
+                    held += len(i)
+                    if held > COSTS:
+                        least()
+                begin += n
+            if of:
+                least()
+            i, j, c = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((of, np.int64), (at, np.int64), (costs, np.float64)))
+            return pa.table({"q_id": q_ids.take(pa.array(i)), "id": ids.take(pa.array(j)), "cost": pa.array(c)})
+
+        kinds = asked.schema["q_ids"].dataType.elementType.simpleString(), blocks.schema["ids"].dataType.elementType.simpleString()
+        return packs.groupBy("pack", "tile").cogroup(bodies.groupBy("of", "of_tile")).applyInArrow(best, f"q_id {kinds[0]}, id {kinds[1]}, cost double")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, query_key: str = "id", vector: str = "embedding") -> DataFrame:
         """(q_id, id, cost, rk): the k rows of least cost for each query, ties to the lesser id; a query without a place in the index has none, nor do rows that are apart.
@@ -244,23 +339,32 @@ class VectorIndex:
         probes: None for an exact search, else how many lists are scanned for each query. Query keys must be distinct and not null. Costs are rounded to DECIMALS.
         """
         asking = queries.select(F.col(query_key).alias("q_id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("cutoff"))
-        packs = max(1, -(-asking.count() // PACKED))
         order = Window.partitionBy("q_id").orderBy("cost", "id")
 
         def top(found: DataFrame) -> DataFrame:
             return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
 
-        first = top(self.scan(self.asked(asking, probes or FIRST_PROBES), k, packs))
+        first = top(self.scan(self.asked(asking, probes or FIRST_PROBES), k))
         if probes or FIRST_PROBES >= len(self.centroids):
             return first
         first = self._kept(first, "first-lists")
         cutoffs = first.groupBy("q_id").agg(F.max(F.when(F.col("rk") == k, F.col("cost"))).alias("c"))
         asking = asking.join(cutoffs, "q_id", "left").select("q_id", "v", F.coalesce("c", "cutoff").alias("cutoff"))
-        more = self.scan(self.asked(asking, FIRST_PROBES, cutoffs=True), k, packs)
-        return top(first.drop("rk").unionByName(more))
+        return top(self.scan(self.asked(asking, 0, cutoffs=True), k))  # the first lists again: a list near two bounds is neither left out nor scanned twice
 
     def reads(self, queries: DataFrame, probes: int, query_key: str = "id", vector: str = "embedding") -> DataFrame:
         """(q_id, lists, rows): how many lists and rows an approximate search reads for each query."""
         asking = queries.select(F.col(query_key).alias("q_id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("cutoff"))
-        size = F.element_at(F.array(*[F.lit(int(n)) for n in self.rows]), F.col("list") + 1)
-        return self.asked(asking, probes).groupBy("q_id").agg(F.count(F.lit(1)).alias("lists"), F.sum(size).alias("rows"))
+        (take, step), dim, held = self._takes(probes, False), self.dim, self.rows
+
+        def run(batches):
+            for batch in batches:
+                for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                    x = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(part.num_rows, dim)
+                    taken = take(x, part.column(2).to_numpy())[1]
+                    some = taken.any(1)
+                    columns = [part.column(0).filter(pa.array(some)), pa.array(taken.sum(1)[some]), pa.array((taken @ held)[some].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["q_id", "lists", "rows"])
+
+        placed = self._placed(asking)
+        return placed.mapInArrow(run, f"q_id {placed.schema['q_id'].dataType.simpleString()}, lists long, rows long")

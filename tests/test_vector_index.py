@@ -86,3 +86,27 @@ def test_recall(spark):
     index, asked = VectorIndex.build(frame, scratch(spark, "index"), "vec_id"), frame.where("vec_id % 10 = 0")
     exact, near = ({(r.q_id, r.id) for r in index.search(asked, 5, p, "vec_id").collect()} for p in (None, len(index.centroids) // 2))
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_queries_go_in_packs(spark, rows):
+    """Queries and lists don't multiply into rows: a pack holds its queries once, whatever it asks for."""
+    index = VectorIndex.build(rows, scratch(spark, "index"))
+    asking = rows.select(F.col("id").alias("q_id"), F.col("embedding").alias("v"), F.lit(float("inf")).alias("cutoff"))
+    packs = index.asked(asking, len(index.centroids)).collect()
+    assert len(packs) == 1 and len(packs[0].lists) > 10
+    assert sorted(packs[0].q_ids) == sorted(r.id for r in rows.where("id < 600 or id >= 710").collect())
+
+
+def test_distances_at_once():
+    """A pack against all rows of a group: not all distances are held together."""
+    import tracemalloc
+
+    import pandas as pd
+
+    v, asked = np.random.default_rng(1).random((4600, 3)), 1600
+    group = pd.DataFrame({"q_id": pd.array([*range(asked), *[None] * (len(v) - asked)], "Float64").to_numpy(float, na_value=np.nan), "id": np.arange(len(v)), "v": list(v)})
+    tracemalloc.start()
+    found = matching._pack_search(group, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2 * asked and peak < 48 << 20
