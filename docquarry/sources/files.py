@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..schemas import PAGES, PAGES_OR_ERRORS
 
 #: Names that a file audit reports.
 SUSPICIOUS = r"^(\.env|.*\.pem|id_rsa.*|.*\.key)$"
+#: A line of a delimited catalogue in which no quotation stays open.
+PLAIN_LINE = r'^(?:(?:"[^"]*+(?:""[^"]*+)*+"|(?!\s*+")[^|]*+)(?:\||\z))+\z'
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*", deep: bool = False) -> DataFrame:
@@ -106,34 +110,84 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(folder)
 
 
+def _shapes(spark: SparkSession, path: str) -> dict[str, tuple[bool, str]]:
+    """For each file of a delimited catalogue: whether its lines are its records, so that it can be split between tasks, and its first line.
+
+    A line counts as a record if its fields are closed quotations or don't begin with a quote, and it has no other line end than the file's."""
+    value = F.regexp_replace("value", r"\r\z", "")
+    plain = value.rlike(PLAIN_LINE) & ~value.contains("\r") & ((value == "") | (F.trim(value) != ""))
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("id", F.monotonically_increasing_id())
+    ends, n = F.count_if(F.col("value").endswith("\r")), F.count(F.lit(1))
+    made = lines.groupBy("file_path").agg((F.min(plain) & ((ends == 0) | (ends == n))).alias("plain"), F.min_by(value, F.struct("file_block_start", "id")).alias("head"))
+    return {r["file_path"]: (r["plain"], r["head"]) for r in made.collect()}  # a row for each file
+
+
 def delimited(spark: SparkSession, path: str, exact: bool = False, place: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of a pipe-delimited catalogue with a header, all columns text, and the rows that are too short or otherwise odd.
 
     The built-in reader gives empty fields as empty texts and can't tell them from missing ones; exact=True reads with Python's csv module, whose
-    missing trailing fields are null, in one task a file, from any file system that Spark reads.
+    missing trailing fields are null, from any file system that Spark reads.
 
-    place: a further column of that name says where a row stands, as a struct (file, n) that grows from row to row of a file; a quoted field may hold line
-    ends, so a file is never split between tasks.
+    place: a further column of that name says where a row stands, as a struct (file, block, n) that grows from row to row of a file. A quoted field may hold line
+    ends; a file with such a field, or one that may have it, is one task's, and with exact=True its bytes are held there. Other files are split between tasks and read line by line.
     """
     with_header = spark.read.option("sep", "|").option("quote", '"').option("escape", '"').option("multiLine", True).option("header", True)
     names = with_header.csv(path).columns
+    shapes = _shapes(spark, path)
+    whole = sorted(f for f, (plain, _) in shapes.items() if not plain)
     if exact:
-        schema = ", ".join(f"`{c}` string" for c in [*names, "_odd"]) + ", _n long"
+        heads = {f: next(csv.reader([head], delimiter="|"), []) for f, (plain, head) in shapes.items() if plain}
+        schema = ", ".join(f"`{c}` string" for c in [*names, "_odd"]) + ", _n long, _file string, _block long"
+        types = pa.schema([*((c, pa.string()) for c in [*names, "_odd"]), ("_n", pa.int64()), ("_file", pa.string()), ("_block", pa.int64())])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def record(head: list[str], fields: list[str]) -> tuple:
+            r, more = dict(zip(head, fields)), fields[len(head) :]
+            short = len(fields) < len(head)
+            return *(r.get(c) for c in names), "|".join([*(r[c] for c in names if r.get(c) is not None), *more]) if short or more else None
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], schema=types)
+
+        def by_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, n = None, 0
+            for batch in batches:
+                found = []
+                files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
+                for file, block, fields in zip(files, blocks, csv.reader(batch.column("value").to_pylist(), delimiter="|")):
+                    if at != (file, block):
+                        at, n = (file, block), 0
+                        if block == 0:  # the header
+                            continue
+                    if fields:
+                        found.append((*record(heads[file], fields), n, file, block))
+                        n += 1
+                if found:
+                    yield table(found)
+
+        def by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for file, content in zip(batch["path"], batch["content"]):
-                    lines = csv.DictReader(io.StringIO(bytes(content).decode("utf-8"), newline=""), delimiter="|")
-                    found = [(*(r.get(c) for c in names), "|".join([*(r[c] for c in names if r.get(c) is not None), *r.get(None, [])]) if None in r or None in r.values() else None) for r in lines]
-                    yield pd.DataFrame(found, columns=[*names, "_odd"], dtype=object).assign(_n=range(len(found)), _file=file)
-
-        rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema + ", _file string")
-        placed = [F.struct(F.col("_file").alias("file"), F.col("_n").alias("n")).alias(place)] if place else []
-        return rows.select(*[F.col(f"`{c}`") for c in names], *placed), rows.drop("_n", "_file").where(F.col("_odd").isNotNull())
+                for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+                    read = csv.reader(io.TextIOWrapper(io.BytesIO(content.as_py()), "utf-8", newline=""), delimiter="|")
+                    head = next(read, [])
+                    rows = (record(head, fields) for fields in read if fields)
+                    for begin in itertools.count(0, 10_000):
+                        found = [(*r, begin + i, file, 0) for i, r in enumerate(itertools.islice(rows, 10_000))]
+                        if not found:
+                            break
+                        yield table(found)
+
+        file = F.col("_metadata.file_path").alias("file")
+        lines = spark.read.option("lineSep", "\n").text(path).select(file, F.col("_metadata.file_block_start").alias("block"), "value")
+        rows = lines.where(~F.col("file").isin(whole)).mapInArrow(by_line, schema)
+        if whole:
+            rows = rows.unionByName(spark.read.format("binaryFile").load(path).select(file, "content").where(F.col("file").isin(whole)).mapInArrow(by_file, schema))
+        placed = [F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_n").alias("n")).alias(place)] if place else []
+        return rows.select(*[F.col(f"`{c}`") for c in names], *placed), rows.drop("_n", "_file", "_block").where(F.col("_odd").isNotNull())
     schema = ", ".join(f"`{c}` string" for c in [*names, "_odd"])
     # the reader gives an odd row's text only while columns are read, too, so it is kept beside them
-    rows = with_header.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_odd").schema(schema).csv(path)
-    placed = [F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")).alias(place)] if place else []
+    # without pruning it sees all of a row, as it does by itself where rows may hold line ends
+    rows = with_header.option("multiLine", bool(whole)).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_odd").schema(schema).csv(path)
+    placed = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias(place)] if place else []
     good = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], *placed)
     return good, rows.where(F.col("_odd").isNotNull()).select(*[F.col(f"`{c}`") for c in names], "_odd")
 

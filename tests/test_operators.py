@@ -310,3 +310,35 @@ def test_tables(spark, tmp_path):
     assert schemas.readable(spark.table("chunks"), F.lit(True)).count() == 0
     assert sinks.replace_version(spark.range(3), str(tmp_path / "v"), 1).endswith("version=1")
     assert sinks.json_array(spark.createDataFrame([(2, "b"), (1, "a")], "o int, x string"), "o").first()[0] == '[{"o":1,"x":"a"},{"o":2,"x":"b"}]'
+
+
+def test_delimited_is_split_between_tasks(spark, tmp_path):
+    """Files whose lines are records go to many tasks, one with a line end in a quotation to one; rows, odd rows and order are those of Python's csv module, the headers differ from file to file."""
+    import csv
+    import io
+
+    bodies = {
+        "1.txt": "b|a|c\n" + "".join(f'n{i}|{i}|"x|""{i}"\n' if i % 10 else f"{i}\n" for i in range(4000)), "2.txt": "a|b|c\r\n" + "".join(f'{i}|5" n|c|d\r\n' if i % 7 == 0 else f"{i}||\r\n\r\n" for i in range(5000, 5100)),
+        "3.txt": 'a|b|c\n6000|"two\nlines"|c\n6001|x\n',
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body.encode())
+    want, odd_rows = [], 0
+    for body in bodies.values():
+        for r in csv.DictReader(io.StringIO(body, newline=""), delimiter="|"):
+            want.append((r["a"], r["b"], r["c"]))
+            odd_rows += None in r or None in r.values()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows, odd = files.delimited(spark, str(tmp_path), exact=True, place="at")
+        assert [(r.a, r.b, r.c) for r in rows.orderBy("at").collect()] == want and odd.count() == odd_rows
+        one, two = tmp_path / "1.txt", tmp_path / "3.txt"
+        for exact in (False, True):
+            rows, odd = files.delimited(spark, str(one), exact=exact, place="at")
+            assert rows.rdd.getNumPartitions() > 4 and len(odd.collect()) == 400
+            assert odd.agg(F.count("b")).first()[0] == 400  # of one column, too
+            assert [r.a or r.b for r in rows.orderBy("at").collect()] == [str(i) for i in range(4000)]
+            assert files.delimited(spark, str(two), exact=exact)[0].where("a = '6000'").first()["b"] == "two\nlines"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
