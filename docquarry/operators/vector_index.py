@@ -25,8 +25,8 @@ from ..session import scratch
 
 #: Lists at most, and sampled vectors for each from which centroids are made on the driver; every vector is indexed.
 LISTS, SAMPLED = 1024, 32
-#: Bytes of a block and of a pack's vectors, vectors that a task sorts, queries of a pack at most, costs that a task holds at once, and rounds of the clustering.
-BLOCK_BYTES, TASK_ROWS, PACKED, COSTS, ROUNDS = 4 << 20, 200_000, 8192, 1 << 20, 8
+#: Bytes of a block and of a pack's vectors, vectors that a task sorts, queries of a pack at most, costs (or numbers of vectors that come in) that a task takes at once, and rounds of the clustering.
+BLOCK_BYTES, TASK_ROWS, PACKED, COSTS, ROUNDS = 4 << 20, 200_000, 8192, 1 << 17, 8
 #: Decimals of a cost: equal vectors tie. Bounds are slack by more than products are off.
 DECIMALS, SLACK = 12, 1e-9
 #: Lists that are scanned for the cutoff of an exact search.
@@ -66,6 +66,13 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, good & finite
 
 
+def _parts(batches, dim: int):
+    """The batches in parts of COSTS numbers at most: what is made of a part doesn't grow with the batch."""
+    step = max(1, COSTS // max(1, dim))
+    for batch in batches:
+        yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
 def _bounds(metric: str, centroids: np.ndarray, radius: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each query and list: what orders the lists (the distance or negative product of the centroid), and the least cost that a vector of the list can have."""
     product = x @ centroids.T
@@ -107,7 +114,7 @@ class VectorIndex:
         centroids = _centroids(x, min(lists, len(x))) if len(x) else np.zeros((1, dim))
 
         def assign(batches):
-            for batch in batches:
+            for batch in _parts(batches, dim):
                 x, good = _matrix(batch.column(1), dim)
                 length = _length(x)
                 good &= (length > 0) | (not cosine)
@@ -189,14 +196,14 @@ class VectorIndex:
                 np.put_along_axis(first, np.argsort(np.where(filled, at, np.inf), 1, kind="stable")[:, :probes], True, 1)
             return at, (~first & (least <= limit[:, None]) if cutoffs else first) & filled
 
-        return take, max(1, COSTS // len(centroids))
+        return take, max(8, COSTS // max(len(centroids), self.dim) // 8 * 8)  # eights: their bits fill bytes
 
     def _placed(self, queries: DataFrame) -> DataFrame:
         """(q_id, own, cutoff, q): queries (q_id, v, cutoff) with a place in the index, their nearest list and vector, of unit length by cosine."""
         metric, dim, centroids = self.metric, self.dim, self.centroids
 
         def run(batches):
-            for batch in batches:
+            for batch in _parts(batches, dim):
                 x, good = _matrix(batch.column(1), dim)
                 length = _length(x)
                 good &= (length > 0) | (metric == "inner")
@@ -219,7 +226,8 @@ class VectorIndex:
 
         def made(parts):
             t = pa.Table.from_batches(parts)
-            x = np.frombuffer(b"".join(t["q"].to_pylist()), np.float64).reshape(len(t), dim)
+            q = b"".join(t["q"].to_pylist())
+            x = np.frombuffer(q, np.float64).reshape(len(t), dim)
             cutoff = t["cutoff"].to_numpy()
             limit = cutoff + SLACK * np.maximum(1, np.abs(cutoff))
             bits, low, high = [], np.inf, -np.inf
@@ -234,13 +242,13 @@ class VectorIndex:
                     reach = np.sqrt(2 * np.maximum(0, some))
                     least, greatest = at - reach, at + reach
                 low, high = np.minimum(low, np.where(taken, least, np.inf).min(0)), np.maximum(high, np.where(taken, greatest, -np.inf).max(0))
-                bits.append(taken)
+                bits.append(np.packbits(taken, axis=0))
             bits = np.concatenate(bits)
-            lists = [{"list": int(j), "mask": np.packbits(bits[:, j]).tobytes(), "low": float(low[j]) - SLACK, "high": float(high[j]) + SLACK} for j in np.flatnonzero(bits.any(0))]
+            lists = [{"list": int(j), "mask": bits[:, j].tobytes(), "low": float(low[j]) - SLACK, "high": float(high[j]) + SLACK} for j in np.flatnonzero(bits.any(0))]
             if lists:
                 ids = pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t["q_id"].combine_chunks())
                 kind = pa.list_(pa.struct([("list", pa.int32()), ("mask", pa.binary()), ("low", pa.float64()), ("high", pa.float64())]))
-                columns = [pa.array([uuid.uuid4().hex]), ids, pa.array([cutoff.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([lists], kind)]
+                columns = [pa.array([uuid.uuid4().hex]), ids, pa.array([cutoff.tobytes()], pa.binary()), pa.array([q], pa.binary()), pa.array([lists], kind)]
                 yield pa.RecordBatch.from_arrays(columns, names=["pack", "q_ids", "cutoffs", "q", "lists"])
 
         def pack(batches):
@@ -283,7 +291,7 @@ class VectorIndex:
 
         def best(left: pa.Table, right: pa.Table) -> pa.Table:
             ids, q_ids = right["ids"].combine_chunks().flatten(), left["q_ids"].combine_chunks().flatten()
-            of, at, costs, held, begin = [], [], [], 0, 0
+            of, at, costs, held, kept, begin = [], [], [], 0, 0, 0
             place = np.empty(len(ids), np.int64)  # ties go to the lesser id
             place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
             if left.num_rows and right.num_rows:
@@ -293,7 +301,7 @@ class VectorIndex:
 
             def least() -> None:
                 """Keep the k best of what each query has; what comes must be as good."""
-                nonlocal of, at, costs, held
+                nonlocal of, at, costs, held, kept
                 i, j, c = (np.concatenate(x) for x in (of, at, costs))
                 order = np.lexsort((place[j], c, i))
                 i, j, c = i[order], j[order], c[order]
@@ -302,12 +310,13 @@ class VectorIndex:
                 last = rank == k - 1
                 limit[i[last]] = np.minimum(limit[i[last]], c[last] + SLACK * np.maximum(1, np.abs(c[last])))
                 of, at, costs = [i[rank < k]], [j[rank < k]], [c[rank < k]]
-                held = 0
+                held, kept = 0, len(of[0])
 
             for row in range(right.num_rows if left.num_rows else 0):
                 n, body = right["n"][row].as_py(), right["body"][row].as_py()
                 x = np.frombuffer(body, "<f4" if len(body) == 4 * dim * n else "<f8").reshape(n, dim).astype(np.float64)
-                x = x / _length(x)[:, None] if cosine else x
+                if cosine:
+                    x /= _length(x)[:, None]
                 members = np.flatnonzero(np.unpackbits(np.frombuffer(right["mask"][row].as_py(), np.uint8), count=len(q_ids)))
                 step = max(1, COSTS // n)
                 for some in (members[i : i + step] for i in range(0, len(members), step)):
@@ -322,7 +331,7 @@ class VectorIndex:
                     at.append(begin + j)
                     costs.append(np.round(cost[i, j], DECIMALS) + 0.0)  # no negative zeros
                     held += len(i)
-                    if held > COSTS:
+                    if held > max(COSTS, kept):
                         least()
                 begin += n
             if of:

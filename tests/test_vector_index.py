@@ -110,3 +110,48 @@ def test_distances_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 2 * asked and peak < 48 << 20
+
+
+def test_numbers_at_once(spark, monkeypatch):
+    """What tasks hold beside their input doesn't grow with a batch, nor with a pack of queries times a tile, also where all rows tie."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    tasks, mapped, cogrouped = [], DataFrame.mapInArrow, PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a: (tasks.append(f), mapped(self, f, *a))[1])
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, *a: (tasks.append(f), cogrouped(self, f, *a))[1])
+    dim, n, asked = 16, 40_000, 4096
+    data = spark.createDataFrame([(i, [float(i == d) + 0.1 for d in range(dim)]) for i in range(dim)], "id long, embedding array<double>")
+    index = VectorIndex.build(data, scratch(spark, "index"), lists=4)
+    asking = data.select(F.col("id").alias("q_id"), F.col("embedding").alias("v"), F.lit(float("inf")).alias("cutoff"))
+    index.scan(index.asked(asking, 1), 5)
+    assign, _, placed, packed, best = tasks
+
+    def peak(run):
+        run()  # imports and the like
+        tracemalloc.start()
+        found = run()
+        most = tracemalloc.get_traced_memory()[1] / (1 << 20)
+        tracemalloc.stop()
+        return found, most
+
+    v = np.random.default_rng(2).random((n, dim))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(v.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), flat, pa.array(np.full(n, np.inf))], names=["id", "v", "cutoff"])
+    for task in (assign, placed):
+        rows, most = peak(lambda: sum(b.num_rows for b in task(iter([batch]))))  # noqa: B023
+        assert rows == n and most < 8, (task.__name__, most)
+
+    one = np.tile(np.ones(dim) / np.sqrt(dim), (asked, 1))
+    queries = pa.table({"q_id": np.arange(asked), "own": pa.array(np.zeros(asked), pa.int32()), "cutoff": np.full(asked, np.inf), "q": pa.array([r.tobytes() for r in one], pa.binary())})
+    (pack,), most = peak(lambda: list(packed(iter(queries.to_batches()))))
+    assert len(pack["lists"][0]) == 1 and len(pack["lists"][0][0]["mask"].as_py()) == asked // 8 and most < 16, most
+    left = pa.Table.from_batches([pack])
+    ids = pa.ListArray.from_arrays(pa.array([0, asked], pa.int32()), pa.array(np.arange(asked)[::-1]))
+    right = pa.table({"n": [asked], "ids": ids, "body": pa.array([one.tobytes()], pa.binary()), "mask": pack["lists"].values.field("mask")})
+    found, most = peak(lambda: best(left, right))
+    assert sorted(zip(found["q_id"].to_pylist(), found["id"].to_pylist())) == [(q, i) for q in range(asked) for i in range(5)]
+    assert most < 48, most
