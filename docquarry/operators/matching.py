@@ -49,9 +49,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
 
     Distances count to twelve decimals, so that equal vectors tie. Rows at no distance (a null vector on either side, another dimension) come last, vectors of
     length zero before them. Up to TOGETHER rows meet packs of PACKED queries, about, in one task each. More rows are indexed, and only the blocks that can hold one of a query's k nearest
-    are sent to meet it.
+    are read to meet it.
     """
-    wanted = queries.select(F.col(query_key).cast("long").alias("q_id"), F.col(vector).cast("array<double>").alias("v"))
+    wanted = queries.select(F.col(query_key).cast("long").alias("q_id"), _numbers(queries, vector).alias("v"))
     few = chunks.limit(TOGETHER + 1).count() <= TOGETHER
     found = _together(chunks, wanted, k, vector, key) if few else _indexed(chunks, wanted, k, vector, key)
     order = Window.partitionBy("q_id").orderBy("far", "distance", "id")
@@ -59,21 +59,26 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
     return found.withColumn("rk", F.row_number().over(order).cast("long")).where(F.col("rk") <= k).select("q_id", F.col("id").alias(key), distance.alias("distance"), "rk")
 
 
+def _numbers(rows: DataFrame, vector: str) -> Column:
+    """Vectors of 32-bit numbers as they are, which makes what is stored half as long; others of 64 bits."""
+    return F.col(vector) if rows.schema[vector].dataType.simpleString() == "array<float>" else vectors.doubles(F.col(vector))
+
+
 def _together(chunks: DataFrame, wanted: DataFrame, k: int, vector: str, key: str) -> DataFrame:
     """(q_id, id, distance, far) of few rows: all of them go to each pack of queries."""
     packs = max(1, -(-wanted.count() // PACKED))
     rows = chunks.select(F.lit(None).cast("long").alias("q_id"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    asked = wanted.select("q_id", F.lit(None).cast("long").alias("id"), "v", F.pmod(F.xxhash64("q_id"), F.lit(packs)).cast("int").alias("pack"))
+    asked = wanted.select("q_id", F.lit(None).cast("long").alias("id"), vectors.doubles(F.col("v")).alias("v"), F.pmod(F.xxhash64("q_id"), F.lit(packs)).cast("int").alias("pack"))
     return asked.unionByName(rows).groupBy("pack").applyInPandas(lambda group: _pack_search(group, k), "q_id long, id long, distance double, far int")
 
 
 def _indexed(chunks: DataFrame, wanted: DataFrame, k: int, vector: str, key: str) -> DataFrame:
     """(q_id, id, distance, far) by an index for each dimension that rows and queries share; a query with fewer than k rows at a distance gets the first ones of the others."""
     spark = chunks.sparkSession
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    length = F.aggregate(vectors.doubles(F.col("v")), F.lit(0.0), lambda a, x: a + x * x)
     kind = lambda df: df.withColumns({"dim": F.when(F.col("v").isNotNull(), F.size("v")), "flat": F.coalesce((length == 0) | F.isnan(length) | (length == F.lit(float("inf"))), F.lit(True))})
-    rows = kind(chunks.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")))
+    rows = kind(chunks.select(F.col(key).cast("long").alias("id"), _numbers(chunks, vector).alias("v")))
     asked = kind(wanted)
     dims = rows.where("not flat").select("dim").distinct().join(asked.where("not flat").select("dim").distinct(), "dim").collect()  # the models' dimensions
     found = spark.createDataFrame([], "q_id long, id long, distance double, far int")

@@ -3,10 +3,11 @@
 Vectors are dealt to lists by their nearest centroid. A list is stored in the order of distance from its centroid, in blocks of BLOCK_BYTES, each with its ring: the least and the greatest of
 these distances. Files are partitioned by list, so that a search reads the lists that it asks for and no others.
 
-An approximate search scans the `probes` nearest lists of each query. An exact one takes the k-th best cost of these as a cutoff and then scans what the triangle inequality leaves: with D between query
-and centroid, no vector of a ring is nearer than D - far or near - D (cosine, on unit vectors); none has a product above that of the centroid plus far times the query's length (inner
-product). Lists are passed over as wholes first, then blocks. Queries go in packs of neighbours, each with a bit for every query and list that it asks for; a pack meets the blocks that are left in
-tiles of some BLOCK_BYTES, small lists together, and a tile gives each query's k best only, from COSTS costs at a time.
+An approximate search scans the `probes` nearest lists of each query. An exact one takes the k-th best cost of the nearest list as a cutoff and then scans what the triangle inequality leaves: with D
+between query and centroid, no vector of a ring is nearer than D - far or near - D (cosine, on unit vectors); none has a product above that of the centroid plus far times the query's length (inner
+product). Lists are passed over as wholes first, then blocks. Queries go in packs of neighbours, each with a bit for every query and list that it asks for. Only the packs are shuffled: a task takes one
+and reads the lists' files from the shared folder, block by block, so packs meet blocks without a copy of either for each meeting. Cutoffs fall as it goes, and it gives each query's k best only, from
+COSTS costs at a time. Where there are fewer packs than tasks that can run, a pack goes to several, with a share of the lists for each.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import scratch
 
@@ -29,8 +32,6 @@ LISTS, SAMPLED = 1024, 32
 BLOCK_BYTES, TASK_ROWS, PACKED, COSTS, ROUNDS = 4 << 20, 200_000, 8192, 1 << 17, 8
 #: Decimals of a cost: equal vectors tie. Bounds are slack by more than products are off.
 DECIMALS, SLACK = 12, 1e-9
-#: Lists that are scanned for the cutoff of an exact search.
-FIRST_PROBES = 2
 
 
 def _length(x: np.ndarray) -> np.ndarray:
@@ -73,6 +74,27 @@ def _parts(batches, dim: int):
         yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
 
 
+def _floats(body: bytes, n: int, dim: int) -> np.ndarray:
+    """n vectors that are stored as bytes of 32-bit or 64-bit numbers."""
+    return np.frombuffer(body, "<f4" if len(body) == 4 * dim * n else "<f8").reshape(n, dim).astype(np.float64)
+
+
+def _queries(body: bytes, n: int, dim: int, cosine: bool) -> np.ndarray:
+    """n queries as they are compared. Those in 32-bit numbers are stored as they came, the others by cosine with unit length."""
+    x = _floats(body, n, dim)
+    return x / _length(x)[:, None] if cosine and len(body) == 4 * dim * n else x
+
+
+def _slack(limit: np.ndarray) -> np.ndarray:
+    return limit + SLACK * np.maximum(1, np.abs(limit))
+
+
+def _stored(system, name: str):
+    """The blocks of a file, one after another."""
+    with system.open_input_file(name) as f:
+        yield from pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(1, columns=["near", "far", "n", "ids", "body"], use_threads=False)
+
+
 def _bounds(metric: str, centroids: np.ndarray, radius: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each query and list: what orders the lists (the distance or negative product of the centroid), and the least cost that a vector of the list can have."""
     product = x @ centroids.T
@@ -162,7 +184,7 @@ class VectorIndex:
 
         dealt = assigned.where("list >= 0").select("id", "list", "away", "body").repartitionByRange(max(1, -(-n // TASK_ROWS)), "list", "away", "id").sortWithinPartitions("list", "away", "id")
         blocks = dealt.mapInArrow(pack, f"list int, near double, far double, n long, ids array<{kind}>, body binary").withColumn("block", F.uuid())
-        blocks.write.partitionBy("list").parquet(f"{path}/blocks")
+        blocks.write.option("parquet.page.row.count.limit", 1).partitionBy("list").parquet(f"{path}/blocks")  # tasks read them block by block
         made = cls.blocks_at(spark, path).groupBy("list").agg(F.sum("n").alias("rows"), F.max("far").alias("radius"))
         held = {r["list"]: r for r in made.collect()}  # LISTS at most
         lists_table = [(i, c.tolist(), held[i]["radius"] if i in held else 0.0, held[i]["rows"] if i in held else 0, metric) for i, c in enumerate(centroids)]
@@ -199,17 +221,19 @@ class VectorIndex:
         return take, max(8, COSTS // max(len(centroids), self.dim) // 8 * 8)  # eights: their bits fill bytes
 
     def _placed(self, queries: DataFrame) -> DataFrame:
-        """(q_id, own, cutoff, q): queries (q_id, v, cutoff) with a place in the index, their nearest list and vector, of unit length by cosine."""
+        """(q_id, own, cutoff, q): queries (q_id, v, cutoff) with a place in the index, their nearest list and vector, see _queries()."""
         metric, dim, centroids = self.metric, self.dim, self.centroids
+        single = isinstance(queries.schema["v"].dataType.elementType, T.FloatType)
 
         def run(batches):
             for batch in _parts(batches, dim):
                 x, good = _matrix(batch.column(1), dim)
                 length = _length(x)
                 good &= (length > 0) | (metric == "inner")
+                kept = x[good].astype("<f4") if single else None
                 x = (x / np.where(length > 0, length, 1)[:, None] if metric == "cosine" else x)[good]
                 some = pa.array(np.flatnonzero(good))
-                columns = [batch.column(0).take(some), pa.array(_nearest(x, centroids).astype(np.int32)), batch.column(2).take(some), pa.array([r.tobytes() for r in x], pa.binary())]
+                columns = [batch.column(0).take(some), pa.array(_nearest(x, centroids).astype(np.int32)), batch.column(2).take(some), pa.array([r.tobytes() for r in (kept if single else x)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["q_id", "own", "cutoff", "q"])
 
         kind = queries.schema["q_id"].dataType.simpleString()
@@ -217,37 +241,24 @@ class VectorIndex:
 
     def asked(self, queries: DataFrame, probes: int, cutoffs: bool = False) -> DataFrame:
         """(pack, q_ids, cutoffs, q, lists): packs of queries (q_id, v, and its cutoff), neighbours together, with the lists to scan: the `probes` nearest of each query, or with cutoffs all others that can
-        hold a row within them. A list has a bit for each query of the pack, and from where to where the rings reach that hold rows for one of them.
+        hold a row within them. A list has a bit for each query of the pack.
 
         Queries without a place in the index are in no pack, packs without a list are left out."""
-        dim, inner = self.dim, self.metric == "inner"
+        dim, cosine = self.dim, self.metric == "cosine"
         take, step = self._takes(probes, cutoffs)
         most = max(1, min(PACKED, BLOCK_BYTES // max(1, 8 * dim)))
 
         def made(parts):
             t = pa.Table.from_batches(parts)
             q = b"".join(t["q"].to_pylist())
-            x = np.frombuffer(q, np.float64).reshape(len(t), dim)
+            x = _queries(q, len(t), dim, cosine)
             cutoff = t["cutoff"].to_numpy()
-            limit = cutoff + SLACK * np.maximum(1, np.abs(cutoff))
-            bits, low, high = [], np.inf, -np.inf
-            for i in range(0, len(x), step):
-                at, taken = take(x[i : i + step], limit[i : i + step])
-                some = limit[i : i + step, None]
-                if inner:
-                    length = _length(x[i : i + step])[:, None]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        least, greatest = np.where(length > 0, (at - some) / length, -np.inf), np.inf
-                else:
-                    reach = np.sqrt(2 * np.maximum(0, some))
-                    least, greatest = at - reach, at + reach
-                low, high = np.minimum(low, np.where(taken, least, np.inf).min(0)), np.maximum(high, np.where(taken, greatest, -np.inf).max(0))
-                bits.append(np.packbits(taken, axis=0))
-            bits = np.concatenate(bits)
-            lists = [{"list": int(j), "mask": bits[:, j].tobytes(), "low": float(low[j]) - SLACK, "high": float(high[j]) + SLACK} for j in np.flatnonzero(bits.any(0))]
+            limit = _slack(cutoff)
+            bits = np.concatenate([np.packbits(take(x[i : i + step], limit[i : i + step])[1], axis=0) for i in range(0, len(x), step)])
+            lists = [{"list": int(j), "mask": bits[:, j].tobytes()} for j in np.flatnonzero(bits.any(0))]
             if lists:
                 ids = pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t["q_id"].combine_chunks())
-                kind = pa.list_(pa.struct([("list", pa.int32()), ("mask", pa.binary()), ("low", pa.float64()), ("high", pa.float64())]))
+                kind = pa.list_(pa.struct([("list", pa.int32()), ("mask", pa.binary())]))
                 columns = [pa.array([uuid.uuid4().hex]), ids, pa.array([cutoff.tobytes()], pa.binary()), pa.array([q], pa.binary()), pa.array([lists], kind)]
                 yield pa.RecordBatch.from_arrays(columns, names=["pack", "q_ids", "cutoffs", "q", "lists"])
 
@@ -267,7 +278,7 @@ class VectorIndex:
         placed = self._kept(self._placed(queries), "placed")
         dealt = placed.repartitionByRange(max(1, -(-placed.count() // most)), "own", "q_id").sortWithinPartitions("own", "q_id")
         kind = placed.schema["q_id"].dataType.simpleString()
-        return dealt.mapInArrow(pack, f"pack string, q_ids array<{kind}>, cutoffs binary, q binary, lists array<struct<list int, mask binary, low double, high double>>")
+        return dealt.mapInArrow(pack, f"pack string, q_ids array<{kind}>, cutoffs binary, q binary, lists array<struct<list int, mask binary>>")
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
         """The rows as a table in the shared folder."""
@@ -275,101 +286,140 @@ class VectorIndex:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def scan(self, asked: DataFrame, k: int) -> DataFrame:
-        """(q_id, id, cost): for each query the k best rows of each tile, among those of the blocks that its lists' rings leave."""
+    def _files(self) -> tuple[str, dict[int, list[tuple[str, float, float]]]]:
+        """The folder of the blocks, and each list's files in it, with the least and the greatest distance of their rings."""
+        ends = self.blocks_at(self.spark, self.path).groupBy("list", F.col("_metadata.file_path").alias("file")).agg(F.min("near").alias("near"), F.max("far").alias("far"))
+        folder, found = "", {}
+        for r in ends.collect():  # a file for each list, and one more for each TASK_ROWS rows
+            folder, at, name = r["file"].rsplit("/", 2)
+            found.setdefault(r["list"], []).append((f"{at}/{name}", r["near"], r["far"]))
+        return folder, found
+
+    def scan(self, asked: DataFrame, k: int, exact: bool = False) -> DataFrame:
+        """(q_id, id, cost): for each query the k best rows of each share of its lists, among those of the blocks that the rings leave. exact: every list is asked for, so the nearest one gives a cutoff."""
         asked = self._kept(asked, "asked")
-        lists = [r[0] for r in asked.select(F.explode("lists.list")).distinct().collect()]  # LISTS at most: other lists' files aren't opened
-        blocks = self.blocks_at(self.spark, self.path).where(F.col("list").isin(lists))
-        sizes = self.rows * max(1, self.dim) * 8
-        bundle = [None if n > BLOCK_BYTES else f"{i}" for n, i in zip(sizes, np.cumsum(np.where(sizes > BLOCK_BYTES, 0, sizes)) // BLOCK_BYTES)]
-        tile = F.coalesce(F.element_at(F.array(*[F.lit(x).cast("string") for x in bundle]), F.col("list") + 1), F.col("block")).alias("tile")
-        met = asked.select("pack", F.inline("lists")).join(blocks.select("list", "block", "near", "far"), "list").where("far >= low AND near <= high").select("pack", tile, "block", "mask")
-        packs = asked.select("pack", "q_ids", "cutoffs", "q").join(met.select("pack", "tile").distinct(), "pack")
-        bodies = blocks.select(F.col("block").alias("name"), "n", "ids", "body").join(met.select(F.col("pack").alias("of"), F.col("tile").alias("of_tile"), "block", "mask"), F.col("name") == F.col("block"))
-        bodies = bodies.select("of", "of_tile", "n", "ids", "body", "mask")
-        dim, cosine = self.dim, self.metric == "cosine"
+        folder, files = self._files()
+        packs, running = asked.count(), self.spark.sparkContext.defaultParallelism
+        shares = min(max(1, len(files)), -(-2 * running // max(1, packs)))
+        parts = packs * shares + running
+        left = asked.select("pack", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "q_ids", "cutoffs", "q").repartition(parts, "pack", "share")
+        right = asked.select(F.col("pack").alias("of"), F.inline("lists")).withColumn("of_share", F.pmod("list", F.lit(shares))).repartition(parts, "of", "of_share")
+        dim, metric, centroids, radius = self.dim, self.metric, self.centroids, self.radius
+        cosine, (first, first_step) = metric == "cosine", self._takes(1, False)
+        id_type = self.apart().schema["id"].dataType
+        id_kind = to_arrow_type(id_type)
 
         def best(left: pa.Table, right: pa.Table) -> pa.Table:
-            ids, q_ids = right["ids"].combine_chunks().flatten(), left["q_ids"].combine_chunks().flatten()
-            of, at, costs, held, kept, begin = [], [], [], 0, 0, 0
-            place = np.empty(len(ids), np.int64)  # ties go to the lesser id
-            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-            if left.num_rows and right.num_rows:
-                q = np.frombuffer(left["q"][0].as_py(), np.float64).reshape(len(q_ids), dim)
-                limit = np.frombuffer(left["cutoffs"][0].as_py(), np.float64)
-                limit = limit + SLACK * np.maximum(1, np.abs(limit))
+            """left: a pack. right: the lists that it asks for, or blocks themselves."""
+            q_ids = left["q_ids"].combine_chunks().flatten()
+            if not left.num_rows or not right.num_rows:
+                return pa.table({"q_id": q_ids[:0], "id": pa.array([], id_kind), "cost": pa.array([], pa.float64())})
+            q = _queries(left["q"][0].as_py(), len(q_ids), dim, cosine)
+            limit, length = _slack(np.frombuffer(left["cutoffs"][0].as_py(), np.float64)), _length(q)
+            of, ids, costs, held, kept = [np.zeros(0, np.int64)], [pa.array([], id_kind)], [np.zeros(0)], 0, 0
 
             def least() -> None:
                 """Keep the k best of what each query has; what comes must be as good."""
-                nonlocal of, at, costs, held, kept
-                i, j, c = (np.concatenate(x) for x in (of, at, costs))
-                order = np.lexsort((place[j], c, i))
-                i, j, c = i[order], j[order], c[order]
+                nonlocal of, ids, costs, held, kept
+                i, c, named = np.concatenate(of), np.concatenate(costs), pa.concat_arrays(ids)
+                place = np.empty(len(i), np.int64)  # ties go to the lesser id
+                place[pc.sort_indices(named).to_numpy()] = np.arange(len(i))
+                order = np.lexsort((place, c, i))
+                i, c = i[order], c[order]
                 starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
                 rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
                 last = rank == k - 1
-                limit[i[last]] = np.minimum(limit[i[last]], c[last] + SLACK * np.maximum(1, np.abs(c[last])))
-                of, at, costs = [i[rank < k]], [j[rank < k]], [c[rank < k]]
+                limit[i[last]] = np.minimum(limit[i[last]], _slack(c[last]))
+                of, ids, costs = [i[rank < k]], [named.take(pa.array(order[rank < k]))], [c[rank < k]]
                 held, kept = 0, len(of[0])
 
-            for row in range(right.num_rows if left.num_rows else 0):
-                n, body = right["n"][row].as_py(), right["body"][row].as_py()
-                x = np.frombuffer(body, "<f4" if len(body) == 4 * dim * n else "<f8").reshape(n, dim).astype(np.float64)
+            def meet(block: pa.RecordBatch, members: np.ndarray, collect: bool = True) -> None:
+                """A block and some of the queries: what is within their limits, or only what the limits become by it."""
+                nonlocal held
+                n, names = block.column("n")[0].as_py(), block.column("ids").flatten()
+                x, step = _floats(block.column("body")[0].as_py(), n, dim), max(1, COSTS // n)
                 if cosine:
                     x /= _length(x)[:, None]
-                members = np.flatnonzero(np.unpackbits(np.frombuffer(right["mask"][row].as_py(), np.uint8), count=len(q_ids)))
-                step = max(1, COSTS // n)
                 for some in (members[i : i + step] for i in range(0, len(members), step)):
                     cost = q[some] @ x.T
                     np.subtract(1.0 if cosine else 0.0, cost, out=cost)
                     most = limit[some]
-                    if n > k and np.isinf(most).any():
-                        kth = np.partition(cost, k - 1, 1)[:, k - 1]
-                        most = np.minimum(most, kth + SLACK * np.maximum(1, np.abs(kth)))
+                    if n >= k and (not collect or np.isinf(most).any()):
+                        limit[some] = most = np.minimum(most, _slack(np.partition(cost, k - 1, 1)[:, k - 1]))
+                    if not collect:
+                        continue
                     i, j = np.nonzero(cost <= most[:, None])
-                    of.append(some[i])
-                    at.append(begin + j)
-                    costs.append(np.round(cost[i, j], DECIMALS) + 0.0)  # no negative zeros
-                    held += len(i)
-                    if held > max(COSTS, kept):
-                        least()
-                begin += n
-            if of:
-                least()
-            i, j, c = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((of, np.int64), (at, np.int64), (costs, np.float64)))
-            return pa.table({"q_id": q_ids.take(pa.array(i)), "id": ids.take(pa.array(j)), "cost": pa.array(c)})
-
-        kinds = asked.schema["q_ids"].dataType.elementType.simpleString(), blocks.schema["ids"].dataType.elementType.simpleString()
-        return packs.groupBy("pack", "tile").cogroup(bodies.groupBy("of", "of_tile")).applyInArrow(best, f"q_id {kinds[0]}, id {kinds[1]}, cost double")
+                    if len(i):
+                        of.append(some[i])
+                        ids.append(names.take(pa.array(j)))
+                        costs.append(np.round(cost[i, j], DECIMALS) + 0.0)  # no negative zeros
+                        held += len(i)
+                        if held > max(COSTS, kept):
+                            least()
+
+            def within(at: int, members: np.ndarray, near: float, far: float) -> np.ndarray:
+                """The queries for which a ring of a list can hold a row."""
+                away, bound = (x[:, 0] for x in _bounds(metric, centroids[at : at + 1], radius[at : at + 1], q[members]))
+                most = limit[members]
+                if cosine:
+                    reach = np.sqrt(2 * np.maximum(0, most))
+                    held = (far >= away - reach - SLACK) & (near <= away + reach + SLACK)
+                else:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        held = far >= np.where(length[members] > 0, (away - most) / length[members], -np.inf) - SLACK
+                return members[held & (bound <= most)]
+
+            def read(at: int, members: np.ndarray, collect: bool = True) -> None:
+                for name, near, far in files.get(at, []):
+                    if len(within(at, members, near, far)):
+                        for block in _stored(system, f"{inner}/{name}"):
+                            meet(block, within(at, members, block.column("near")[0].as_py(), block.column("far")[0].as_py()), collect)
+
+            members = lambda mask: np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=len(q)))
+            if "body" in right.column_names:
+                for block in right.to_batches(max_chunksize=1):
+                    meet(block, members(block.column("mask")[0].as_py()))
+            else:
+                from pyarrow import fs
+
+                system, inner = fs.FileSystem.from_uri(folder)
+                if exact:
+                    own = np.concatenate([first(q[i : i + first_step], limit[i : i + first_step])[1].argmax(1) for i in range(0, len(q), first_step)])
+                    for at in np.unique(own).tolist():
+                        read(at, np.flatnonzero(own == at), collect=False)
+                lists = right["list"].to_numpy()
+                for row in np.argsort(_bounds(metric, centroids[lists], radius[lists], q.mean(0, keepdims=True))[0][0], kind="stable").tolist():
+                    read(int(lists[row]), members(right["mask"][row].as_py()))
+            least()
+            return pa.table({"q_id": q_ids.take(pa.array(of[0])), "id": ids[0], "cost": pa.array(costs[0])})
+
+        kind = asked.schema["q_ids"].dataType.elementType.simpleString()
+        return left.groupBy("pack", "share").cogroup(right.groupBy("of", "of_share")).applyInArrow(best, f"q_id {kind}, id {id_type.simpleString()}, cost double")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, query_key: str = "id", vector: str = "embedding") -> DataFrame:
         """(q_id, id, cost, rk): the k rows of least cost for each query, ties to the lesser id; a query without a place in the index has none, nor do rows that are apart.
 
         probes: None for an exact search, else how many lists are scanned for each query. Query keys must be distinct and not null. Costs are rounded to DECIMALS.
         """
-        asking = queries.select(F.col(query_key).alias("q_id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("cutoff"))
-        order = Window.partitionBy("q_id").orderBy("cost", "id")
+        found = self.scan(self.asked(self._asking(queries, query_key, vector), probes or 0, cutoffs=not probes), k, exact=not probes)
+        return found.withColumn("rk", F.row_number().over(Window.partitionBy("q_id").orderBy("cost", "id"))).where(F.col("rk") <= k)
 
-        def top(found: DataFrame) -> DataFrame:
-            return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
-
-        first = top(self.scan(self.asked(asking, probes or FIRST_PROBES), k))
-        if probes or FIRST_PROBES >= len(self.centroids):
-            return first
-        first = self._kept(first, "first-lists")
-        cutoffs = first.groupBy("q_id").agg(F.max(F.when(F.col("rk") == k, F.col("cost"))).alias("c"))
-        asking = asking.join(cutoffs, "q_id", "left").select("q_id", "v", F.coalesce("c", "cutoff").alias("cutoff"))
-        return top(self.scan(self.asked(asking, 0, cutoffs=True), k))  # the first lists again: a list near two bounds is neither left out nor scanned twice
+    @staticmethod
+    def _asking(queries: DataFrame, query_key: str, vector: str) -> DataFrame:
+        """(q_id, v, cutoff): queries without a cutoff; 32-bit vectors stay so."""
+        single = isinstance(queries.schema[vector].dataType.elementType, T.FloatType)
+        v = F.col(vector) if single else F.col(vector).cast("array<double>")
+        return queries.select(F.col(query_key).alias("q_id"), v.alias("v"), F.lit(float("inf")).alias("cutoff"))
 
     def reads(self, queries: DataFrame, probes: int, query_key: str = "id", vector: str = "embedding") -> DataFrame:
         """(q_id, lists, rows): how many lists and rows an approximate search reads for each query."""
-        asking = queries.select(F.col(query_key).alias("q_id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("cutoff"))
-        (take, step), dim, held = self._takes(probes, False), self.dim, self.rows
+        asking = self._asking(queries, query_key, vector)
+        (take, step), dim, held, cosine = self._takes(probes, False), self.dim, self.rows, self.metric == "cosine"
 
         def run(batches):
             for batch in batches:
                 for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
-                    x = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(part.num_rows, dim)
+                    x = _queries(b"".join(part.column(3).to_pylist()), part.num_rows, dim, cosine)
                     taken = take(x, part.column(2).to_numpy())[1]
                     some = taken.any(1)
                     columns = [part.column(0).filter(pa.array(some)), pa.array(taken.sum(1)[some]), pa.array((taken @ held)[some].astype(np.int64))]

@@ -97,6 +97,25 @@ def test_queries_go_in_packs(spark, rows):
     assert sorted(packs[0].q_ids) == sorted(r.id for r in rows.where("id < 600 or id >= 710").collect())
 
 
+def test_what_is_shuffled_grows_with_the_rows(spark, monkeypatch):
+    """Packs meet blocks in every pairing, but no pairing is written: four times the rows as queries, about four times the shuffle."""
+    monkeypatch.setattr(vector_index, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(vector_index, "PACKED", 50)
+    context, written = spark.sparkContext._jsc.sc(), []
+    for n in (1000, 4000):
+        v = np.random.default_rng(n).random((n, 8)).astype(np.float32)
+        frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id long, embedding array<float>").repartition(4).localCheckpoint()
+        index = VectorIndex.build(frame, scratch(spark, "index"), lists=8)
+        shuffled = lambda: (context.listenerBus().waitUntilEmpty(), context.statusStore().executorSummary("driver").totalShuffleWrite())[1]
+        before = shuffled()
+        found = {(r.q_id, r.rk): r.id for r in index.search(frame, 3).collect()}
+        written.append(shuffled() - before)
+        x = v[:40].astype(float)
+        cost = np.round(1 - x @ v.T.astype(float) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(v.astype(float), axis=1)), 12)
+        assert len(found) == 3 * n and [[found[q, rk] for rk in (1, 2, 3)] for q in range(40)] == np.argsort(cost, 1, kind="stable")[:, :3].tolist()
+    assert written[1] < 6 * written[0], written
+
+
 def test_distances_at_once():
     """A pack against all rows of a group: not all distances are held together."""
     import tracemalloc
