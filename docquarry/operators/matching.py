@@ -84,7 +84,9 @@ def _indexed(chunks: DataFrame, wanted: DataFrame, k: int, vector: str, key: str
     found = spark.createDataFrame([], "q_id long, id long, distance double, far int")
     for dim in sorted(r["dim"] for r in dims):
         index = VectorIndex.build(rows.where(F.col("dim") == dim), scratch(spark, "vectors"), "id", "v", dim=dim)
-        best = index.search(asked.where(F.col("dim") == dim), k, None, "q_id", "v")
+        path = scratch(spark, "found")  # read twice below, so that the search runs once
+        (searched := index.search(asked.where(F.col("dim") == dim), k, None, "q_id", "v")).write.parquet(path)
+        best = spark.read.schema(searched.schema).parquet(path)
         found = found.unionByName(best.select("q_id", "id", F.col("cost").alias("distance"), F.lit(0).alias("far")))
     short = asked.join(found.groupBy("q_id").agg(F.count(F.lit(1)).alias("n")), "q_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("q_id", "dim", "flat")
     first = rows.withColumn("i", F.row_number().over(Window.partitionBy("dim", "flat").orderBy("id"))).where(F.col("i") <= k)

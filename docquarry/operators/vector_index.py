@@ -348,7 +348,7 @@ class VectorIndex:
                         limit[some] = most = np.minimum(most, _slack(np.partition(cost, k - 1, 1)[:, k - 1]))
                     if not collect:
                         continue
-                    i, j = np.nonzero(cost <= most[:, None])
+                    i, j = np.divmod(np.flatnonzero(cost <= most[:, None]), n)  # much faster than nonzero() in two dimensions
                     if len(i):
                         of.append(some[i])
                         ids.append(names.take(pa.array(j)))

@@ -80,6 +80,13 @@ def test_nearest_by_index_equals_nearest_without(spark, rows, monkeypatch, k):
     assert get() == want
 
 
+def test_nearest_searches_once(spark, rows, monkeypatch):
+    """The result is read for the union and for the queries that are short of rows; the search isn't part of either plan."""
+    monkeypatch.setattr(matching, "TOGETHER", 10)
+    plan = matching.nearest(rows, rows, 3, key="id", query_key="id")._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan
+
+
 def test_recall(spark):
     """Random vectors are the worst case: half of the lists hold nine tenths of the nearest rows."""
     frame = spark.read.parquet(f"{SF.rpartition('/')[0]}/sf0.1/embeddings.parquet")
